@@ -1,0 +1 @@
+"""Every registered query with its SQL counterpart."""
