@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillproof.registry import scalars
+from tillproof.registry import audits, cleaning, scalars, stars
 from tillproof.registry.base import Query
 
-ALL: list[Query] = [*scalars.QUERIES]
+ALL: list[Query] = [*scalars.QUERIES, *cleaning.QUERIES, *audits.QUERIES, *stars.QUERIES]

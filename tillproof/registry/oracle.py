@@ -167,12 +167,11 @@ detections AS (
     FROM (SELECT *, min(source_row) OVER (PARTITION BY product_id) AS first_row FROM versions) WHERE place = 1 AND price <= 0
   UNION ALL SELECT code, 'transactions', source_row, transaction_id,
       CASE WHEN disposition = 'kept' THEN 'evidence' ELSE disposition END, TRUE
-    FROM flagged, LATERAL (SELECT unnest(list_filter([
-      CASE WHEN needed_non_iso THEN 'TX-01' END, CASE WHEN currency_formatted THEN 'TX-02' END,
-      CASE WHEN has_discount THEN 'TX-03' END, CASE WHEN orphan_store THEN 'TX-04' END,
-      CASE WHEN orphan_product THEN 'TX-05' END, CASE WHEN is_guest THEN 'TX-06' END,
-      CASE WHEN zero_quantity THEN 'TX-07' END, CASE WHEN is_future THEN 'TX-08' END,
-      CASE WHEN is_copy THEN 'TX-09' END, CASE WHEN is_return THEN 'TX-10' END], x -> x IS NOT NULL)) AS code))"""),
+    FROM flagged CROSS JOIN (VALUES ('TX-01'), ('TX-02'), ('TX-03'), ('TX-04'), ('TX-05'), ('TX-06'), ('TX-07'),
+      ('TX-08'), ('TX-09'), ('TX-10')) AS t(code)
+    WHERE CASE code WHEN 'TX-01' THEN needed_non_iso WHEN 'TX-02' THEN currency_formatted WHEN 'TX-03' THEN has_discount
+      WHEN 'TX-04' THEN orphan_store WHEN 'TX-05' THEN orphan_product WHEN 'TX-06' THEN is_guest
+      WHEN 'TX-07' THEN zero_quantity WHEN 'TX-08' THEN is_future WHEN 'TX-09' THEN is_copy ELSE is_return END)"""),
     "slices": (("detections", "catalog"), """
 slices AS (
   SELECT dataset, code AS reason_code, source_row, row_key, disposition FROM detections
