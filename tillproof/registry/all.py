@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tillproof.registry import audits, cleaning, scalars, stars
+from tillproof.registry import audits, checks, cleaning, profiles, scalars, stars
 from tillproof.registry.base import Query
 
-ALL: list[Query] = [*scalars.QUERIES, *cleaning.QUERIES, *audits.QUERIES, *stars.QUERIES]
+ALL: list[Query] = [
+    *scalars.QUERIES, *profiles.QUERIES, *cleaning.QUERIES, *audits.QUERIES, *stars.QUERIES,
+    *checks.QUERIES,
+]
