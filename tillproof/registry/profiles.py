@@ -141,10 +141,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cells DESC,
 SELECT column_name, value_rank, value, cells, {_pct('cells', 'every')} AS pct FROM r WHERE kinds BETWEEN 1 AND 25 AND value_rank <= 5""", "raw_products")),
     Query("sample_values", _samples,
           """WITH p AS (SELECT *, row_number() OVER () - 1 AS source_row, count(*) OVER () AS n FROM customer),
-at AS (SELECT DISTINCT CAST(round_even(i * (n - 1) / 4.0, 0) AS BIGINT) AS place FROM (SELECT DISTINCT n FROM p), (VALUES (0), (1), (2), (3), (4)) AS k(i))
-SELECT source_row, 'c_custkey' AS column_name, CAST(c_custkey AS VARCHAR) AS value FROM p WHERE source_row IN (SELECT place FROM at)
-UNION ALL SELECT source_row, 'c_name', c_name FROM p WHERE source_row IN (SELECT place FROM at)
-UNION ALL SELECT source_row, 'c_mktsegment', c_mktsegment FROM p WHERE source_row IN (SELECT place FROM at)"""),
+spots AS (SELECT DISTINCT CAST(round_even(i * (n - 1) / 4.0, 0) AS BIGINT) AS place FROM (SELECT DISTINCT n FROM p), (VALUES (0), (1), (2), (3), (4)) AS k(i))
+SELECT source_row, 'c_custkey' AS column_name, CAST(c_custkey AS VARCHAR) AS value FROM p WHERE source_row IN (SELECT place FROM spots)
+UNION ALL SELECT source_row, 'c_name', c_name FROM p WHERE source_row IN (SELECT place FROM spots)
+UNION ALL SELECT source_row, 'c_mktsegment', c_mktsegment FROM p WHERE source_row IN (SELECT place FROM spots)"""),
     Query("type_evidence", on_feed(lambda w: P.type_evidence(_counts(w), CONFIG)),
           over(_head("transactions") + "SELECT * EXCLUDE (position) FROM evidence", "raw_transactions")),
     Query("infer_semantic_type", on_feed(lambda w: _types(w).unionByName(_types(w, "products")).unionByName(_types(w, "stores")).select("column_name", "observable_count", "semantic_type", "confidence")),
