@@ -103,9 +103,13 @@ def _foreign(fact: DataFrame, dim: DataFrame, column: str) -> DataFrame:
              F.lit(column).alias("constraint_name"), "violations")
 
 
+def foreign_keys(star: dict[str, DataFrame]) -> DataFrame:
+    """Fact rows whose key the dimension lacks, per key."""
+    return reduce(DataFrame.union, [_foreign(star["fact_sales"], star[d], c) for c, d in FOREIGN.items()])
+
+
 def constraint_suite(star: dict[str, DataFrame]) -> DataFrame:
     """(table_name, kind, constraint_name, violations) for every constraint of the star."""
     parts = [_row_checks(t, star[t]) for t in CHECKS]
     parts += [_unique(t, star[t], c) for t, columns in UNIQUE.items() for c in columns]
-    parts += [_foreign(star["fact_sales"], star[d], c) for c, d in FOREIGN.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, [*parts, foreign_keys(star)])

@@ -10,11 +10,9 @@ from tillproof.registry.oracle import over
 from tillproof.schemas import RAW_COLUMNS
 
 
-def _m(**columns):
-    def run(spark, sf_dir):
-        df = messy(spark, sf_dir)
-        return df.select("id", *[(c() if callable(c) else c).alias(n) for n, c in columns.items()])
-    return run
+def _m(columns):
+    """Columns over the odd texts; built when the query runs, for they need a session."""
+    return lambda spark, sf_dir: messy(spark, sf_dir).select("id", *[c.alias(n) for n, c in columns().items()])
 
 
 def _s(body: str) -> str:
@@ -45,14 +43,10 @@ _FMT = f"""CASE WHEN ({_DAY}) IS NULL THEN NULL WHEN date_text LIKE '%/%' THEN '
 _SWAP = f"(({_DAY}) IS NOT NULL AND ({_OTHER}) IS NOT NULL AND ({_DAY}) <> ({_OTHER}))"
 
 
-def _read():
-    return dates.parse_date_multiformat(F.col("date_text"))
-
-
 QUERIES = [
-    Query("is_missing", _m(text_missing=text.is_missing(F.col("name_text")), amount_missing=text.is_missing(F.col("amount_text"))),
+    Query("is_missing", _m(lambda: dict(text_missing=text.is_missing(F.col("name_text")), amount_missing=text.is_missing(F.col("amount_text")))),
           _s("name_text IS NULL OR trim(name_text) = '' AS text_missing, amount_text IS NULL OR trim(amount_text) = '' AS amount_missing")),
-    Query("is_blank_string", _m(blank=text.is_blank_string(F.col("name_text"))),
+    Query("is_blank_string", _m(lambda: dict(blank=text.is_blank_string(F.col("name_text")))),
           _s("coalesce(trim(name_text) = '', FALSE) AS blank")),
     Query("normalise_text", lambda spark, d: text.normalise_frame(
         messy(spark, d).select("id", "name_text", "amount_text"), ["name_text", "amount_text"]),
@@ -62,39 +56,39 @@ QUERIES = [
         (F.col("date_format") == "%Y-%m-%d").alias("is_iso")),
           _s(f"date_text, {_DAY} AS parsed_date, {_FMT} AS date_format, coalesce(({_FMT}) <> '%Y-%m-%d', FALSE) AS needed_non_iso,"
              f" {_SWAP} AS date_is_ambiguous, ({_FMT}) = '%Y-%m-%d' AS is_iso")),
-    Query("date_ambiguity", _m(
+    Query("date_ambiguity", _m(lambda: dict(
         swapped_format=dates.date_ambiguity(F.col("date_text"))["swapped_format"],
-        swapped_date=dates.date_ambiguity(F.col("date_text"))["swapped_date"]),
+        swapped_date=dates.date_ambiguity(F.col("date_text"))["swapped_date"])),
           _s(f"CASE WHEN {_SWAP} THEN CASE WHEN date_text LIKE '%/%' THEN '%d/%m/%Y' ELSE '%m-%d-%Y' END END AS swapped_format,"
              f" CASE WHEN {_SWAP} THEN {_OTHER} END AS swapped_date")),
-    Query("all_matching_formats", _m(formats=F.concat_ws(",", dates.all_matching_formats(F.col("date_text")))),
+    Query("all_matching_formats", _m(lambda: dict(formats=F.concat_ws(",", dates.all_matching_formats(F.col("date_text"))))),
           _s(f"coalesce({_FMT}, '') AS formats")),
-    Query("is_currency_formatted", _m(formatted=money.is_currency_formatted(F.col("amount_text"))),
+    Query("is_currency_formatted", _m(lambda: dict(formatted=money.is_currency_formatted(F.col("amount_text")))),
           _s(r"coalesce(trim(amount_text) <> '' AND NOT regexp_full_match(trim(amount_text), '[+-]?\d+(\.\d+)?'), FALSE) AS formatted")),
-    Query("parse_currency", _m(
+    Query("parse_currency", _m(lambda: dict(
         amount_text=F.col("amount_text"), amount=money.parse_currency(F.col("amount_text")).cast("double"),
-        parse_failed=money.currency_parse_failed(F.col("amount_text"))),
+        parse_failed=money.currency_parse_failed(F.col("amount_text")))),
           _s(f"amount_text, CAST({_MONEY} AS DOUBLE) AS amount,"
              f" coalesce(trim(amount_text) <> '', FALSE) AND ({_MONEY}) IS NULL AS parse_failed")),
     Query("parse_price", on_feed(lambda w: w.raw["products"].select(
         "source_row", money.parse_price(F.col("unit_price"), F.col("product_id")).cast("double").alias("price"))),
           over("SELECT source_row, CAST(price AS DOUBLE) AS price FROM priced_products", "settled_products")),
-    Query("strip_currency", _m(
+    Query("strip_currency", _m(lambda: dict(
         stripped=money.strip_currency(F.col("amount_text")), marked=money.has_currency_marker(F.col("amount_text")),
-        as_float=money.to_float(F.col("amount_text"))),
+        as_float=money.to_float(F.col("amount_text")))),
           f"""WITH {MESSY_SQL}, cut AS (SELECT id, amount_text,
   regexp_replace(replace(trim(amount_text), ' ', ''), '[$€£¥₹,()]', '', 'g') AS bare FROM messy),
   signed AS (SELECT *, CASE WHEN trim(amount_text) LIKE '(%)' THEN '-' || bare ELSE bare END AS stripped FROM cut)
 SELECT id, stripped, coalesce(regexp_matches(amount_text, '[$€£¥₹,]'), FALSE) AS marked,
   CASE WHEN regexp_full_match(stripped, '{NUMBER}') THEN CAST(stripped AS DOUBLE) END AS as_float FROM signed"""),
-    Query("coerce_int", _m(
+    Query("coerce_int", _m(lambda: dict(
         int_text=F.col("int_text"), value=money.coerce_int(F.col("int_text")),
-        parse_failed=money.int_parse_failed(F.col("int_text"))),
+        parse_failed=money.int_parse_failed(F.col("int_text")))),
           f"""WITH {MESSY_SQL}, cut AS (SELECT id, int_text, TRY_CAST(replace(replace(trim(int_text), ',', ''), '−', '-') AS DOUBLE) AS v FROM messy)
 SELECT id, int_text, CASE WHEN v = floor(v) THEN CAST(v AS BIGINT) END AS value,
   int_text IS NOT NULL AND (v IS NULL OR v <> floor(v)) AS parse_failed FROM cut"""),
-    Query("is_parseable", _m(
-        as_int=money.is_parseable_int(F.col("int_text")), as_decimal=money.is_parseable_decimal(F.col("amount_text"))),
+    Query("is_parseable", _m(lambda: dict(
+        as_int=money.is_parseable_int(F.col("int_text")), as_decimal=money.is_parseable_decimal(F.col("amount_text")))),
           _s(r"coalesce(regexp_full_match(replace(trim(int_text), ',', ''), '[+-]?\d+'), FALSE) AS as_int,"
              f" coalesce(regexp_full_match(replace(trim(amount_text), ',', ''), '{NUMBER}'), FALSE) AS as_decimal")),
     Query("round_money", lambda spark, d: table(spark, d, "lineitem").groupBy("l_orderkey").agg(
@@ -108,12 +102,12 @@ SELECT id, int_text, CASE WHEN v = floor(v) THEN CAST(v AS BIGINT) END AS value,
           """WITH q AS (SELECT *, CAST(l_quantity AS INTEGER) * CAST(1500 AS DECIMAL(18,2)) AS e, CAST(l_extendedprice AS DECIMAL(18,2)) AS t FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(e AS DOUBLE) AS extended_amount, CAST(e - t AS DOUBLE) AS discount_amount,
   abs(e - t) > 0.01 AS has_discount, round(CAST(e - t AS DOUBLE) * 1e6 / nullif(CAST(e AS DOUBLE), 0)) / 1e6 AS discount_pct FROM q"""),
-    Query("to_flag", _m(flag=money.to_flag(F.col("flag_text"))),
+    Query("to_flag", _m(lambda: dict(flag=money.to_flag(F.col("flag_text")))),
           _s("CASE WHEN lower(flag_text) IN ('true','t','yes','y','1') THEN 1 ELSE 0 END AS flag")),
     Query("to_iso_date", _iso,
           _s("CASE WHEN id % 11 = 0 THEN date_text END AS iso")),
-    Query("zip_pad_guarded", _m(
-        zip_text=F.col("zip_text"), zip_code=codes.zip_pad_guarded(F.col("zip_text")), suspect=codes.zip_is_suspect(F.col("zip_text"))),
+    Query("zip_pad_guarded", _m(lambda: dict(
+        zip_text=F.col("zip_text"), zip_code=codes.zip_pad_guarded(F.col("zip_text")), suspect=codes.zip_is_suspect(F.col("zip_text")))),
           _s(r"""zip_text, CASE WHEN regexp_full_match(zip_text, '\d{1,5}') THEN repeat('0', 5 - length(zip_text)) || zip_text ELSE zip_text END AS zip_code,
   coalesce(NOT regexp_full_match(zip_text, '\d{5}'), FALSE) AS suspect""")),
     Query("row_signature", on_feed(lambda w: w.raw["transactions"].groupBy(
@@ -134,9 +128,9 @@ GROUP BY copies""", "raw_transactions")),
         money.ratio_or_null(F.col("o_custkey").cast("double"), (F.col("o_orderkey") % 7).cast("double")).alias("or_null")),
           """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE round(o_custkey * 1e6 / CAST(o_orderkey % 7 AS DOUBLE)) / 1e6 END AS or_zero,
   CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey / CAST(o_orderkey % 7 AS DOUBLE) END AS or_null FROM orders"""),
-    Query("mixed_sort_key", _m(
+    Query("mixed_sort_key", _m(lambda: dict(
         amount_number=codes.mixed_sort_key(F.col("amount_text"))["sort_number"], amount_word=codes.mixed_sort_key(F.col("amount_text"))["sort_text"],
-        date_number=codes.mixed_sort_key(F.col("date_text"))["sort_number"], date_word=codes.mixed_sort_key(F.col("date_text"))["sort_text"]),
+        date_number=codes.mixed_sort_key(F.col("date_text"))["sort_number"], date_word=codes.mixed_sort_key(F.col("date_text"))["sort_text"])),
           f"""WITH {MESSY_SQL}, n AS (SELECT id, trim(amount_text) AS a, trim(date_text) AS t FROM messy),
 k AS (SELECT *, CASE WHEN regexp_full_match(a, '-?[$€£]?\\s*-?[\\d,]+(\\.\\d+)?%?') THEN TRY_CAST(regexp_replace(a, '[$€£,%\\s]', '', 'g') AS DOUBLE) END AS an,
   CASE WHEN regexp_matches(t, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN TRY_CAST(substr(t,1,10) AS DATE)

@@ -21,6 +21,9 @@ SALTS = 64
 WINDOW_SALTS = 1024
 
 
+_LOCAL_DIRS: dict[str, str] = {}  # one per local-mode session
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates that every executor can reach.
 
@@ -33,9 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    made = tempfile.mkdtemp(prefix="spark-tillproof-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -21,12 +21,11 @@ def read_text_csv(
         .option("mode", "FAILFAST").option("multiLine", multi_line)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("escape", '"').option("enforceSchema", False)
-        .option("nullValue", "" if keep_blank_as_na else "\x00")
-        .option("emptyValue", "")
+        .option("nullValue", "").option("emptyValue", "")
     )
     df = (reader.schema(schema) if schema is not None else reader).csv(path)
     if not keep_blank_as_na:
-        return df
+        return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
     return df.select(*[tokens_to_null(F.col(c)).alias(c) for c in df.columns])
 
 
