@@ -29,13 +29,14 @@ def mixed_sort_key(c: Column) -> Column:
     bare = F.regexp_replace(text, r"[$€£,%\s]", "")
     number = F.when(text.rlike(_NUMBER), bare.try_cast("double"))
 
-    def day(shape: str, pattern: str, part: Column) -> Column:
-        return F.when(text.rlike(shape), F.unix_date(F.try_to_date(part, pattern)).cast("double"))
+    def day(shape: str, iso: str, part: Column) -> Column:
+        ordered = F.regexp_replace(part, shape, iso).try_cast("date")
+        return F.when(part.rlike(shape), F.unix_date(ordered).cast("double"))
 
     days = F.coalesce(
-        day(r"^\d{4}-\d{2}-\d{2}", "yyyy-MM-dd", F.substring(text, 1, 10)),
-        day(r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy", text),
-        day(r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy", text),
+        day(r"^(\d{4})-(\d{2})-(\d{2})$", "$1-$2-$3", F.substring(text, 1, 10)),
+        day(r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$1-$2", text),
+        day(r"^(\d{2})-(\d{2})-(\d{4})$", "$3-$2-$1", text),
     )
     value = F.coalesce(number, days)
     return F.struct(

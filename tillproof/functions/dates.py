@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillproof.config import DATE_LADDER, SWAPPED_LABELS, DateRung
+from tillproof.config import DATE_LADDER, DateRung
 from tillproof.functions.text import trimmed
 
 Ladder = tuple[DateRung, ...]
 
 
-def read_rung(c: Column, rung: DateRung) -> Column:
-    """The date under one format. The cheap shape test keeps a row from paying for parses
-    that cannot succeed."""
+def _read(c: Column, shape: str, iso: str) -> Column:
     text = trimmed(c)
-    return F.when(text.rlike(rung.shape), F.try_to_date(text, rung.pattern))
+    ordered = text if iso == "$1-$2-$3" else F.regexp_replace(text, shape, iso)
+    return F.when(text.rlike(shape), ordered.try_cast("date"))
+
+
+def read_rung(c: Column, rung: DateRung) -> Column:
+    """The date under one format. The shape test keeps a row from paying for casts that
+    cannot succeed, and an impossible date gives null."""
+    return _read(c, rung.shape, rung.iso)
 
 
 def read_swapped(c: Column, rung: DateRung) -> Column:
-    text = trimmed(c)
-    return F.when(text.rlike(rung.shape), F.try_to_date(text, rung.swapped))
+    return _read(c, rung.shape, rung.swapped_iso)
 
 
 def _first_label(readings: list[Column], ladder: Ladder) -> Column:
@@ -33,11 +37,11 @@ def with_date_reading(df: DataFrame, column: str, ladder: Ladder = DATE_LADDER)
     """
     c = F.col(column)
     tried = {f"_d{i}": read_rung(c, r) for i, r in enumerate(ladder)}
-    tried |= {f"_s{i}": read_swapped(c, r) for i, r in enumerate(ladder) if r.swapped}
+    tried |= {f"_s{i}": read_swapped(c, r) for i, r in enumerate(ladder) if r.swapped_iso}
     own = [F.col(f"_d{i}") for i in range(len(ladder))]
     clash = [
         F.when(own[i].isNotNull(), F.coalesce(F.col(f"_s{i}") != own[i], F.lit(False)))
-        if r.swapped else F.when(own[i].isNotNull(), F.lit(False)) for i, r in enumerate(ladder)]
+        if r.swapped_iso else F.when(own[i].isNotNull(), F.lit(False)) for i, r in enumerate(ladder)]
     out = df.withColumns(tried).withColumns({
         "parsed_date": F.coalesce(*own),
         "date_format": _first_label(own, ladder),
@@ -60,10 +64,10 @@ def date_format(c: Column, ladder: Ladder = DATE_LADDER) -> Column:
 def date_ambiguity(c: Column, ladder: Ladder = DATE_LADDER) -> Column:
     """The other reading of the text with day and month exchanged, when it is another date."""
     label, other = F.lit(None).cast("string"), F.lit(None).cast("date")
-    for rung in reversed([r for r in ladder if r.swapped]):
+    for rung in reversed([r for r in ladder if r.swapped_iso]):
         own, alt = read_rung(c, rung), read_swapped(c, rung)
         differs = F.coalesce(own != alt, F.lit(False))
-        label = F.when(differs, F.lit(SWAPPED_LABELS[rung.swapped])).otherwise(label)
+        label = F.when(differs, F.lit(rung.swapped_label)).otherwise(label)
         other = F.when(differs, alt).otherwise(other)
     return F.struct(label.alias("swapped_format"), other.alias("swapped_date"))
 
@@ -90,7 +94,7 @@ def to_iso_date(c: Column) -> Column:
     """Any date-like text as ISO text; blanks give null; anything else stops the job."""
     text = trimmed(c.cast("string"))
     empty = text.isNull() | F.lower(text).isin("", "nan", "nat", "none")
-    day = F.try_to_date(F.substring(text, 1, 10), "yyyy-M-d")
+    day = read_rung(F.substring(text, 1, 10), DATE_LADDER[0])
     broken = F.raise_error(F.concat(F.lit("not a date: "), text)).cast("string")
     return F.when(~empty, F.coalesce(F.date_format(day, "yyyy-MM-dd"), broken))
 

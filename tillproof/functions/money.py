@@ -35,10 +35,13 @@ def parse_currency(c: Column) -> Column:
     Only texts that match the number grammar are cast, so words such as nan or inf, which a
     plain cast would take for numbers, stay null.
     """
-    body = F.regexp_replace(trimmed(c), r"^\((.*)\)$", _CREDIT + "$1")
+    text = trimmed(c)
+    body = F.regexp_replace(text, r"^\((.*)\)$", _CREDIT + "$1")
     body = F.translate(F.regexp_replace(body, r"USD|usd|[$,\t \x{00A0}]", ""), MINUS, "-")
     body = F.regexp_replace(body, f"^{_CREDIT}[+-]?", "-")
-    return round_money(matched(body, DECIMAL).try_cast("decimal(38,6)"))
+    # Most cells are bare decimals and skip the cleaning.
+    number = F.when(text.rlike(BARE_DECIMAL), text).otherwise(matched(body, DECIMAL))
+    return round_money(number.try_cast("decimal(38,6)"))
 
 
 def has_text(c: Column) -> Column:
@@ -89,8 +92,11 @@ def is_parseable_decimal(c: Column) -> Column:
 
 def coerce_int(c: Column) -> Column:
     """Signed integer; "3.0" is 3, "2.7" is null, sign and zero survive."""
-    exact = matched(F.translate(trimmed(c), MINUS + ",", "-"), DECIMAL).try_cast("decimal(38,6)")
-    return F.when(exact % 1 == 0, exact.try_cast("long"))
+    text = trimmed(c)
+    exact = matched(F.translate(text, MINUS + ",", "-"), DECIMAL).try_cast("decimal(38,6)")
+    whole = matched(exact.cast("string"), r"^-?\d+\.0{6}$").try_cast("decimal(38,6)")
+    # Most cells are bare integers and skip the cleaning.
+    return F.when(text.rlike(INTEGER), text.try_cast("long")).otherwise(whole.try_cast("long"))
 
 
 def int_parse_failed(c: Column) -> Column:

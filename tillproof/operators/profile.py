@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tillproof.config import RunConfig
 from tillproof.functions import dates, money
 from tillproof.functions.text import IDENTIFIER, is_blank_string, is_missing, normalise_text
+from tillproof.scale import written
 
 # Thresholds of the type rules.
 CONFIDENCE = 0.95
@@ -41,14 +42,13 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, value) for every cell, plus source_row when the table has one."""
-    keep = [F.col("source_row")] if "source_row" in df.columns else []
-    cells = F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))
-    return df.select(*keep, cells)
+    keep = ["source_row"] if "source_row" in df.columns else []
+    texts = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in columns])
+    return texts.unpivot(keep, columns, "column_name", "value")
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    return long_form(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long_form(df.select(*columns), columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _weight(condition: Column) -> Column:
@@ -416,7 +416,8 @@ def column_profile(df: DataFrame, columns: list[str], config: RunConfig) -> Data
     """C17: one row per column with counts, type, confidence, failures and numeric range."""
     if not isinstance(df, DataFrame):
         raise TypeError(f"expected a DataFrame, got {type(df).__name__}")
-    counts = value_counts(df, columns)
+    # Every part below starts from the counted values, so they are folded once and written.
+    counts = written(value_counts(df, columns), "value-counts")
     evidence = type_evidence(counts, config)
     types = infer_semantic_type(evidence)
     where = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column_name string")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tillproof.scale import spread
 from tillproof.schemas import MONEY
 from tillproof.sources.files import parquet_with_row_place
 
@@ -82,9 +83,9 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as transactions, with all ten transaction defects."""
-    lines = parquet_with_row_place(spark, f"{sf_dir}/lineitem.parquet").select(
+    lines = spread(parquet_with_row_place(spark, f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
-        "l_returnflag", F.to_date("l_shipdate").alias("ship"), "pos")
+        "l_returnflag", F.to_date("l_shipdate").alias("ship"), "pos"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         "p_partkey", F.col("p_retailprice").cast(MONEY).alias("price"))

@@ -17,8 +17,6 @@ BROADCAST_ROWS = 200_000
 HOT_SHARE = 500
 # Hot keys are spread over this many sub-keys.
 SALTS = 64
-# Sub-keys of the two-level window; they cost nothing for keys that are not hot.
-WINDOW_SALTS = 1024
 
 
 _LOCAL_DIRS: dict[str, str] = {}  # one per local-mode session
@@ -105,21 +103,28 @@ def flag_repeats(
 ) -> DataFrame:
     """Mark every row but the first (by the unique column ``order``) of each equal group.
 
-    Level one ranks inside (key, salt), so a group of any size is spread over many tasks.
-    Level two ranks only the level-one winners of a key together; the rest already lost.
-    Nulls group together, as they do in a window.
+    Groups are counted with map-side combine, so a group of any size becomes one record per
+    task. Only the groups that repeat are kept and written; the rows then look their group up,
+    and are neither sorted nor gathered. Nulls count as equal.
     """
-    salt = F.pmod(F.xxhash64(order), F.lit(WINDOW_SALTS)).cast("int")
-    one = W.partitionBy(*keys, "_salt").orderBy(order)
-    two = W.partitionBy(*keys, "_lane").orderBy(order)
-    return (
-        df.withColumn("_salt", salt)
-        .withColumn("_rank", F.row_number().over(one))
-        .withColumn("_lane", F.when(F.col("_rank") == 1, -1).otherwise(F.col("_salt")))
-        .withColumn("_final", F.row_number().over(two))
-        .withColumn(flag, (F.col("_rank") > 1) | (F.col("_final") > 1))
-        .drop("_salt", "_rank", "_lane", "_final")
-    )
+    # Fields are joined by unit separator with null as NUL, so one text stands for the keys.
+    signature = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
+    signed = df.withColumn("_signature", signature)
+    repeated = signed.groupBy("_signature").agg(
+        F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    firsts = written(repeated, "repeated")
+    found = lookup(signed, firsts, ["_signature"], "left", spread=F.xxhash64(order))
+    return found.withColumn(
+        flag, F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_signature", "_first")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan that has fewer partitions than there are cores one per core.
+
+    A large scan already has more partitions than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def number_rows(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
