@@ -133,10 +133,10 @@ def type_evidence(counts: DataFrame, config: RunConfig) -> DataFrame:
         "identifier_rate": F.col("token").rlike(IDENTIFIER),
     }
     tokens = _observed(counts).groupBy("column_name", "token").agg(F.sum("n").alias("n"))
-    seen = tokens.groupBy("column_name").agg(
+    tested = tokens.withColumns({**tests, "marked": money.has_currency_marker(F.col("token"))})
+    seen = tested.groupBy("column_name").agg(
         F.sum("n").alias("observable_count"), F.count(F.lit(1)).alias("_tokens"),
-        *[_weight(t).alias(name) for name, t in tests.items()],
-        _weight(money.has_currency_marker(F.col("token"))).alias("marker_count"))
+        *[_weight(F.col(name)).alias(name) for name in tests], _weight(F.col("marked")).alias("marker_count"))
     rates = {name: _ratio(F.col(name), F.col("observable_count")) for name in tests}
     rated = seen.withColumns({**rates, "distinct_ratio": _ratio(F.col("_tokens"), F.col("observable_count"))}).drop("_tokens")
     empty = counts.select("column_name").distinct()
@@ -180,8 +180,8 @@ def _fails(token: Column, config: RunConfig) -> Column:
 def parse_failures(counts: DataFrame, types: DataFrame, config: RunConfig) -> DataFrame:
     """Cells per column that do not satisfy the inferred type."""
     typed = _observed(counts).join(F.broadcast(types.select("column_name", "semantic_type")), "column_name")
-    return typed.groupBy("column_name", "semantic_type").agg(
-        _weight(_fails(F.col("token"), config)).alias("parse_failure_count"))
+    return typed.withColumn("_fails", _fails(F.col("token"), config)).groupBy("column_name", "semantic_type").agg(
+        _weight(F.col("_fails")).alias("parse_failure_count"))
 
 
 def parse_failure_examples(
@@ -217,15 +217,13 @@ def numeric_stats(counts: DataFrame, types: DataFrame) -> DataFrame:
 def date_format_report(counts: DataFrame, config: RunConfig) -> DataFrame:
     """How the date cells of each column read under the ladder."""
     labels = [r.label for r in config.ladder]
-    token = F.col("token")
-    tokens = _observed(counts).withColumns({
-        "fmt": dates.date_format(token, config.ladder), "day": dates.parsed_date(token, config.ladder),
-        "all_formats": dates.all_matching_formats(token, config.ladder)})
+    tokens = dates.with_date_reading(_observed(counts), "token", config.ladder).withColumnsRenamed(
+        {"date_format": "fmt", "parsed_date": "day"})
     report = tokens.groupBy("column_name").agg(
         F.sum("n").alias("observable_count"),
         *[_weight(F.col("fmt") == name).alias(f"_f{i}") for i, name in enumerate(labels)],
         _weight(F.col("fmt").isNull()).alias("unmatched_count"),
-        _weight(F.size("all_formats") > 1).alias("ambiguous_count"),
+        _weight(F.col("date_format_count") > 1).alias("ambiguous_count"),
         F.min("day").alias("min_date"), F.max("day").alias("max_date"),
         _weight(F.col("day") > F.lit(config.as_of)).alias("after_as_of_count"))
     hits = [F.col(f"_f{i}") for i in range(len(labels))]
@@ -418,8 +416,8 @@ def column_profile(df: DataFrame, columns: list[str], config: RunConfig) -> Data
         raise TypeError(f"expected a DataFrame, got {type(df).__name__}")
     # Every part below starts from the counted values, so they are folded once and written.
     counts = written(value_counts(df, columns), "value-counts")
-    evidence = type_evidence(counts, config)
-    types = infer_semantic_type(evidence)
+    # One row per column, used by three parts.
+    types = written(infer_semantic_type(type_evidence(counts, config)), "column-types")
     where = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column_name string")
     # One row per column from here on; every side of these joins is that small.
     out = where.join(F.broadcast(profile_missingness(counts)), "column_name", "left")
