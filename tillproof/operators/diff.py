@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillproof.functions.codes import mixed_sort_key, order_by_mixed
 from tillproof.functions.text import normalise_text
 from tillproof.operators.transactions import COLUMNS
+from tillproof.scale import lookup
 
 # The column that explains an excluded row.
 BLAMED = {"TX-01": "transaction_date", "TX-02": "total_amount", "TX-04": "store_id",
@@ -71,8 +72,8 @@ def dimension_diff(
     side = clean.select(
         F.col(key).alias("_key"), *[F.col(c).cast("string").alias(f"_clean_{r}") for r, c in columns.items()],
         *[F.col(flag).cast("boolean").alias(f"_flag_{r}") for r, (flag, _) in rules.items()])
-    joined = rows.join(lost.select("source_row", F.col("code").alias("_lost")), "source_row", "left").join(
-        side, F.col(key) == F.col("_key"), "left")
+    marked = rows.join(lost.select("source_row", F.col("code").alias("_lost")), "source_row", "left")
+    joined = lookup(marked.withColumn("_key", F.col(key)), side, ["_key"], "left", spread=F.col("source_row"))
     kept = F.col("_lost").isNull()
     cells = []
     for raw in columns:

@@ -33,37 +33,45 @@ def _rows(df: DataFrame, named: dict[str, tuple[str, Column]]) -> DataFrame:
 
 
 def warehouse_figures(star: dict[str, DataFrame], config: RunConfig, keys: FigureKeys) -> DataFrame:
-    """(figure, kind, text, value) for every published scalar, in four aggregate passes."""
-    date, store, product, customer = (star[f"dim_{n}"] for n in ("date", "store", "product", "customer"))
-    wide = (
-        star["fact_sales"]
-        .join(date.select("date_key", "full_date", "year_month"), "date_key")
-        .join(store.select("store_key", "store_id"), "store_key")
-        .join(product.select("product_key", "product_id", "list_unit_price"), "product_key")
-        .join(customer.select("customer_key", F.col("is_guest").alias("guest")), "customer_key"))
+    """(figure, kind, text) for every published scalar, in a few aggregate passes.
+
+    The fact is joined only to the handful of dimension rows the figures name; figures about
+    days come from the fact counted by day.
+    """
+    fact, date, store, product, customer = (star[n] for n in (
+        "fact_sales", "dim_date", "dim_store", "dim_product", "dim_customer"))
+    # At most two, one and one rows: these ids are unique in their dimensions.
+    goods = F.broadcast(product.filter(F.col("product_id").isin(keys.conflict_product, keys.free_product))
+                        .select("product_key", "product_id", "list_unit_price"))
+    shop = F.broadcast(store.filter(F.col("store_id") == keys.rate_store).select("store_key", F.lit(True).alias("_shop")))
+    guests = F.broadcast(customer.filter("is_guest = 1").select("customer_key", F.lit(True).alias("_guest")))
+    wide = fact.join(goods, "product_key", "left").join(shop, "store_key", "left").join(guests, "customer_key", "left")
     conflict = F.col("product_id") == keys.conflict_product
     free = F.col("product_id") == keys.free_product
-    at_store = F.col("store_id") == keys.rate_store
+    at_store, guest = F.col("_shop").isNotNull(), F.col("_guest").isNotNull()
     money = lambda c: F.round(c, 2).cast("decimal(28,2)")
     pct = lambda a, b: (F.round(a.cast("double") * 10000 / b.cast("double")) / 100).cast("decimal(18,2)")
-    days = lambda m: F.count_distinct(F.when(F.col("year_month") == m, F.col("full_date")))
     units = lambda cond: F.sum(F.when(cond, F.abs("quantity")))
+    back = F.col("is_return") == 1
     sold = _rows(wide, {
         "conflict_fact_price": ("money", F.max(F.when(conflict, F.col("unit_price")))),
         "conflict_fact_rows": ("int", F.count_if(conflict)),
         "conflict_price_delta": ("money", F.max(F.when(conflict, F.col("list_unit_price") - F.col("unit_price")))),
         "free_fact_price": ("money", F.max(F.when(free, F.col("unit_price")))),
-        "guest_fact_rows": ("int", F.count_if(F.col("guest") == 1)),
-        "guest_revenue": ("money", money(F.sum(F.when(F.col("guest") == 1, F.col("net_amount"))))),
-        "return_rows": ("int", F.count_if(F.col("is_return") == 1)),
-        "return_units": ("int", -F.sum(F.when(F.col("is_return") == 1, F.col("quantity")))),
+        "guest_fact_rows": ("int", F.count_if(guest)),
+        "guest_revenue": ("money", money(F.sum(F.when(guest, F.col("net_amount"))))),
+        "return_rows": ("int", F.count_if(back)),
+        "return_units": ("int", -F.sum(F.when(back, F.col("quantity")))),
         "discount_rows": ("int", F.count_if(F.col("discount_amount") > F.lit(config.price_tolerance).cast("decimal(9,2)"))),
         "discount_share_pct": ("percent", pct(F.sum("discount_amount"), F.sum("net_amount"))),
-        "window_fact_rows": ("int", F.count_if(F.col("full_date").between(config.window_start, config.as_of))),
-        "store_contract_rate_pct": ("percent", pct(
-            units(at_store & (F.col("is_return") == 1)), units(at_store & (F.col("is_return") == 0)))),
-        "days_first_month": ("int", days(keys.first_month)),
-        "days_last_month": ("int", days(keys.last_month)),
+        "store_contract_rate_pct": ("percent", pct(units(at_store & back), units(at_store & ~back))),
+    })
+    by_day = fact.groupBy("date_key").agg(F.count(F.lit(1)).alias("_n")).join(date, "date_key")
+    in_window = F.col("full_date").between(config.window_start, config.as_of)
+    days = _rows(by_day, {
+        "window_fact_rows": ("int", F.coalesce(F.sum(F.when(in_window, F.col("_n"))), F.lit(0))),
+        "days_first_month": ("int", F.count_if(F.col("year_month") == keys.first_month)),
+        "days_last_month": ("int", F.count_if(F.col("year_month") == keys.last_month)),
         "first_txn_date": ("text", F.min("full_date")),
         "last_txn_date": ("text", F.max("full_date")),
     })
@@ -80,7 +88,7 @@ def warehouse_figures(star: dict[str, DataFrame], config: RunConfig, keys: Figur
         "distinct_regions": ("int", F.count_distinct("region")),
     })
     people = _rows(customer, {"real_customers": ("int", F.count_if(F.col("is_guest") == 0))})
-    return sold.unionByName(listed).unionByName(places).unionByName(people)
+    return sold.unionByName(days).unionByName(listed).unionByName(places).unionByName(people)
 
 
 def claimed_number(c: Column) -> Column:

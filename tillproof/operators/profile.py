@@ -326,7 +326,7 @@ def referential_integrity(child: DataFrame, key: str, parent: DataFrame, parent_
     known = parent.filter(~is_missing(F.col(parent_key).cast("string"))).select(
         F.col(parent_key).cast("string").alias("k"), F.lit(True).alias("known")).distinct()
     # Both sides hold one row per key, so a hot key weighs no more than any other.
-    both = used.filter("k is not null").join(known, "k", "full")
+    both = written(used.filter("k is not null").join(known, "k", "full"), "key-pairs")
     orphan = F.col("known").isNull()
     idle = F.col("n").isNull()
     counts = both.agg(

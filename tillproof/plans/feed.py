@@ -41,7 +41,7 @@ def raw_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     key = F.col("s_suppkey")
     copies = F.when(_mod("s_suppkey", 20, 6), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).withColumn(
+    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).withColumn(
         "copy", F.explode(copies))
     second = F.col("copy") == 1
     year = F.lit(1990) + key % 30 - F.when(second & _mod("s_suppkey", 3, 0), 1).otherwise(0)

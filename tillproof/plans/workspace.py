@@ -58,12 +58,15 @@ class Workspace:
     def star(self) -> dict[str, DataFrame]:
         return read_star(self.spark, self.star_path)
 
+    @cached_property
+    def dimension_defects(self) -> DataFrame:
+        return written(
+            stores.store_defects(self.raw["stores"])
+            .unionByName(products.product_defects(self.raw["products"])), "dimension-defects")
+
     @property
     def detections(self) -> DataFrame:
-        return (
-            stores.store_defects(self.raw["stores"])
-            .unionByName(products.product_defects(self.raw["products"]))
-            .unionByName(transactions.transaction_defects(self.flagged)))
+        return self.dimension_defects.unionByName(transactions.transaction_defects(self.flagged))
 
     @property
     def quarantine(self) -> DataFrame:
@@ -72,10 +75,7 @@ class Workspace:
             F.lit("transactions").alias("dataset"), "reason_code", "reason_detail", "source_row",
             F.col("transaction_id").alias("row_key"), "disposition")
         sliced = ("ST-01", "ST-02", "PR-01", "PR-02", "PR-04")
-        rest = (
-            stores.store_defects(self.raw["stores"])
-            .unionByName(products.product_defects(self.raw["products"]))
-            .filter(F.col("code").isin(*sliced)))
+        rest = self.dimension_defects.filter(F.col("code").isin(*sliced))
         words = F.broadcast(catalog_frame(self.spark).select("code", "title"))
         return held.unionByName(rest.join(words, "code").select(
             "dataset", F.col("code").alias("reason_code"), F.col("title").alias("reason_detail"),
@@ -88,7 +88,7 @@ class Workspace:
     @cached_property
     def catalog(self) -> DataFrame:
         catalog = catalog_frame(self.spark)
-        return catalog if self.expected is None else with_expected(catalog, self.expected)
+        return catalog if self.expected is None else written(with_expected(catalog, self.expected), "catalog")
 
 
 _OPEN: dict[tuple[str, str], Workspace] = {}

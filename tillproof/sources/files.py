@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tillproof.functions.text import tokens_to_null
+from tillproof.scale import BROADCAST_ROWS, lookup, written
 from tillproof.schemas import RAW_SCHEMAS, require_columns
 
 
@@ -46,8 +47,6 @@ def with_source_row(spark: SparkSession, df: DataFrame, label: str) -> DataFrame
     scan is written once with a per-task counter, so both passes see the same counter; the
     only one-task step is a running sum with one row per file block.
     """
-    from tillproof.scale import written
-
     blocks = ["_file", "_start"]
     fixed = written(
         df.select(
@@ -64,7 +63,7 @@ def with_source_row(spark: SparkSession, df: DataFrame, label: str) -> DataFrame
                 W.orderBy(*blocks).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
     ).drop("_size")
     return (
-        fixed.join(F.broadcast(before), blocks)
+        lookup(fixed, before, blocks, "inner")
         .withColumn("source_row", (F.col("_before") + F.col("_slot") - F.col("_first")).cast("long"))
         .drop("_slot", "_first", "_before", *blocks)
     )
@@ -86,5 +85,7 @@ def parquet_with_row_place(spark: SparkSession, path: str, name: str = "pos") ->
         F.coalesce(
             F.sum("_size").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)),
             F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(before), "_file").withColumn(
+    # One row per file, and the driver has the count of files.
+    side = F.broadcast(before) if files <= BROADCAST_ROWS else before
+    return rows.join(side, "_file").withColumn(
         name, (F.col(name) + F.col("_before")).cast("long")).drop("_file", "_before")
