@@ -9,7 +9,7 @@ from tillproof.functions.dates import calendar_parts
 from tillproof.functions.money import round_money, to_flag
 from tillproof.operators.constraints import foreign_keys
 from tillproof.scale import is_small, lookup, new_folder, number_rows, written
-from tillproof.sources.sinks import publish, read_star, write_star
+from tillproof.sources.sinks import publish, read_star, write_tables
 
 
 def require_unique(df: DataFrame, key: str, what: str) -> DataFrame:
@@ -73,7 +73,8 @@ def customers(sales: DataFrame, config: RunConfig) -> DataFrame:
 
 
 def dim_customer(sales: DataFrame, config: RunConfig) -> DataFrame:
-    return surrogate(customers(sales, config), "customer_id", "customer_key").select(
+    people = written(customers(sales, config), "customers")
+    return surrogate(people, "customer_id", "customer_key").select(
         "customer_key", "customer_id", "is_guest")
 
 
@@ -121,12 +122,13 @@ def fact_sales(sales: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
 
 
 def build_star(
-    stores: DataFrame, products: DataFrame, sales: DataFrame, config: RunConfig,
+    stores: DataFrame, products: DataFrame, sales: DataFrame, config: RunConfig, path: str,
 ) -> dict[str, DataFrame]:
-    dims = {
+    """Dimensions first, written side by side; the fact then looks its keys up in them."""
+    dims = write_tables({
         "dim_date": dim_date(sales, config), "dim_store": dim_store(stores),
-        "dim_product": dim_product(products), "dim_customer": dim_customer(sales, config)}
-    return {**dims, "fact_sales": fact_sales(sales, dims)}
+        "dim_product": dim_product(products), "dim_customer": dim_customer(sales, config)}, path)
+    return {**dims, **write_tables({"fact_sales": fact_sales(sales, dims)}, path)}
 
 
 def verify_star(
@@ -165,7 +167,7 @@ def load_star(
     """
     spark = sales.sparkSession
     staged = new_folder(spark, "star")
-    star = write_star(build_star(stores, products, sales, config), staged)
+    star = build_star(stores, products, sales, config, staged)
     report = verify_star(star, stores, products, sales)
     row = report.first()
     if not row["ok"]:

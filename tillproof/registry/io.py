@@ -80,7 +80,7 @@ def _lineage_out(w):
 def _star_out(spark, sf_dir):
     w = open_feed(spark, sf_dir)
     staged, target = new_folder(spark, "staged"), new_folder(spark, "swapped")
-    sinks.write_star(w.star, staged)
+    sinks.write_tables(w.star, staged)
     star = sinks.read_star(spark, sinks.publish(spark, staged, target))
     parts = [df.agg(F.count(F.lit(1)).alias("table_rows")).withColumn("table_name", F.lit(n)) for n, df in star.items()]
     out = parts[0]

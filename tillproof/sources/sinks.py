@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tillproof.scale import new_folder
@@ -65,12 +67,17 @@ def lineage_sink(lineage: DataFrame, path: str) -> str:
 STAR_TABLES = ("dim_date", "dim_store", "dim_product", "dim_customer", "fact_sales")
 
 
-def write_star(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
-    """Write the five tables under ``path`` and read them back."""
-    spark = tables["fact_sales"].sparkSession
-    for name in STAR_TABLES:
-        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
-    return read_star(spark, path)
+def write_tables(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Write independent tables under ``path`` side by side and read them back."""
+    spark = next(iter(tables.values())).sparkSession
+
+    @inheritable_thread_target(spark)
+    def write(item: tuple[str, DataFrame]) -> None:
+        item[1].write.mode("overwrite").parquet(f"{path}/{item[0]}")
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(write, tables.items()))
+    return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
 
 
 def publish(spark: SparkSession, staged: str, target: str) -> str:
