@@ -28,6 +28,13 @@ def test_salted_lookup_equals_broadcast(spark, skewed):
     assert "_salt" in salted._jdf.queryExecution().toString()
 
 
+def test_null_keys_are_spread_and_kept(spark):
+    left = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("k"))
+    side = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    got = scale.lookup(left, side, ["k"], "left", spread=F.col("id"), small=False)
+    assert got.count() == 1000 and got.filter("v is null").count() == 500
+
+
 def test_hot_keys_are_few_by_counting(skewed):
     assert {r.key for r in scale.hot_keys(skewed, ["key"], 3).collect()} == {"hot"}
     assert scale.hot_keys(skewed, ["key"], 100).count() < 100

@@ -173,7 +173,35 @@ def claim_index(spark, sf_dir):
     return n.select(F.inline(F.array(row("net", 2), row("sales", 0), row("backs", 0))))
 
 
+def _price_claims(spark, sf_dir):
+    """Order totals as a text might state them: whole, to a tenth, in full, or as a percent."""
+    total = F.col("o_totalprice").cast("decimal(18,2)")
+    d = (F.col("o_orderkey") % 3).cast("int")
+    value = F.when(d == 0, F.round(total, 0)).when(d == 1, F.round(total, 1)).otherwise(total)
+    return table(spark, sf_dir, "orders").select(
+        value.cast("decimal(30,6)").alias("value"), d.alias("decimals"), (F.col("o_orderkey") % 7 == 0).alias("is_percent"))
+
+
+def _price_index(spark, sf_dir):
+    """Every fourth order total to a tenth, and every ninth in full as a ratio."""
+    df = table(spark, sf_dir, "orders").withColumn("t", F.col("o_totalprice").cast("decimal(18,2)"))
+    tenth = df.filter("o_orderkey % 4 = 0").select(F.round("t", 1).cast("decimal(30,6)").alias("value"), F.lit(1).alias("decimals"))
+    ratio = df.filter("o_orderkey % 9 = 0").select((F.col("t") / 100).cast("decimal(30,6)").alias("value"), F.lit(4).alias("decimals"))
+    return tenth.unionByName(ratio)
+
+
+_MATCHED = """WITH o AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS t FROM orders),
+claims AS (SELECT DISTINCT CAST(CASE k % 3 WHEN 0 THEN round(t, 0) WHEN 1 THEN round(t, 1) ELSE t END AS DECIMAL(30,6)) AS value, CAST(k % 3 AS INTEGER) AS decimals, k % 7 = 0 AS is_percent FROM o),
+entries AS (SELECT DISTINCT CAST(round(t, 1) AS DECIMAL(30,6)) AS iv, 1 AS id FROM o WHERE k % 4 = 0
+  UNION SELECT CAST(t * CAST(0.01 AS DECIMAL(4,2)) AS DECIMAL(30,6)), 4 FROM o WHERE k % 9 = 0),
+readings AS (SELECT *, value AS v, decimals AS d FROM claims UNION ALL
+  SELECT *, CAST(value * CAST(0.01 AS DECIMAL(4,2)) AS DECIMAL(30,6)), decimals + 2 FROM claims WHERE is_percent)
+SELECT DISTINCT CAST(value AS DOUBLE) AS value, decimals, is_percent FROM readings r JOIN entries e ON iv BETWEEN v - 1 AND v + 1
+WHERE floor(v * CAST(10 ** least(d, id) AS INTEGER) + 0.5) = floor(iv * CAST(10 ** least(d, id) AS INTEGER) + 0.5)"""
+
+
 QUERIES = [
+    Query("match_figures", lambda spark, d: C.match_figures(_price_claims(spark, d), _price_index(spark, d)).withColumn("value", F.col("value").cast("double")), _MATCHED),
     Query("warehouse_figures", on_feed(_figures), over(f"WITH {FIGURES_SQL} SELECT figure, kind, text FROM figures", "fact_sales")),
     Query("check_published_figures", on_feed(lambda w: G.check_published_figures(_claims(_figures(w)), _figures(w)).select("figure", "kind", "claimed_text", "verdict")),
           over(f"""WITH {FIGURES_SQL}, {_CLAIMS} SELECT coalesce(c.figure, f.figure) AS figure, coalesce(c.kind, f.kind) AS kind, claimed_text,

@@ -84,7 +84,7 @@ FROM products_clean p JOIN settled_products s ON p.product_id = s.product_id""",
           over("SELECT source_row, zero_quantity, coalesce(zero_quantity AND total <> 0, FALSE) AS zero_with_money FROM flagged", "flagged")),
     Query("flag_future", on_feed(lambda w: T.flag_future(_parsed(w), CONFIG).filter("is_future").groupBy("days_ahead").agg(
         F.count(F.lit(1)).alias("source_rows"), F.sum("parsed_total_amount").cast("double").alias("withheld"))),
-          over(f"SELECT datediff('day', DATE '{CONFIG.as_of}', day) AS days_ahead, count(*) AS source_rows, CAST(sum(total) AS DOUBLE) AS withheld FROM flagged WHERE is_future GROUP BY 1", "flagged")),
+          over(f"SELECT CAST(datediff('day', DATE '{CONFIG.as_of}', day) AS INTEGER) AS days_ahead, count(*) AS source_rows, CAST(sum(total) AS DOUBLE) AS withheld FROM flagged WHERE is_future GROUP BY 1", "flagged")),
     Query("flag_orphans", on_feed(lambda w: T.flag_orphans(T.flag_orphans(
         _parsed(w), w.stores, "store_id", "store_id", "orphan_store"), w.products, "product_id", "product_id", "orphan_product")
         .filter("orphan_store or orphan_product").groupBy("orphan_store", "orphan_product", "store_id").agg(

@@ -114,7 +114,7 @@ QUERIES = [
     Query("read_text_csv", on_feed(_read_csv),
           over("SELECT transaction_id, transaction_date, store_id, product_id, customer_id, quantity, unit_price, nullif(total_amount, 'n/a') AS total_amount FROM raw_transactions", "raw_transactions")),
     Query("source_row_identity", on_feed(_source_rows),
-          over("SELECT count(*) AS source_rows, 0 AS first_place, count(*) - 1 AS last_place, count(*) AS places FROM raw_transactions", "raw_transactions")),
+          over("SELECT count(*) AS source_rows, CAST(0 AS BIGINT) AS first_place, count(*) - 1 AS last_place, count(*) AS places FROM raw_transactions", "raw_transactions")),
     Query("read_feed", on_feed(_read_feed),
           over("""SELECT 'stores' AS dataset, 7 AS columns, count(*) AS source_rows, count(opened_date) AS last_column_held FROM raw_stores
 UNION ALL SELECT 'products', 5, count(*), count(supplier_id) FROM raw_products
@@ -138,10 +138,10 @@ FROM stores_clean ORDER BY store_id LIMIT 20""", "stores_clean")),
     Query("star_source", on_feed(_views),
           over("SELECT d.year, s.region, count(*) AS sales, CAST(sum(f.net_amount) AS DOUBLE) AS net FROM fact_sales f JOIN dim_date d USING (date_key) JOIN dim_store s USING (store_key) GROUP BY d.year, s.region", "fact_sales")),
     Query("run_bundle", on_feed(_bundle),
-          over(f"""SELECT '{CONFIG.as_of}' AS as_of, 17 AS coverage_rows, 17 AS audit_rows, 20 AS profile_rows,
+          over(f"""SELECT '{CONFIG.as_of}' AS as_of, CAST(17 AS BIGINT) AS coverage_rows, CAST(17 AS BIGINT) AS audit_rows, CAST(20 AS BIGINT) AS profile_rows,
   least(5, (SELECT count(DISTINCT store_key) FROM fact_sales JOIN dim_date USING (date_key) WHERE full_date BETWEEN DATE '{CONFIG.window_start}' AND DATE '{CONFIG.as_of}')) AS top_stores_recent_30d,
   (SELECT count(*) FROM (SELECT DISTINCT category, year_month FROM fact_sales JOIN dim_date USING (date_key) JOIN dim_product USING (product_key))) AS mom_growth_by_category,
   (SELECT count(DISTINCT store_key) FROM fact_sales) AS return_rate_by_store,
   (SELECT count(DISTINCT region) FROM fact_sales JOIN dim_store USING (store_key) WHERE is_return = 0) AS aov_by_region,
-  10 AS top_customers_lifetime, 1 AS revenue_reconciliation, (SELECT CAST(sum(net_amount) AS DOUBLE) FROM fact_sales) AS net_revenue""", "fact_sales")),
+  CAST(10 AS BIGINT) AS top_customers_lifetime, CAST(1 AS BIGINT) AS revenue_reconciliation, (SELECT CAST(sum(net_amount) AS DOUBLE) FROM fact_sales) AS net_revenue""", "fact_sales")),
 ]

@@ -133,12 +133,12 @@ QUERIES = [
           over(f"""WITH {_cells('transactions')}, l AS (SELECT column_name, CAST(length(v) AS INTEGER) AS chars, count(*) AS cells FROM cells WHERE v IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, min(chars) OVER (PARTITION BY column_name) AS min_chars, max(chars) OVER (PARTITION BY column_name) AS max_chars,
   row_number() OVER (PARTITION BY column_name ORDER BY cells DESC, chars) AS length_rank FROM l)
-SELECT column_name, chars, cells, min_chars, max_chars, length_rank FROM r WHERE length_rank <= 10""", "raw_transactions")),
+SELECT column_name, chars, cells, min_chars, max_chars, CAST(length_rank AS INTEGER) AS length_rank FROM r WHERE length_rank <= 10""", "raw_transactions")),
     Query("top_values", on_feed(lambda w: P.top_values(_counts(w, "products"))),
           over(f"""WITH {_cells('products')}, n AS (SELECT column_name, v AS value, count(*) AS cells FROM cells GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cells DESC, value NULLS LAST) AS value_rank, sum(cells) OVER (PARTITION BY column_name) AS every,
   count(value) OVER (PARTITION BY column_name) AS kinds FROM n)
-SELECT column_name, value_rank, value, cells, {_pct('cells', 'every')} AS pct FROM r WHERE kinds BETWEEN 1 AND 25 AND value_rank <= 5""", "raw_products")),
+SELECT column_name, CAST(value_rank AS INTEGER) AS value_rank, value, cells, {_pct('cells', 'every')} AS pct FROM r WHERE kinds BETWEEN 1 AND 25 AND value_rank <= 5""", "raw_products")),
     Query("sample_values", _samples,
           """WITH p AS (SELECT *, row_number() OVER () - 1 AS source_row, count(*) OVER () AS n FROM customer),
 spots AS (SELECT DISTINCT CAST(round_even(i * (n - 1) / 4.0, 0) AS BIGINT) AS place FROM (SELECT DISTINCT n FROM p), (VALUES (0), (1), (2), (3), (4)) AS k(i))
@@ -155,7 +155,7 @@ UNION ALL SELECT source_row, 'c_mktsegment', c_mktsegment FROM p WHERE source_ro
     Query("parse_failure_examples", on_feed(lambda w: P.parse_failure_examples(w.raw["transactions"], TX, _types(w), CONFIG)),
           over(_head("transactions") + f""", bad AS (SELECT c.column_name, source_row, v AS token, row_number() OVER (PARTITION BY c.column_name ORDER BY source_row) AS example_rank
   FROM cells c JOIN types t ON c.column_name = t.column_name WHERE v IS NOT NULL AND {_BAD})
-SELECT column_name, example_rank, source_row, token FROM bad WHERE example_rank <= 5""".lstrip(), "raw_transactions")),
+SELECT column_name, CAST(example_rank AS INTEGER) AS example_rank, source_row, token FROM bad WHERE example_rank <= 5""".lstrip(), "raw_transactions")),
     Query("numeric_stats", on_feed(lambda w: P.numeric_stats(_counts(w), _types(w)).drop("parsed_count")),
           over(_head("transactions") + _numeric(), "raw_transactions")),
     Query("date_format_report", on_feed(lambda w: P.date_format_report(_counts(w).filter("column_name = 'transaction_date'"), CONFIG)),
@@ -166,11 +166,11 @@ SELECT column_name, example_rank, source_row, token FROM bad WHERE example_rank
   CAST(0 AS BIGINT) AS unmatched_count, CAST(0 AS BIGINT) AS ambiguous_count, min(day) AS min_date, max(day) AS max_date,
   count(*) FILTER (WHERE day > {AS_OF}) AS after_as_of_count FROM flagged""", "flagged")),
     Query("date_examples", on_feed(lambda w: P.date_examples(w.raw["transactions"], "transaction_date", CONFIG)),
-          over("""SELECT source_row, transaction_date AS token, 'after_as_of' AS example_kind, example_rank FROM (
+          over("""SELECT source_row, transaction_date AS token, 'after_as_of' AS example_kind, CAST(example_rank AS INTEGER) AS example_rank FROM (
   SELECT *, row_number() OVER (ORDER BY source_row) AS example_rank FROM flagged WHERE is_future) WHERE example_rank <= 5""", "flagged")),
     Query("candidate_keys", on_feed(lambda w: P.candidate_keys(P.column_profile(w.raw["transactions"], TX, CONFIG))),
           over(_head("transactions") + f""", p AS ({_one_profile('transactions')})
-SELECT row_number() OVER (ORDER BY distinct_pct DESC, position) AS key_rank, column_name, semantic_type, distinct_pct, is_unique FROM p WHERE semantic_type = 'identifier' OR is_unique""".lstrip(), "raw_transactions")),
+SELECT CAST(row_number() OVER (ORDER BY distinct_pct DESC, position) AS INTEGER) AS key_rank, column_name, semantic_type, distinct_pct, is_unique FROM p WHERE semantic_type = 'identifier' OR is_unique""".lstrip(), "raw_transactions")),
     Query("pk_uniqueness", lambda spark, d: P.pk_uniqueness(_keyed_lines(spark, d), "line_id"),
           f"""WITH {_LINES} SELECT count(*) AS distinct_key_count, count(*) FILTER (WHERE row_count > 1) AS duplicate_key_count,
   CAST(coalesce(sum(row_count) FILTER (WHERE row_count > 1), 0) AS BIGINT) AS duplicated_row_count,

@@ -83,7 +83,7 @@ def _registry_units(w):
     return units.join(rows, "metric")
 
 
-_RUN_ROWS = """SELECT 'top_stores_recent_30d' AS metric, 6 AS columns, 0 AS percent_columns, least(5, (SELECT count(DISTINCT store_key) FROM fact_sales
+_RUN_ROWS = """SELECT 'top_stores_recent_30d' AS metric, CAST(6 AS BIGINT) AS columns, CAST(0 AS BIGINT) AS percent_columns, least(5, (SELECT count(DISTINCT store_key) FROM fact_sales
     JOIN dim_date USING (date_key) WHERE full_date BETWEEN {a} AND {b})) AS result_rows
 UNION ALL SELECT 'mom_growth_by_category', 6, 1, (SELECT count(*) FROM (SELECT DISTINCT category, year_month FROM fact_sales JOIN dim_date USING (date_key) JOIN dim_product USING (product_key)))
 UNION ALL SELECT 'return_rate_by_store', 9, 2, (SELECT count(DISTINCT store_key) FROM fact_sales)

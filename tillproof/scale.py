@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
@@ -88,8 +89,11 @@ def lookup(
         return left.join(F.broadcast(right), keys, how)
     hot = F.broadcast(hot_keys(left, keys))
     source = spread if spread is not None else F.xxhash64(*[F.col(c) for c in left.columns])
+    # A row with a null key matches nothing, so it may go anywhere; many of them would
+    # otherwise meet in one task.
+    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salted_left = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(source, F.lit(SALTS)).cast("int")).otherwise(0)
+        "_salt", F.when(F.col("_hot") | keyless, F.pmod(source, F.lit(SALTS)).cast("int")).otherwise(0)
     ).drop("_hot")
     salted_right = right.join(hot, keys, "left").withColumn(
         "_salt",
