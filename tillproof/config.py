@@ -47,6 +47,8 @@ class RunConfig:
         return {
             "as_of": self.as_of,
             "window_start": self.window_start,
+            "first_key": int(self.window_start.strftime("%Y%m%d")),
+            "last_key": int(self.as_of.strftime("%Y%m%d")),
             "alert": self.return_rate_alert,
             "guest_id": self.guest_id,
         }

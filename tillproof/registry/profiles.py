@@ -8,6 +8,7 @@ from tillproof.config import FEED_CONFIG as CONFIG
 from tillproof.operators import profile as P
 from tillproof.registry.base import Query, on_feed, table
 from tillproof.registry.oracle import AS_OF, over
+from tillproof.scale import written
 from tillproof.schemas import RAW_COLUMNS
 from tillproof.sources.files import parquet_with_row_place
 
@@ -74,7 +75,11 @@ def _head(name: str) -> str:
 
 
 def _counts(w, name="transactions"):
-    return P.value_counts(w.raw[name], SETS[name])
+    """The counted values of a dataset, folded and written once per workspace."""
+    kept = w.__dict__.setdefault("_value_counts", {})
+    if name not in kept:
+        kept[name] = written(P.value_counts(w.raw[name], SETS[name]), f"counts-{name}")
+    return kept[name]
 
 
 def _types(w, name="transactions"):

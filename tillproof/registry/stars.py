@@ -55,6 +55,8 @@ def _metric(metric: M.Metric) -> Query:
     sql = metric.sql
     for t in ("fact_sales", "dim_date", "dim_store", "dim_product", "dim_customer"):
         sql = sql.replace("{" + t + "}", t)
+    for key in ("first_key", "last_key"):
+        sql = sql.replace(f":{key}", str(CONFIG.sql_args()[key]))
     sql = sql.replace(":window_start", WINDOW_START).replace(":as_of", AS_OF).replace(":alert", str(CONFIG.return_rate_alert))
     return Query(
         metric.id, lambda spark, sf_dir: M.run_metric(spark, metric, open_feed(spark, sf_dir).star, CONFIG),
