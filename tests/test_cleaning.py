@@ -1,7 +1,6 @@
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from kit import CONFIG, PRODUCTS, STORES, TRANSACTIONS, by, flagged, raw, rows, sale
 from tillproof.config import RunConfig

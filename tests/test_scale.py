@@ -2,7 +2,6 @@
 
 import random
 import statistics
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F

@@ -6,8 +6,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-CATALOG_VERSION = "1.0.0"
-
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 ACTIONS = ("dropped", "imputed", "flagged", "quarantined", "preserved")
 

@@ -7,7 +7,6 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from tillproof.catalog import DEFECTS, catalog_frame
-from tillproof.config import FEED_CONFIG as CONFIG
 from tillproof.operators import claims as C, diff as D, figures as G, whatif as W
 from tillproof.operators.products import product_defects
 from tillproof.operators.stores import store_defects

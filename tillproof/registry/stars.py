@@ -69,7 +69,6 @@ def _resolve(w):
 
 
 def _unresolved(w):
-    from tillproof.operators import transactions as T
     typed = w.flagged.filter("not is_copy").select("transaction_id", F.col("store_id"))
     return X.unresolved(typed, w.star["dim_store"], "store_id", "store_id").groupBy("store_id").agg(F.count(F.lit(1)).alias("fact_rows"))
 
