@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillproof.llm import decontaminate, language, licenses, simhash, toxicity
+from tillproof.llm import chat, decontaminate, language, licenses, mixing, simhash, toxicity
 from tillproof.llm.common import table
 
 
@@ -22,6 +22,17 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        chat.added_rows(spark, -7, [("user", odd), ("assistant", odd)]))
+    return chat.digest(chat.format_conversations(rows))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -34,6 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op4_licenses": op4_licenses,
+    "op5_chat": op5_chat,
+    "op6_mixing": op6_mixing,
     "op8_language": op8_language,
     "op10_decontaminate": op10_decontaminate,
 }
