@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillproof.llm import chat, decontaminate, language, licenses, mixing, pii, simhash, toxicity
+from tillproof.llm import chat, decontaminate, html_extract, language, licenses, mixing, pii, simhash, toxicity
 from tillproof.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_chat": op5_chat,
     "op6_mixing": op6_mixing,
+    "op7_html": op7_html,
     "op8_language": op8_language,
     "op10_decontaminate": op10_decontaminate,
 }
