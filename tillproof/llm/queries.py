@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillproof.llm import chat, decontaminate, html_extract, language, licenses, mixing, pii, simhash, toxicity
+from tillproof.llm import chat, decontaminate, hilbert, html_extract, language, licenses, mixing, pii, simhash, toxicity
 from tillproof.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_html": op7_html,
     "op8_language": op8_language,
+    "op9_neighbours": op9_neighbours,
     "op10_decontaminate": op10_decontaminate,
 }
 
