@@ -149,3 +149,9 @@ def identify(docs: DataFrame) -> DataFrame:
     vectors = profiles(docs.filter(~held_out(F.col("doc_id"))))
     judged = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return predict(judged, vectors, ["doc_id", "held_out"])
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is found; texts without a letter go. All columns stay."""
+    vectors = profiles(docs.filter(~held_out(F.col("doc_id"))))
+    return predict(docs, vectors, docs.columns).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
