@@ -109,8 +109,10 @@ def profiles(docs: DataFrame) -> dict[str, list[float]]:
     return {k: (np.array(v) / (np.linalg.norm(v) or 1.0)).tolist() for k, v in sorted(vectors.items())}
 
 
-def predict(docs: DataFrame, vectors: dict[str, list[float]], columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` and lang_pred, score: the closest language and its cosine."""
+def predict(
+    docs: DataFrame, vectors: dict[str, list[float]], columns: list[str], added: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``columns`` of ``docs`` and two more: the closest language and its cosine."""
     names = list(vectors)
     weights = np.array([vectors[n] for n in names], np.float64).reshape(len(names), DIMENSIONS)
     source = docs.select(*columns, F.col("text").cast("string").alias("_llm_text"))
@@ -138,10 +140,10 @@ def predict(docs: DataFrame, vectors: dict[str, list[float]], columns: list[str]
             found = [best(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             return pa.record_batch(
                 [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=[*columns, "lang_pred", "score"])
+                names=[*columns, *added])
         return work
 
-    return map_batches(source, make, f"{kinds}, lang_pred string, score double")
+    return map_batches(source, make, f"{kinds}, `{added[0]}` string, `{added[1]}` double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -154,4 +156,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is found; texts without a letter go. All columns stay."""
     vectors = profiles(docs.filter(~held_out(F.col("doc_id"))))
-    return predict(docs, vectors, docs.columns).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    found = predict(docs, vectors, docs.columns, ("_llm_lang", "_llm_score"))
+    return found.filter(F.col("_llm_lang") != UNKNOWN).select(*docs.columns)

@@ -66,4 +66,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+# The rendered length: 16 characters of template a turn, and one more for every control string
+# of a turn that would not come back as it was.
+SQL: dict[str, str] = {"op5_chat": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+marked AS (
+  SELECT *, contains(text, '\### ') OR contains(text, '\</turn>') OR contains(text || chr(10), '</turn>' || chr(10)) AS odd,
+    (length(text) - length(replace(text, '### ', ''))) // 4 + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS marks
+  FROM rows),
+said AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learnt,
+    sum(16 + length(role) + length(text) + CASE WHEN odd THEN marks ELSE 0 END) AS formatted_chars
+  FROM marked GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM said"""}
