@@ -72,19 +72,34 @@ class Matcher:
             for letter in term:
                 node = node.setdefault(letter, {})
             node[""] = term
-        self.innocent, self.room, self.known = innocent, room, {}
-        long = [t for t in terms if len(t) >= FUZZY_LENGTH]
-        # One edit leaves the first two or the last two letters of a term as they are.
-        self.heads, self.tails = {t[:2] for t in long}, {t[-2:] for t in long}
-
-    def match(self, word: str) -> tuple[str, bool] | None:
-        """(term, misspelt) or None; answers are kept for a bounded number of words."""
-        if word in self.known:
-            return self.known[word]
-        if len(self.known) >= self.room:
-            self.known.clear()
-        found = self.known[word] = self._search(word)
-        return found
+        self.innocent, self.room = innocent, room
+        self.seen: set[str] = set()
+        self.found: dict[str, tuple[str, bool]] = {}
+        # One edit leaves the first or the second half of a term as it is, and its length almost:
+        # per length of a word, the halves that it may begin or end with.
+        self.heads: dict[int, dict[int, set[str]]] = {}
+        self.tails: dict[int, dict[int, set[str]]] = {}
+        for term in (t for t in terms if len(t) >= FUZZY_LENGTH):
+            half = len(term) // 2
+            for size in (len(term) - 1, len(term), len(term) + 1):
+                self.heads.setdefault(size, {}).setdefault(half, set()).add(term[:half])
+                self.tails.setdefault(size, {}).setdefault(len(term) - half, set()).add(term[half:])
+
+    def match(self, words: set[str]) -> set[str]:
+        """The words that match a term; ``found`` then has (term, misspelt) of each.
+
+        Words seen before are not searched again; a bounded number of them is remembered.
+        """
+        if len(self.seen) > self.room:
+            self.seen.clear()
+            self.found.clear()
+        new = words - self.seen
+        self.seen |= new
+        for word in new:
+            hit = self._search(word)
+            if hit is not None:
+                self.found[word] = hit
+        return words & self.found.keys()
 
     def _search(self, word: str) -> tuple[str, bool] | None:
         node, best = self.trie, None
@@ -95,9 +110,11 @@ class Matcher:
             best = node.get("", best)
         if best is not None:
             return best, False
-        if len(word) < FUZZY_LENGTH - 1 or word in self.innocent:
+        heads = self.heads.get(len(word))
+        if heads is None or word in self.innocent:
             return None
-        if word[:2] not in self.heads and word[-2:] not in self.tails:
+        if not any(word[:n] in own for n, own in heads.items()) and not any(
+                word[-n:] in own for n, own in self.tails[len(word)].items()):
             return None
         term = self._within_one(self.trie, word, list(range(len(word) + 1)))
         return None if term is None else (term, True)
@@ -120,13 +137,11 @@ class Matcher:
     def hits(self, text: str) -> list[tuple[str, str, bool, int]]:
         """(word, term, misspelt, context) of every word of ``text`` that matches."""
         low = text.lower()
-        words = set(WORD.findall(low))
-        found = {w: m for w in words if (m := self.match(w)) is not None}
-        if not found:
+        if not self.match(set(WORD.findall(low))):
             return []
         out, spans = [], list(WORD.finditer(low))
         for n, span in enumerate(spans):
-            hit = found.get(span.group())
+            hit = self.found.get(span.group())
             if hit is not None:
                 first, last = spans[max(0, n - WINDOW)], spans[min(len(spans) - 1, n + WINDOW)]
                 before, after = low[first.start():span.start()], low[span.end():last.end()]
