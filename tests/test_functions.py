@@ -101,3 +101,14 @@ def test_mixed_order_puts_blanks_last_both_ways(spark):
 def test_weekday_starts_on_sunday(spark):
     row = spark.sql("select date'2026-05-31' d").select(*[c.alias(n) for n, c in dates.calendar_parts(F.col("d")).items()]).first()
     assert (row.date_key, row.day_of_week, row.is_weekend, row.year_month, row.month_name) == (20260531, 0, 1, "2026-05", "May")
+
+
+def test_amounts_are_rounded_once(spark):
+    texts = ["0.0049999999", "1.2249999996", "2.005", "-2.005", "1.004999999999999999999", "(0.0050000001)", "1e-3", "5e-3", "12345678901234.565"]
+    want = ["0.00", "1.22", "2.01", "-2.01", "1.00", "-0.01", "0.00", "0.01", "12345678901234.57"]
+    assert [str(v) for v in apply(spark, money.parse_currency, texts)] == want
+
+
+def test_near_integers_are_no_integers(spark):
+    values = ["2.0000001", "2.000000000000000000001", "2.000000000000000000000", ".0", "1e3", "1.5e1", "1e-3", "9007199254740993", "-0.0", "7."]
+    assert apply(spark, money.coerce_int, values) == [None, None, 2, 0, 1000, 15, None, 9007199254740993, 0, 7]

@@ -191,3 +191,18 @@ def test_claim_audit_equals_the_rules(spark):
     assert (summary["masked"].checked, summary["masked"].exempt_code_reference, summary["masked"].verdict) == (0, 2, "no-figures")
     assert summary["masked"].exempt_date == 4 and summary["masked"].exempt_identifier == 3 + 1
     assert (summary["plain"].verdict, summary["plain"].exempt_small_integer, summary["wrong"].verdict, summary["none"].checked) == ("pass", 1, "warn", 0)
+
+
+def test_type_does_not_change_with_the_row_count(spark):
+    rows = [("c", f"word {chr(97 + i % 26)} {i}", n) for i in range(40) for n in (1,)]
+    for times in (5_000, 5_000_000):
+        counts = spark.createDataFrame([(c, v, times) for c, v, _ in rows], "column_name string, value string, n long")
+        kinds = P.infer_semantic_type(P.type_evidence(counts, CONFIG)).collect()
+        assert [k.semantic_type for k in kinds] == ["free_text"]
+
+
+def test_relationships_of_many_columns(spark):
+    names = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame([tuple(str(i + k) for k in range(11)) + (str((i + 1) * (i + 2)),) for i in range(5)], names)
+    found = {r.relationship for r in P.discover_relationships(df, names).collect()}
+    assert "c11 ~= c1 * c2" in found and len(found) < 20

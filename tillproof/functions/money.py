@@ -11,6 +11,10 @@ from tillproof.schemas import MONEY
 BARE_DECIMAL = r"^[+-]?\d+(\.\d+)?$"
 INTEGER = r"^[+-]?\d+$"
 DECIMAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+# Longest fraction read. Rounding half away from zero looks at one digit beyond the cents, so
+# digits that are cut off here never change an amount.
+FRACTION = 18
+EXACT = f"decimal(38,{FRACTION})"
 MINUS = "\u2212"
 SPACES = " \u00a0"
 CURRENCY_SYMBOLS = "$€£¥₹"
@@ -23,6 +27,12 @@ def round_money(c: Column) -> Column:
     return F.round(c, 2).cast(MONEY)
 
 
+def exact_number(text: Column) -> Column:
+    """Number text as a decimal that was not rounded; a longer fraction is cut, not rounded."""
+    cut = F.regexp_replace(text, r"^([+-]?\d*\.\d{%d})\d+$" % FRACTION, "$1")
+    return cut.try_cast(EXACT)
+
+
 def is_currency_formatted(c: Column) -> Column:
     """Non-blank text that is not a bare decimal."""
     text = trimmed(c)
@@ -41,7 +51,7 @@ def parse_currency(c: Column) -> Column:
     body = F.regexp_replace(body, f"^{_CREDIT}[+-]?", "-")
     # Most cells are bare decimals and skip the cleaning.
     number = F.when(text.rlike(BARE_DECIMAL), text).otherwise(matched(body, DECIMAL))
-    return round_money(number.try_cast("decimal(38,6)"))
+    return round_money(exact_number(number))
 
 
 def has_text(c: Column) -> Column:
@@ -56,7 +66,7 @@ def currency_parse_failed(c: Column) -> Column:
 def parse_price(c: Column, who: Column) -> Column:
     """Catalogue price; blank gives null, unreadable text stops the job."""
     text = F.regexp_replace(F.regexp_replace(trimmed(c), r"[\s$,]", ""), r"^\((.*)\)$", "-$1")
-    value = round_money(matched(text, DECIMAL).try_cast("decimal(38,6)"))
+    value = round_money(exact_number(matched(text, DECIMAL)))
     broken = F.raise_error(F.concat(F.lit("unreadable price of "), who, F.lit(": "), c)).cast(MONEY)
     return F.when(has_text(c), F.coalesce(value, broken))
 
@@ -93,10 +103,13 @@ def is_parseable_decimal(c: Column) -> Column:
 def coerce_int(c: Column) -> Column:
     """Signed integer; "3.0" is 3, "2.7" is null, sign and zero survive."""
     text = trimmed(c)
-    exact = matched(F.translate(text, MINUS + ",", "-"), DECIMAL).try_cast("decimal(38,6)")
-    whole = matched(exact.cast("string"), r"^-?\d+\.0{6}$").try_cast("decimal(38,6)")
+    number = matched(F.translate(text, MINUS + ",", "-"), DECIMAL)
+    # A fraction is tested digit by digit, for a cast would round it away.
+    plain = F.regexp_replace(matched(number, r"^[+-]?(\d+\.?0*|\.0+)$"), r"\.0*$", "")
+    whole = F.when(plain.rlike(r"\d$"), plain).when(plain.isNotNull(), "0")
+    powered = F.when(number.rlike("[eE]"), F.regexp_extract(number.try_cast(EXACT).cast("string"), r"^(-?\d+)\.0+$", 1))
     # Most cells are bare integers and skip the cleaning.
-    return F.when(text.rlike(INTEGER), text.try_cast("long")).otherwise(whole.try_cast("long"))
+    return F.when(text.rlike(INTEGER), text.try_cast("long")).otherwise(F.coalesce(whole, powered).try_cast("long"))
 
 
 def int_parse_failed(c: Column) -> Column:

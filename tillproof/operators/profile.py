@@ -27,7 +27,8 @@ TOP_VALUES = 5
 SAMPLES = 5
 LENGTHS = 10
 FAILURE_EXAMPLES = 5
-MAX_RELATION_COLUMNS = 8
+# Candidate rules counted by one pass over the table; more of them take more passes.
+RULES_AT_ONCE = 400
 MIN_RELATION_RATE = 0.5
 KEY_LISTING = 25
 MISMATCH_EXAMPLES = 10
@@ -101,11 +102,12 @@ def length_histogram(counts: DataFrame, limit: int = LENGTHS) -> DataFrame:
         .filter(F.col("length_rank") <= limit))
 
 
-def top_values(counts: DataFrame, limit: int = TOP_VALUES) -> DataFrame:
-    """Commonest values, null among them, of columns with 1 to 25 distinct values; ties by
-    value with null after every text."""
+def top_values(counts: DataFrame, limit: int = TOP_VALUES, most_values: int | None = None) -> DataFrame:
+    """Commonest values, null among them, of columns with any; ties by value with null after
+    every text. ``most_values`` leaves out columns with more distinct values than that."""
+    held = F.col("distinct_count") >= 1
     distinct = profile_distinct(counts).filter(
-        F.col("distinct_count").between(1, MAX_CATEGORIES)).select("column_name")
+        held if most_values is None else held & (F.col("distinct_count") <= most_values)).select("column_name")
     order = W.partitionBy("column_name").orderBy(
         F.col("n").desc(), F.col("value").asc_nulls_last())
     total = counts.groupBy("column_name").agg(F.sum("n").alias("_all"))
@@ -135,10 +137,10 @@ def type_evidence(counts: DataFrame, config: RunConfig) -> DataFrame:
     tokens = _observed(counts).groupBy("column_name", "token").agg(F.sum("n").alias("n"))
     tested = tokens.withColumns({**tests, "marked": money.has_currency_marker(F.col("token"))})
     seen = tested.groupBy("column_name").agg(
-        F.sum("n").alias("observable_count"), F.count(F.lit(1)).alias("_tokens"),
+        F.sum("n").alias("observable_count"), F.count(F.lit(1)).alias("distinct_tokens"),
         *[_weight(F.col(name)).alias(name) for name in tests], _weight(F.col("marked")).alias("marker_count"))
     rates = {name: _ratio(F.col(name), F.col("observable_count")) for name in tests}
-    rated = seen.withColumns({**rates, "distinct_ratio": _ratio(F.col("_tokens"), F.col("observable_count"))}).drop("_tokens")
+    rated = seen.withColumns({**rates, "distinct_ratio": _ratio(F.col("distinct_tokens"), F.col("observable_count"))})
     empty = counts.select("column_name").distinct()
     filled = empty.join(F.broadcast(rated), "column_name", "left")
     return filled.select("column_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in rated.columns[1:]])
@@ -149,15 +151,16 @@ def infer_semantic_type(evidence: DataFrame) -> DataFrame:
     e = F.col
     named_like_key = F.lower("column_name").rlike("(_id|_key|id|code)$")
     like_key = (e("identifier_rate") >= CONFIDENCE) | (named_like_key & (e("identifier_rate") >= 0.5))
-    distinct = F.round(e("distinct_ratio") * e("observable_count"))
-    category = (distinct <= MAX_CATEGORIES) & (e("distinct_ratio") <= MAX_CATEGORY_RATIO)
+    # The counts decide, not their rounded ratio, so a type does not change with the row count.
+    category = (e("distinct_tokens") <= MAX_CATEGORIES) & (e("distinct_tokens") <= MAX_CATEGORY_RATIO * e("observable_count"))
+    many = e("distinct_tokens") >= MIN_KEY_RATIO * e("observable_count")
     rules = (
         (e("observable_count") == 0, "empty", F.lit(1.0)),
         (e("date_rate") >= CONFIDENCE, "date", e("date_rate")),
         ((e("marker_count") > 0) & (e("currency_rate") >= CONFIDENCE), "currency_string", e("currency_rate")),
         (e("int_rate") >= CONFIDENCE, "integer", e("int_rate")),
         (e("decimal_rate") >= CONFIDENCE, "decimal", e("decimal_rate")),
-        (like_key & (e("distinct_ratio") >= MIN_KEY_RATIO), "identifier", e("identifier_rate")),
+        (like_key & many, "identifier", e("identifier_rate")),
         (category, "categorical", F.lit(1.0)),
         (like_key, "identifier", e("identifier_rate")),
     )
@@ -320,7 +323,8 @@ def pk_conflict_values(df: DataFrame, key: str) -> DataFrame:
 
 
 def referential_integrity(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """One row: orphans and unreferenced parents, with the first keys of each."""
+    """One row: orphans and unreferenced parents, with the first keys of each and whether there
+    are more."""
     missing = is_missing(F.col(key).cast("string"))
     used = child.groupBy(F.when(~missing, F.col(key).cast("string")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     known = parent.filter(~is_missing(F.col(parent_key).cast("string"))).select(
@@ -344,6 +348,8 @@ def referential_integrity(child: DataFrame, key: str, parent: DataFrame, parent_
         "child_row_count": rows, "null_key_count": nulls,
         "orphan_rate": _ratio(F.col("orphan_row_count"), rows),
         "orphan_keys": listed(orphan, "v").scalar(), "unreferenced_parent_keys": listed(idle, "v").scalar(),
+        "orphan_keys_truncated": F.col("orphan_key_count") > KEY_LISTING,
+        "unreferenced_parent_keys_truncated": F.col("unreferenced_parent_count") > KEY_LISTING,
     })
 
 
@@ -363,15 +369,16 @@ def arithmetic_reconciliation(
     rows = df.select(reported.alias("reported"), product.alias("product"), delta.alias("delta"))
     usable = F.col("delta").isNotNull()
     miss = usable & (F.abs("delta") > tolerance)
-    four = lambda c: F.round(F.coalesce(c, F.lit(0.0)) * 100) / 100
+    four = lambda c: F.round(F.coalesce(c.cast("double"), F.lit(0.0)) * 1e4) / 1e4
     relative = F.abs(F.try_divide("delta", F.when(F.col("product") != 0, F.col("product"))))
     return rows.agg(
         F.count_if(usable).alias("comparable_row_count"), F.count_if(~usable).alias("unparseable_row_count"),
         F.count_if(usable & ~miss).alias("match_count"), F.count_if(miss).alias("mismatch_count"),
-        four(F.sum(F.when(miss, F.round(F.col("delta") * 100)).cast("decimal(28,0)")).cast("double") / 100).alias("total_signed_delta"),
-        four(F.sum(F.when(miss, F.round(F.abs(F.col("delta")) * 100)).cast("decimal(28,0)")).cast("double") / 100).alias("total_absolute_delta"),
+        # Deltas are added exactly and rounded once, after the sum.
+        four(F.sum(F.when(miss, F.col("delta").cast("decimal(28,9)")))).alias("total_signed_delta"),
+        four(F.sum(F.when(miss, F.abs(F.col("delta")).cast("decimal(28,9)")))).alias("total_absolute_delta"),
         four(F.max(F.when(usable, F.abs("delta")))).alias("max_absolute_delta"),
-        (F.round(F.avg(F.when(miss, relative)) * 1e4) / 1e4).alias("mean_relative_delta"),
+        (F.round(F.avg(F.when(miss, relative)) * 1e6) / 1e6).alias("mean_relative_delta"),
     ).withColumn("match_rate", F.round(F.try_divide(
         F.col("match_count") * 1e6, F.col("comparable_row_count"))) / 1e6)
 
@@ -387,24 +394,25 @@ def reconciliation_examples(
 
 
 def discover_relationships(df: DataFrame, columns: list[str], tolerance: float = 0.01) -> DataFrame:
-    """Every target and unordered factor pair among three to eight numeric columns, all
-    counted in one aggregate; rules that hold for half the rows or more are kept."""
-    spark = df.sparkSession
-    schema = "relationship string, target string, comparable_row_count long, match_count long, match_rate double"
-    if not 3 <= len(columns) <= MAX_RELATION_COLUMNS:
-        return spark.createDataFrame([], schema)
+    """Every target and unordered factor pair among three or more numeric columns; rules that
+    hold for half the rows or more are kept. Many rules share one aggregate over the table."""
+    rules = [(target, a, b) for target in columns for a, b in combinations(sorted(c for c in columns if c != target), 2)]
+    if not rules:
+        return df.sparkSession.createDataFrame(
+            [], "relationship string, target string, comparable_row_count long, match_count long, match_rate double")
     parsed = df.select(*[money.to_decimal(F.col(c)).cast("double").alias(c) for c in columns])
-    rules, counts = [], []
-    for target in columns:
-        for a, b in combinations(sorted(c for c in columns if c != target), 2):
+
+    def counted(part: list[tuple[str, str, str]]) -> DataFrame:
+        counts = []
+        for i, (target, a, b) in enumerate(part):
             delta = F.col(a) * F.col(b) - F.col(target)
-            i = len(rules)
-            rules.append((f"{target} ~= {a} * {b}", target))
             counts += [F.count(delta).alias(f"c{i}"), F.count_if(F.abs(delta) <= tolerance).alias(f"m{i}")]
-    tested = parsed.agg(*counts).select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("relationship"), F.lit(target).alias("target"),
-                 F.col(f"c{i}").alias("comparable_row_count"), F.col(f"m{i}").alias("match_count"))
-        for i, (name, target) in enumerate(rules)])))
+        return parsed.agg(*counts).select(F.inline(F.array(*[
+            F.struct(F.lit(f"{target} ~= {a} * {b}").alias("relationship"), F.lit(target).alias("target"),
+                     F.col(f"c{i}").alias("comparable_row_count"), F.col(f"m{i}").alias("match_count"))
+            for i, (target, a, b) in enumerate(part)])))
+
+    tested = reduce(DataFrame.unionByName, [counted(rules[i:i + RULES_AT_ONCE]) for i in range(0, len(rules), RULES_AT_ONCE)])
     rate = F.round(F.try_divide(F.col("match_count") * 1e6, F.col("comparable_row_count"))) / 1e6
     return tested.withColumn("match_rate", rate).filter(
         F.col("match_rate") >= MIN_RELATION_RATE).orderBy(F.col("match_rate").desc(), "target", "relationship")

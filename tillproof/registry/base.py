@@ -29,12 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # serves both sides; only the name of the text type differs.
 MESSY = """
 SELECT o_orderkey AS id,
-  CASE o_orderkey % 16 WHEN 0 THEN x WHEN 1 THEN '$' || x WHEN 2 THEN x || ' USD'
+  CASE o_orderkey % 16 WHEN 0 THEN x || CASE WHEN o_orderkey % 32 = 0 THEN '49999999' ELSE '' END WHEN 1 THEN '$' || x WHEN 2 THEN x || ' USD'
     WHEN 3 THEN '(' || x || ')' WHEN 4 THEN '−' || x WHEN 5 THEN '+' || x WHEN 6 THEN '  ' || x || ' '
     WHEN 7 THEN 'N/A' WHEN 8 THEN '' WHEN 9 THEN '   ' WHEN 10 THEN NULL WHEN 11 THEN 'nan'
     WHEN 12 THEN '1,' || lpad(CAST(o_orderkey % 1000 AS {S}), 3, '0') || '.5' WHEN 13 THEN '€' || x
     WHEN 14 THEN x || 'd' ELSE '($' || x || ')' END AS amount_text,
-  CASE o_orderkey % 10 WHEN 0 THEN n WHEN 1 THEN n || '.0' WHEN 2 THEN n || '.7' WHEN 3 THEN '1,' || lpad(n, 3, '0')
+  CASE o_orderkey % 10 WHEN 0 THEN n WHEN 1 THEN n || '.0' WHEN 2 THEN n || CASE WHEN o_orderkey % 20 = 2 THEN '.0000001' ELSE '.7' END WHEN 3 THEN '1,' || lpad(n, 3, '0')
     WHEN 4 THEN '−' || n WHEN 5 THEN 'x' || n WHEN 6 THEN NULL WHEN 7 THEN ' ' || n || ' ' WHEN 8 THEN '0'
     ELSE '-' || n END AS int_text,
   CASE o_orderkey % 11 WHEN 0 THEN d WHEN 1 THEN substr(d,6,2) || '/' || substr(d,9,2) || '/' || substr(d,1,4)

@@ -36,12 +36,12 @@ _IS = {
 }
 EVIDENCE = "evidence AS (SELECT column_name, any_value(position) AS position, count(v) AS observable_count, " + ", ".join(
     f"{_pct(f'count(*) FILTER (WHERE {t})', 'count(v)')} AS {n}" for n, t in _IS.items()
-) + f", count(*) FILTER (WHERE regexp_matches(v, '[$€£¥₹,]')) AS marker_count, {_pct('count(DISTINCT v)', 'count(v)')} AS distinct_ratio FROM cells GROUP BY column_name)"
+) + f", count(*) FILTER (WHERE regexp_matches(v, '[$€£¥₹,]')) AS marker_count, count(DISTINCT v) AS distinct_tokens, {_pct('count(DISTINCT v)', 'count(v)')} AS distinct_ratio FROM cells GROUP BY column_name)"
 _KEYISH = "(identifier_rate >= 0.95 OR (regexp_matches(column_name, '(_id|_key|id|code)$') AND identifier_rate >= 0.5))"
 TYPES = f"""types AS (SELECT *, CASE WHEN observable_count = 0 THEN 'empty' WHEN date_rate >= 0.95 THEN 'date'
   WHEN marker_count > 0 AND currency_rate >= 0.95 THEN 'currency_string' WHEN int_rate >= 0.95 THEN 'integer'
-  WHEN decimal_rate >= 0.95 THEN 'decimal' WHEN {_KEYISH} AND distinct_ratio >= 0.5 THEN 'identifier'
-  WHEN round(distinct_ratio * observable_count) <= 25 AND distinct_ratio <= 0.5 THEN 'categorical'
+  WHEN decimal_rate >= 0.95 THEN 'decimal' WHEN {_KEYISH} AND distinct_tokens * 2 >= observable_count THEN 'identifier'
+  WHEN distinct_tokens <= 25 AND distinct_tokens * 2 <= observable_count THEN 'categorical'
   WHEN {_KEYISH} THEN 'identifier' ELSE 'free_text' END AS semantic_type FROM evidence),
 trusted AS (SELECT *, CASE semantic_type WHEN 'date' THEN date_rate WHEN 'currency_string' THEN currency_rate WHEN 'integer' THEN int_rate
   WHEN 'decimal' THEN decimal_rate WHEN 'identifier' THEN identifier_rate ELSE 1.0 END AS confidence FROM types)"""
@@ -86,33 +86,36 @@ def _types(w, name="transactions"):
     return P.infer_semantic_type(P.type_evidence(_counts(w, name), CONFIG))
 
 
+_PAYLOAD = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
 def _keyed_lines(spark, sf_dir):
     """Line items under the key (order, line number), which several lines share."""
     return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line_id"), "l_partkey", "l_returnflag",
-        F.col("l_quantity").cast("int").alias("units"), F.to_date("l_shipdate").alias("ship"))
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line_id"), *_PAYLOAD)
 
 
-_LINES = """lines AS (SELECT l_orderkey || '-' || l_linenumber AS line_id, l_partkey, l_returnflag, CAST(l_quantity AS INTEGER) AS units,
-  CAST(l_shipdate AS DATE) AS ship FROM lineitem),
-groups AS (SELECT line_id, count(*) AS row_count, count(DISTINCT (l_partkey, l_returnflag, units, ship)) AS distinct_row_count,
-  concat_ws(',', CASE WHEN count(DISTINCT l_partkey) > 1 THEN 'l_partkey' END, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'l_returnflag' END,
-    CASE WHEN count(DISTINCT units) > 1 THEN 'units' END, CASE WHEN count(DISTINCT ship) > 1 THEN 'ship' END) AS differing_columns
-  FROM lines GROUP BY line_id)"""
+_DIFFER = ", ".join(f"CASE WHEN count(DISTINCT {c}) > 1 THEN '{c}' END" for c in _PAYLOAD)
+_LINES = f"""lines AS (SELECT l_orderkey || '-' || l_linenumber AS line_id, {', '.join(_PAYLOAD)} FROM lineitem),
+groups AS (SELECT line_id, count(*) AS row_count, count(DISTINCT ({', '.join(_PAYLOAD)})) AS distinct_row_count,
+  concat_ws(',', {_DIFFER}) AS differing_columns FROM lines GROUP BY line_id)"""
 
 
 def _samples(spark, sf_dir):
     people = parquet_with_row_place(spark, f"{sf_dir}/customer.parquet", "source_row")
-    columns = ["c_custkey", "c_name", "c_mktsegment"]
+    columns = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    people = people.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
     return P.sample_values(people, columns, people.count())
 
 
 def _rule_table(w):
-    return w.sales.select(*[F.col(c).cast("string").alias(c) for c in (
-        "quantity", "unit_price", "extended_amount", "total_amount", "discount_amount")])
+    """The money columns and, so that there are many, small multiples of the quantity."""
+    multiples = [(F.col("quantity") * n).alias(f"quantity_{n}") for n in range(2, 9)]
+    wide = w.sales.select("quantity", "unit_price", "extended_amount", "total_amount", "discount_amount", *multiples)
+    return wide.select(*[F.col(c).cast("string").alias(c) for c in _PAIRS])
 
 
-_PAIRS = ["quantity", "unit_price", "extended_amount", "total_amount", "discount_amount"]
+_PAIRS = ["quantity", "unit_price", "extended_amount", "total_amount", "discount_amount", *[f"quantity_{n}" for n in range(2, 9)]]
 
 
 def _rules() -> str:
@@ -123,8 +126,9 @@ def _rules() -> str:
             for b in rest[i + 1:]:
                 parts.append(
                     f"SELECT '{t} ~= {a} * {b}' AS relationship, '{t}' AS target, count({a}) AS comparable_row_count,"
-                    f" count(*) FILTER (WHERE abs(CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE) - CAST({t} AS DOUBLE)) <= 0.01) AS match_count FROM sales")
-    return "SELECT *, round(match_count * 1e6 / comparable_row_count) / 1e6 AS match_rate FROM (" + " UNION ALL ".join(parts) + ") WHERE match_count * 2 >= comparable_row_count"
+                    f" count(*) FILTER (WHERE abs(CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE) - CAST({t} AS DOUBLE)) <= 0.01) AS match_count FROM wide_sales")
+    wide = ", ".join(f"quantity * {n} AS quantity_{n}" for n in range(2, 9))
+    return f"WITH wide_sales AS (SELECT *, {wide} FROM sales) " + "SELECT *, round(match_count * 1e6 / comparable_row_count) / 1e6 AS match_rate FROM (" + " UNION ALL ".join(parts) + ") WHERE match_count * 2 >= comparable_row_count"
 
 
 QUERIES = [
@@ -143,12 +147,14 @@ SELECT column_name, chars, cells, min_chars, max_chars, CAST(length_rank AS INTE
           over(f"""WITH {_cells('products')}, n AS (SELECT column_name, v AS value, count(*) AS cells FROM cells GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cells DESC, value NULLS LAST) AS value_rank, sum(cells) OVER (PARTITION BY column_name) AS every,
   count(value) OVER (PARTITION BY column_name) AS kinds FROM n)
-SELECT column_name, CAST(value_rank AS INTEGER) AS value_rank, value, cells, {_pct('cells', 'every')} AS pct FROM r WHERE kinds BETWEEN 1 AND 25 AND value_rank <= 5""", "raw_products")),
+SELECT column_name, CAST(value_rank AS INTEGER) AS value_rank, value, cells, {_pct('cells', 'every')} AS pct FROM r WHERE kinds >= 1 AND value_rank <= 5""", "raw_products")),
     Query("sample_values", _samples,
           """WITH p AS (SELECT *, row_number() OVER () - 1 AS source_row, count(*) OVER () AS n FROM customer),
 spots AS (SELECT DISTINCT CAST(round_even(i * (n - 1) / 4.0, 0) AS BIGINT) AS place FROM (SELECT DISTINCT n FROM p), (VALUES (0), (1), (2), (3), (4)) AS k(i))
 SELECT source_row, 'c_custkey' AS column_name, CAST(c_custkey AS VARCHAR) AS value FROM p WHERE source_row IN (SELECT place FROM spots)
 UNION ALL SELECT source_row, 'c_name', c_name FROM p WHERE source_row IN (SELECT place FROM spots)
+UNION ALL SELECT source_row, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM p WHERE source_row IN (SELECT place FROM spots)
+UNION ALL SELECT source_row, 'c_acctbal', CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) FROM p WHERE source_row IN (SELECT place FROM spots)
 UNION ALL SELECT source_row, 'c_mktsegment', c_mktsegment FROM p WHERE source_row IN (SELECT place FROM spots)"""),
     Query("type_evidence", on_feed(lambda w: P.type_evidence(_counts(w), CONFIG)),
           over(_head("transactions") + "SELECT * EXCLUDE (position) FROM evidence", "raw_transactions")),
@@ -196,13 +202,15 @@ SELECT CAST(row_number() OVER (ORDER BY distinct_pct DESC, position) AS INTEGER)
   (SELECT count(*) FROM {p} WHERE {k} NOT IN (SELECT {k} FROM raw_transactions WHERE {k} IS NOT NULL)) AS unreferenced_parent_count,
   coalesce((SELECT string_agg({k}, ',' ORDER BY {k}) FROM (SELECT DISTINCT {k} FROM raw_transactions WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {k} FROM {p}) ORDER BY {k} LIMIT 25)), '') AS orphan_keys,
   coalesce((SELECT string_agg({k}, ',' ORDER BY {k}) FROM (SELECT {k} FROM {p} WHERE {k} NOT IN (SELECT {k} FROM raw_transactions WHERE {k} IS NOT NULL) ORDER BY {k} LIMIT 25)), '') AS unreferenced_parent_keys,
+  count(DISTINCT c.{k}) FILTER (WHERE c.{k} NOT IN (SELECT {k} FROM {p})) > 25 AS orphan_keys_truncated,
+  (SELECT count(*) FROM {p} WHERE {k} NOT IN (SELECT {k} FROM raw_transactions WHERE {k} IS NOT NULL)) > 25 AS unreferenced_parent_keys_truncated,
   '{r}' AS relation FROM raw_transactions c""" for k, p, r in (("store_id", "stores_clean", "store"), ("customer_id", "dim_customer", "customer"))), "stores_clean", "dim_customer")),
     Query("arithmetic_reconciliation", on_feed(lambda w: P.arithmetic_reconciliation(w.raw["transactions"], "total_amount", ("quantity", "unit_price"))),
           over("""WITH d AS (SELECT extended, extended - total AS delta FROM flagged)
 SELECT count(delta) AS comparable_row_count, count(*) - count(delta) AS unparseable_row_count, count(*) FILTER (WHERE abs(delta) <= 0.01) AS match_count,
   count(*) FILTER (WHERE abs(delta) > 0.01) AS mismatch_count, CAST(sum(delta) FILTER (WHERE abs(delta) > 0.01) AS DOUBLE) AS total_signed_delta,
   CAST(sum(abs(delta)) FILTER (WHERE abs(delta) > 0.01) AS DOUBLE) AS total_absolute_delta, CAST(max(abs(delta)) AS DOUBLE) AS max_absolute_delta,
-  round(avg(abs(CAST(delta AS DOUBLE) / nullif(CAST(extended AS DOUBLE), 0))) FILTER (WHERE abs(delta) > 0.01) * 1e4) / 1e4 AS mean_relative_delta,
+  round(avg(abs(CAST(delta AS DOUBLE) / nullif(CAST(extended AS DOUBLE), 0))) FILTER (WHERE abs(delta) > 0.01) * 1e6) / 1e6 AS mean_relative_delta,
   round(count(*) FILTER (WHERE abs(delta) <= 0.01) * 1e6 / count(delta)) / 1e6 AS match_rate FROM d""", "flagged")),
     Query("reconciliation_examples", on_feed(lambda w: P.reconciliation_examples(w.raw["transactions"], "total_amount", ("quantity", "unit_price")).withColumns(
         {c: F.round(F.col(c) * 100) / 100 for c in ("reported", "computed", "delta")})),
