@@ -1,6 +1,7 @@
 import pytest
 
 from kit import CONFIG
+from tillproof.plans.bundle import bundle_manifest, run_bundle
 from tillproof.plans.run import run_folder
 from tillproof.sources import files, sinks
 
@@ -72,6 +73,12 @@ def test_whole_run_over_a_folder(spark, folder, tmp_path):
     assert {r.source_row: r.disposition for r in result.workspace.lineage.collect()} == {0: "kept", 1: "kept", 2: "dropped", 3: "quarantined"}
     assert result.problems.count() == 0  # no expected counts given: every class was looked for
     assert result.metrics["revenue_reconciliation"].first().net_revenue == 25.0
-    document = result.bundle.select("document").first()[0]
-    assert document.startswith('{"metadata":{"as_of":"2026-06-02"')
+    assert result.bundle.filter("section = 'metadata'").first().record.startswith('{"as_of":"2026-06-02"')
+    manifest = {r.section: r.records for r in spark.read.json(str(tmp_path / "out" / "bundle" / "manifest")).collect()}
+    assert manifest["metrics.revenue_reconciliation"] == manifest["metadata"] == 1 and manifest["coverage"] == 17
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "cleaned" / "transactions")).count() == 2
+
+
+def test_a_long_report_is_bundled_whole(spark):
+    bundle = run_bundle({"as_of": "2026-06-02"}, {"stores": spark.range(150_000)}, {"empty": spark.range(0)})
+    assert {r.section: r.records for r in bundle_manifest(bundle).collect()} == {"metadata": 1, "stores": 150_000}

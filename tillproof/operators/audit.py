@@ -32,6 +32,11 @@ def first_keys(detections: DataFrame, cap: int) -> DataFrame:
     )
 
 
+def defect_keys(detections: DataFrame) -> DataFrame:
+    """Every counted key of every code, one per row: what the capped list of a record is cut from."""
+    return detections.filter("counted").select("code", "source_row", "row_key")
+
+
 def defect_ledger(
     detections: DataFrame, cap: int = 50, recorded: tuple[str, ...] = DEFECT_CODES,
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from tillproof.operators.audit import coverage, coverage_check
 from tillproof.operators.metrics import run_metrics
 from tillproof.operators.profile import profile_datasets
 from tillproof.operators.transactions import check_budget
-from tillproof.plans.bundle import run_bundle
+from tillproof.plans.bundle import run_bundle, write_bundle
 from tillproof.plans.workspace import Workspace
 from tillproof.sources.files import read_feed, with_source_row
 from tillproof.sources.sinks import lineage_sink, quarantine_sink, write_csv, write_json
@@ -52,5 +52,5 @@ def run_folder(
         for name, df in metrics.items():
             write_json(df, f"{output}/metrics/{name}")
         write_json(proof, f"{output}/coverage")
-        bundle.write.mode("overwrite").text(f"{output}/bundle")
+        write_bundle(bundle, f"{output}/bundle")
     return RunResult(work, metrics, coverage_check(work.catalog, work.ledger), bundle)

@@ -45,6 +45,8 @@ FROM catalog c JOIN expected e ON c.code = e.code GROUP BY dataset""", "catalog"
   WHERE place <= 50 GROUP BY code)
 SELECT l.code, l.detected_count, {_ACTION.replace('code IN', 'l.code IN')} AS action, affected_keys, l.detected_count AS affected_keys_total,
   l.detected_count > 50 AS affected_keys_truncated FROM ledger l JOIN firsts f ON l.code = f.code""", "ledger")),
+    Query("defect_keys", on_feed(lambda w: A.defect_keys(w.detections)),
+          over("SELECT code, source_row, row_key FROM detections WHERE counted", "detections")),
     Query("merge_records", on_feed(lambda w: A.merge_records(_calls(w)).withColumn("affected_keys", F.concat_ws(",", "affected_keys"))),
           over("""WITH calls AS (
   SELECT code, disposition AS call, count(*) AS n, CASE WHEN disposition = 'evidence' THEN 'flagged' ELSE disposition END AS action,

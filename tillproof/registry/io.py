@@ -102,12 +102,16 @@ def _bundle(w):
         {"as_of": CONFIG.as_of, "window_start": CONFIG.window_start},
         {"coverage": coverage(w.catalog, w.ledger), "audit": w.ledger, "profile": profile_datasets(w.raw, CONFIG)},
         M.run_metrics(w.spark, w.star, CONFIG))
-    at = lambda p: F.json_array_length(F.get_json_object("document", p)).cast("long")
-    return doc.select(
-        F.get_json_object("document", "$.metadata.as_of").alias("as_of"), at("$.coverage").alias("coverage_rows"),
-        at("$.audit").alias("audit_rows"), at("$.profile").alias("profile_rows"),
-        *[at(f"$.metrics.{m}").alias(m) for m in M.METRICS],
-        F.get_json_object("document", "$.metrics.revenue_reconciliation[0].net_revenue").cast("double").alias("net_revenue"))
+    rows = lambda section: F.count_if(F.col("section") == section)
+    total = lambda section, field: F.coalesce(F.sum(F.when(
+        F.col("section") == section, F.get_json_object("record", f"$.{field}").cast("decimal(28,2)"))), F.lit(0)).cast("double")
+    return doc.agg(
+        F.max(F.when(F.col("section") == "metadata", F.get_json_object("record", "$.as_of"))).alias("as_of"),
+        rows("coverage").alias("coverage_rows"), rows("audit").alias("audit_rows"), rows("profile").alias("profile_rows"),
+        *[rows(f"metrics.{m}").alias(m) for m in M.METRICS],
+        total("audit", "detected_count").alias("detected"), total("profile", "row_count").alias("profiled_cells"),
+        total("profile", "null_count").alias("profiled_nulls"), total("metrics.mom_growth_by_category", "net_revenue").alias("growth_net"),
+        total("metrics.revenue_reconciliation", "net_revenue").alias("net_revenue"))
 
 
 QUERIES = [
@@ -143,5 +147,8 @@ FROM stores_clean ORDER BY store_id LIMIT 20""", "stores_clean")),
   (SELECT count(*) FROM (SELECT DISTINCT category, year_month FROM fact_sales JOIN dim_date USING (date_key) JOIN dim_product USING (product_key))) AS mom_growth_by_category,
   (SELECT count(DISTINCT store_key) FROM fact_sales) AS return_rate_by_store,
   (SELECT count(DISTINCT region) FROM fact_sales JOIN dim_store USING (store_key) WHERE is_return = 0) AS aov_by_region,
-  CAST(10 AS BIGINT) AS top_customers_lifetime, CAST(1 AS BIGINT) AS revenue_reconciliation, (SELECT CAST(sum(net_amount) AS DOUBLE) FROM fact_sales) AS net_revenue""", "fact_sales")),
+  CAST(10 AS BIGINT) AS top_customers_lifetime, CAST(1 AS BIGINT) AS revenue_reconciliation, (SELECT CAST(sum(net_amount) AS DOUBLE) FROM fact_sales) AS net_revenue,
+  (SELECT CAST(sum(net_amount) AS DOUBLE) FROM fact_sales) AS growth_net, (SELECT CAST(count(*) AS DOUBLE) FROM detections WHERE counted) AS detected,
+  CAST({' + '.join(f"{len(RAW_COLUMNS[n])} * (SELECT count(*) FROM raw_{n})" for n in RAW_COLUMNS)} AS DOUBLE) AS profiled_cells,
+  CAST({' + '.join(f"(SELECT count(*) - count({c}) FROM raw_{n})" for n in RAW_COLUMNS for c in RAW_COLUMNS[n])} AS DOUBLE) AS profiled_nulls""", "fact_sales", "detections")),
 ]

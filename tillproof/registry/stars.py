@@ -135,8 +135,10 @@ GROUP BY 1, 2, 3, 4, 5 ORDER BY sum(net_amount) DESC, store_id LIMIT 10""", "fac
   CAST(sum(discount_amount) AS DOUBLE) AS discounts_given, round(CAST(sum(list_unit_price) AS DOUBLE) / count(*) * 100) / 100 AS avg_list_price
 FROM fact_sales JOIN dim_product USING (product_key) GROUP BY category""", "fact_sales")),
     Query("quarantine_root_cause", on_feed(lambda w: adhoc.quarantine_root_cause(w.quarantine).drop("reason_detail")),
-          over("""SELECT reason_code, dataset, CAST(floor(source_row / 100000) AS BIGINT) AS id_span, string_agg(row_key, ',' ORDER BY row_key) AS ids,
-  CAST(sum(count(*)) OVER (PARTITION BY reason_code, dataset) AS BIGINT) AS held_rows FROM slices GROUP BY 1, 2, 3""", "slices")),
+          over("""SELECT reason_code, dataset, count(*) AS held_rows, min(row_key) AS first_key, max(row_key) AS last_key
+FROM slices GROUP BY 1, 2""", "slices")),
+    Query("quarantine_cause_keys", on_feed(lambda w: adhoc.quarantine_cause_keys(w.quarantine).drop("reason_detail")),
+          over("SELECT reason_code, dataset, source_row, row_key FROM slices", "slices")),
     Query("fk_audit", on_feed(lambda w: adhoc.fk_audit(w.star)),
           over(" UNION ALL ".join(
               f"SELECT 'fact_sales -> {d}' AS relationship, count(*) AS total_fact_rows, count(*) FILTER (WHERE {c} NOT IN (SELECT {c} FROM {d})) AS orphans, 'PASS' AS status FROM fact_sales"
