@@ -5,6 +5,7 @@ import pytest
 from kit import CONFIG, PRODUCTS, STORES, TRANSACTIONS, by, flagged, raw, rows, sale
 from tillproof.config import RunConfig
 from tillproof.operators import products as P, stores as S, transactions as X
+from tillproof.plans.workspace import Workspace
 
 
 def test_stores_are_padded_filled_and_flagged(spark):
@@ -138,3 +139,15 @@ def test_budget_adds_up(spark):
 def test_missing_column_is_named(spark):
     with pytest.raises(ValueError, match="zip_code"):
         S.clean_stores(raw(spark, "stores", STORES).drop("zip_code"), CONFIG)
+
+
+def test_rows_without_a_key_are_held_back(spark):
+    shops = raw(spark, "stores", STORES + [(None, "A", "Rome", "NY", "14604", "Northeast", "2010-01-01"), (None, "B", "Bend", "OR", "97001", "West", "2012-01-01")])
+    goods = raw(spark, "products", PRODUCTS + [(None, "Cap", "Apparel", "10.00", "V1"), (None, "Hat", "Apparel", "12.00", "V1")])
+    work = Workspace(spark, {"stores": shops, "products": goods, "transactions": raw(spark, "transactions", TRANSACTIONS)}, CONFIG)
+    assert work.stores.filter("store_id is null").count() == work.products.filter("product_id is null").count() == 0
+    held = work.quarantine.filter("reason_code = 'NO-KEY'").groupBy("dataset").count()
+    assert rows(held) == [("products", 2), ("stores", 2)]
+    got = {r.dataset: r for r in work.dimension_budget.collect()}
+    assert (got["stores"].source_rows, got["stores"].kept, got["stores"].quarantined) == (5, 3, 2)
+    assert (got["products"].source_rows, got["products"].kept, got["products"].dropped, got["products"].quarantined) == (6, 3, 1, 2)

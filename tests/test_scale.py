@@ -6,7 +6,9 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from kit import CONFIG, TRANSACTIONS, dims, flagged, raw
 from tillproof import scale
+from tillproof.operators import star as X, transactions as T
 from tillproof.operators.medians import group_median
 
 
@@ -18,25 +20,45 @@ def skewed(spark):
         F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("key"))
 
 
-def test_salted_lookup_equals_broadcast(spark, skewed):
+def scans(df, name):
+    return str(df._jdf.queryExecution().executedPlan()).count(name)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_lookup_equals_broadcast_and_reads_once(spark, skewed, no_broadcast):
     side = skewed.select("key").distinct().filter("key <> 'k7'").withColumn("v", F.length("key"))
-    plain = scale.lookup(skewed, side, ["key"], "left", small=True)
-    salted = scale.lookup(skewed, side, ["key"], "left", spread=F.col("source_row"), small=False)
-    assert salted.columns == plain.columns
-    assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
-    assert "_salt" in salted._jdf.queryExecution().toString()
+    left = scale.written(skewed, "t-left")
+    merged = scale.lookup(left, side, ["key"])
+    plain = left.join(F.broadcast(side), "key", "left")
+    assert merged.columns == plain.columns and "SortMergeJoin" in merged._jdf.queryExecution().toString()
+    assert scans(merged, "t-left") == 1
+    assert sorted(map(tuple, merged.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
-def test_null_keys_are_spread_and_kept(spark):
+def test_rows_without_a_key_are_kept(spark, no_broadcast):
     left = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("k"))
     side = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v"))
-    got = scale.lookup(left, side, ["k"], "left", spread=F.col("id"), small=False)
+    got = scale.lookup(left, side, ["k"])
     assert got.count() == 1000 and got.filter("v is null").count() == 500
 
 
-def test_hot_keys_are_few_by_counting(skewed):
-    assert {r.key for r in scale.hot_keys(skewed, ["key"], 3).collect()} == {"hot"}
-    assert scale.hot_keys(skewed, ["key"], 100).count() < 100
+def test_chained_lookups_read_the_feed_once(spark, no_broadcast):
+    stores, products = dims(spark)
+    table = scale.written(raw(spark, "transactions", TRANSACTIONS), "t-feed")
+    chained = T.flag_orphans(T.flag_orphans(table, stores, "store_id", "store_id", "a"), products, "product_id", "product_id", "b")
+    assert scans(chained, "t-feed") == 1
+    sales = scale.written(T.clean_transactions(flagged(spark), CONFIG), "t-sales")
+    tables = {"dim_date": X.dim_date(sales, CONFIG), "dim_store": X.dim_store(stores), "dim_product": X.dim_product(products),
+              "dim_customer": X.dim_customer(sales, CONFIG)}
+    stored = {n: scale.written(df, f"t-{n}") for n, df in tables.items()}
+    fact = X.fact_rows(sales, stored)
+    assert scans(fact, "t-sales") == 1 and fact.count() == sales.count()
 
 
 def test_flag_repeats_keeps_exactly_the_first(spark, skewed):

@@ -73,7 +73,7 @@ def dimension_diff(
         F.col(key).alias("_key"), *[F.col(c).cast("string").alias(f"_clean_{r}") for r, c in columns.items()],
         *[F.col(flag).cast("boolean").alias(f"_flag_{r}") for r, (flag, _) in rules.items()])
     marked = rows.join(lost.select("source_row", F.col("code").alias("_lost")), "source_row", "left")
-    joined = lookup(marked.withColumn("_key", F.col(key)), side, ["_key"], "left", spread=F.col("source_row"))
+    joined = lookup(marked.withColumn("_key", F.col(key)), side, ["_key"], "left")
     kept = F.col("_lost").isNull()
     cells = []
     for raw in columns:

@@ -40,11 +40,12 @@ def resolve_conflicts_by_policy(
 ) -> DataFrame:
     """One row per key, settled column by column, with the names of the columns that differed.
 
-    Everything is a mergeable aggregate, so a repeated key never gathers in one task.
+    Everything is a mergeable aggregate, so a repeated key never gathers in one task. Rows
+    without a key stand for different things and are left to ``keyless_rows``.
     """
     policy = CONFLICT_POLICY if policy is None else policy
     others = [c for c in COLUMNS if c != key]
-    df = df.withColumn("_price", parse_price(F.col("unit_price"), F.col(key)))
+    df = df.filter(F.col(key).isNotNull()).withColumn("_price", parse_price(F.col("unit_price"), F.col(key)))
     price = F.col("_price")
     aggregates = [F.count(F.lit(1)).alias("group_rows"), F.min("source_row").alias("source_row")]
     for c in others:
@@ -73,7 +74,7 @@ def conflict_evidence(df: DataFrame, key: str = "product_id") -> DataFrame:
     """Every version of every conflicting key; ``df`` holds no exact copies any more."""
     settled = resolve_conflicts_by_policy(df, key).filter("group_rows > 1").select(
         key, "conflicting_columns", "price_delta", "group_rows", "elected_row")
-    return lookup(df, settled, [key], "inner", spread=F.col("source_row")).withColumn(
+    return lookup(df, settled, [key], "inner").withColumn(
         "is_elected", F.col("source_row") == F.col("elected_row")).drop("elected_row")
 
 

@@ -85,7 +85,7 @@ def resolve_surrogate_key(
     """Swap a natural key for its surrogate. The dimension is unique on the natural key, so
     rows cannot fan out; a key that is not found stops the job when strict."""
     side = dim.select(F.col(dim_column).alias(fact_column), F.col(key).alias("_found"))
-    joined = lookup(fact, side, [fact_column], "left", spread=F.xxhash64("transaction_id"))
+    joined = lookup(fact, side, [fact_column], stored=True)
     missing = F.raise_error(F.concat(
         F.lit(f"no {key} for "), F.coalesce(F.col(fact_column).cast("string"), F.lit("null"))))
     found = F.coalesce(F.col("_found"), missing.cast("long")) if strict else F.col("_found")

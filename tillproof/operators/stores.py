@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,6 +16,8 @@ from tillproof.scale import lookup
 from tillproof.schemas import RAW_COLUMNS, STORES_CLEAN, require_columns
 
 COLUMNS = RAW_COLUMNS["stores"]
+# Reason code of rows that have no key; it is not a defect class of the catalogue.
+NO_KEY = "NO-KEY"
 
 
 @dataclass(frozen=True)
@@ -46,12 +49,13 @@ def flag_zip(df: DataFrame) -> DataFrame:
 
 
 def elect(df: DataFrame, key: str, criteria: list[Criterion]) -> DataFrame:
-    """One row per key: the winner, group size and the criterion that decided.
+    """One row per key: the winner, group size and the criterion that decided. Rows without a
+    key stand for different things, so they take no part.
 
     A grouped minimum over (criteria, source_row, row) combines before the shuffle, so a
     key of any size ends as one small record per task.
     """
-    staged = df.withColumns({f"_c{i}": rule.value for i, rule in enumerate(criteria)})
+    staged = df.filter(F.col(key).isNotNull()).withColumns({f"_c{i}": rule.value for i, rule in enumerate(criteria)})
     ranks, differs = [], []
     for i, rule in enumerate(criteria):
         c = F.col(f"_c{i}")
@@ -74,6 +78,27 @@ def elect(df: DataFrame, key: str, criteria: list[Criterion]) -> DataFrame:
         F.col("_best.row").alias("winner"))
 
 
+def keyless_rows(df: DataFrame, key: str, dataset: str) -> DataFrame:
+    """Rows that no key names, held back with a reason; they are in no table and no election."""
+    return df.filter(F.col(key).isNull()).select(
+        F.lit(dataset).alias("dataset"), F.lit(NO_KEY).alias("reason_code"), F.lit("row without a key").alias("reason_detail"),
+        "source_row", F.lit(None).cast("string").alias("row_key"), F.lit("quarantined").alias("disposition"))
+
+
+def dimension_budget(source: DataFrame, clean: DataFrame, defects: DataFrame, held: DataFrame, dataset: str) -> DataFrame:
+    """One row: every source row of a dimension is kept, dropped or held back, or the job stops.
+
+    ``defects`` may name a row more than once; ``held`` are its keyless rows.
+    """
+    dropped = defects.filter((F.col("dataset") == dataset) & (F.col("disposition") == "dropped")).select("source_row").distinct()
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, df in (
+        ("source_rows", source), ("kept", clean), ("dropped", dropped), ("quarantined", held))]
+    row = reduce(DataFrame.unionByName, parts).groupBy().pivot("part", ["source_rows", "kept", "dropped", "quarantined"]).agg(F.first("n"))
+    total = F.col("kept") + F.col("dropped") + F.col("quarantined")
+    return row.select(F.lit(dataset).alias("dataset"), "*", F.when(total == F.col("source_rows"), True).otherwise(
+        F.raise_error(F.lit(f"row budget of {dataset} does not balance")).cast("boolean")).alias("balanced"))
+
+
 def survivorship_ranked(df: DataFrame, key: str, criteria: list[Criterion]) -> DataFrame:
     """The elected row of every key."""
     return elect(df, key, criteria).select("winner.*")
@@ -83,7 +108,7 @@ def survivorship_evidence(df: DataFrame, key: str, criteria: list[Criterion]) ->
     """Every row of every repeated key with ELECTED or REJECTED and the deciding criterion."""
     repeated = elect(df, key, criteria).filter("group_rows > 1").select(
         key, "group_rows", "decided_by", F.col("winner.source_row").alias("_elected_row"))
-    return lookup(df, repeated, [key], "inner", spread=F.col("source_row")).withColumn(
+    return lookup(df, repeated, [key], "inner").withColumn(
         "verdict",
         F.when(F.col("source_row") == F.col("_elected_row"), "ELECTED").otherwise("REJECTED"),
     ).drop("_elected_row")
@@ -111,7 +136,7 @@ def build_value_map(df: DataFrame, key: str, value: str, config: RunConfig) -> D
 def impute_region(df: DataFrame, value_map: DataFrame, config: RunConfig) -> DataFrame:
     """ST-03: fill missing regions from the map and flag them."""
     return lookup(
-        df, value_map.select("state", "mapped_value"), ["state"], "left", spread=F.col("source_row")
+        df, value_map.select("state", "mapped_value"), ["state"], "left"
     ).withColumns({
         "region_is_imputed": F.col("region").isNull(),
         "region": F.coalesce("region", "mapped_value", F.lit(config.unknown_label)),
@@ -135,6 +160,7 @@ def store_defects(raw: DataFrame) -> DataFrame:
     rows = prepared_stores(raw)
     survivors = survivorship_ranked(rows, "store_id", store_criteria())
     base = [F.col("source_row"), F.col("store_id").alias("row_key")]
+    rows = rows.filter("store_id is not null")
     suspects = rows.filter("zip_is_suspect").select(
         F.lit("ST-01").alias("code"), *base, F.lit("evidence").alias("disposition"))
     evidence = survivorship_evidence(rows, "store_id", store_criteria()).select(

@@ -102,13 +102,12 @@ def flag_future(df: DataFrame, config: RunConfig) -> DataFrame:
 
 
 def flag_orphans(
-    df: DataFrame, keys: DataFrame, column: str, key: str, flag: str, small: bool | None = None,
+    df: DataFrame, keys: DataFrame, column: str, key: str, flag: str,
 ) -> DataFrame:
     """TX-04 and TX-05: the key has no row in the cleaned table; a missing key is an orphan."""
     known = keys.select(F.col(key).alias("_key"), F.lit(True).alias("_known"))
     joined = lookup(
-        df.withColumn("_key", normalise_text(F.col(column))), known, ["_key"], "left",
-        spread=F.col("source_row"), small=small)
+        df.withColumn("_key", normalise_text(F.col(column))), known, ["_key"], "left", stored=True)
     return joined.withColumn(flag, F.col("_known").isNull()).drop("_key", "_known")
 
 

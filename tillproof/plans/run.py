@@ -38,6 +38,7 @@ def run_folder(
     raw = {name: with_source_row(spark, df, name) for name, df in read_feed(spark, raw_folder).items()}
     work = Workspace(spark, raw, config, expected)
     check_budget(work.flagged).collect()  # one row; raises when rows went missing
+    work.dimension_budget.collect()  # one row per dimension, likewise
     metrics = run_metrics(spark, work.star, config)
     proof = coverage(work.catalog, work.ledger)
     bundle = run_bundle(

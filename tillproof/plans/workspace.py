@@ -7,12 +7,13 @@ cost a re-read and joins see true sizes.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillproof.catalog import catalog_frame, with_expected
 from tillproof.config import FEED_CONFIG, RunConfig
+from tillproof.functions.text import normalise_frame
 from tillproof.operators import audit, products, star, stores, transactions
 from tillproof.plans import feed
 from tillproof.scale import new_folder, written
@@ -79,7 +80,21 @@ class Workspace:
         words = F.broadcast(catalog_frame(self.spark).select("code", "title"))
         return held.unionByName(rest.join(words, "code").select(
             "dataset", F.col("code").alias("reason_code"), F.col("title").alias("reason_detail"),
-            "source_row", "row_key", "disposition"))
+            "source_row", "row_key", "disposition")).unionByName(self.keyless)
+
+    @property
+    def keyless(self) -> DataFrame:
+        """Dimension rows without a key. Of equal product rows the first one stands for all."""
+        return stores.keyless_rows(stores.prepared_stores(self.raw["stores"]), "store_id", "stores").unionByName(
+            stores.keyless_rows(products.drop_exact_duplicates(
+                normalise_frame(self.raw["products"], products.COLUMNS)), "product_id", "products"))
+
+    @property
+    def dimension_budget(self) -> DataFrame:
+        """Every row of both dimensions accounted for."""
+        return reduce(DataFrame.unionByName, [
+            stores.dimension_budget(self.raw[name], clean, self.dimension_defects, self.keyless.filter(F.col("dataset") == name), name)
+            for name, clean in (("stores", self.stores), ("products", self.products))])
 
     @cached_property
     def ledger(self) -> DataFrame:

@@ -45,6 +45,13 @@ FROM catalog c JOIN expected e ON c.code = e.code GROUP BY dataset""", "catalog"
   WHERE place <= 50 GROUP BY code)
 SELECT l.code, l.detected_count, {_ACTION.replace('code IN', 'l.code IN')} AS action, affected_keys, l.detected_count AS affected_keys_total,
   l.detected_count > 50 AS affected_keys_truncated FROM ledger l JOIN firsts f ON l.code = f.code""", "ledger")),
+    Query("dimension_budget", on_feed(lambda w: w.dimension_budget),
+          over("""SELECT 'stores' AS dataset, (SELECT count(*) FROM raw_stores) AS source_rows, (SELECT count(*) FROM stores_clean) AS kept,
+  (SELECT count(*) - count(DISTINCT store_id) FROM raw_stores WHERE store_id IS NOT NULL) AS dropped,
+  (SELECT count(*) FROM raw_stores WHERE store_id IS NULL) AS quarantined, TRUE AS balanced
+UNION ALL SELECT 'products', (SELECT count(*) FROM raw_products), (SELECT count(*) FROM products_clean),
+  (SELECT count(*) - count(DISTINCT product_id) FROM raw_products WHERE product_id IS NOT NULL),
+  (SELECT count(*) FROM raw_products WHERE product_id IS NULL), TRUE""", "stores_clean", "products_clean")),
     Query("defect_keys", on_feed(lambda w: A.defect_keys(w.detections)),
           over("SELECT code, source_row, row_key FROM detections WHERE counted", "detections")),
     Query("merge_records", on_feed(lambda w: A.merge_records(_calls(w)).withColumn("affected_keys", F.concat_ws(",", "affected_keys"))),

@@ -7,17 +7,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-# A lookup side is broadcast only after counting that it has at most this many rows.
-BROADCAST_ROWS = 200_000
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are under HOT_SHARE
-# hot keys and the table of them is always small enough to broadcast.
-HOT_SHARE = 500
-# Hot keys are spread over this many sub-keys.
-SALTS = 64
+# A table counted to have at most this many rows may be ordered in one task.
+SMALL_ROWS = 200_000
 
 
 _LOCAL_DIRS: dict[str, str] = {}  # one per local-mode session
@@ -58,48 +52,20 @@ def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """True when ``df`` was counted to have at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys holding more than 1/share of the rows: fewer than ``share`` of them by counting."""
-    total = df.agg(F.count(F.lit(1)))
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") * share > total.scalar())
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-
-
-def lookup(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-    spread: Column | None = None, small: bool | None = None,
-) -> DataFrame:
-    """Join rows to a side that is unique on ``keys``.
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", stored: bool = False) -> DataFrame:
+    """Join rows to a side that is unique on ``keys``; both sides are read once.
 
-    A side counted to be small is broadcast, so no shuffle and no skew. A larger side is
-    joined on the key plus a salt that is zero except for hot keys, whose rows are spread
-    over SALTS sub-keys while their one lookup row is repeated.
+    The side is written first, unless it is a ``stored`` table already, so Spark knows its size
+    in bytes and broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``. A larger side
+    is joined by sort and merge. Rows never fan out, so adaptive execution may cut the partition
+    of a hot key, or of the rows without a key, into as many tasks as it needs.
     """
-    if small is None:
-        small = is_small(right)
-    if small:
-        return left.join(F.broadcast(right), keys, how)
-    hot = F.broadcast(hot_keys(left, keys))
-    source = spread if spread is not None else F.xxhash64(*[F.col(c) for c in left.columns])
-    # A row with a null key matches nothing, so it may go anywhere; many of them would
-    # otherwise meet in one task.
-    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salted_left = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | keyless, F.pmod(source, F.lit(SALTS)).cast("int")).otherwise(0)
-    ).drop("_hot")
-    salted_right = right.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0))),
-    ).drop("_hot")
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right if stored else written(right, "lookup"), keys, how)
 
 
 def flag_repeats(
@@ -117,7 +83,7 @@ def flag_repeats(
     repeated = signed.groupBy("_signature").agg(
         F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     firsts = written(repeated, "repeated")
-    found = lookup(signed, firsts, ["_signature"], "left", spread=F.xxhash64(order))
+    found = lookup(signed, firsts, ["_signature"], stored=True)
     return found.withColumn(
         flag, F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_signature", "_first")
 

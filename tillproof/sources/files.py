@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tillproof.functions.text import tokens_to_null
-from tillproof.scale import BROADCAST_ROWS, lookup, written
+from tillproof.scale import SMALL_ROWS, lookup, written
 from tillproof.schemas import RAW_SCHEMAS, require_columns
 
 
@@ -86,6 +86,6 @@ def parquet_with_row_place(spark: SparkSession, path: str, name: str = "pos") ->
             F.sum("_size").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)),
             F.lit(0)).alias("_before"))
     # One row per file, and the driver has the count of files.
-    side = F.broadcast(before) if files <= BROADCAST_ROWS else before
+    side = F.broadcast(before) if files <= SMALL_ROWS else before
     return rows.join(side, "_file").withColumn(
         name, (F.col(name) + F.col("_before")).cast("long")).drop("_file", "_before")
