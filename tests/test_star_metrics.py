@@ -8,6 +8,7 @@ from kit import CONFIG, dims, flagged, rows, sale
 from tillproof.operators import adhoc, metrics as M, star as X, transactions as T
 from tillproof.operators.constraints import constraint_suite
 from tillproof.scale import new_folder
+from tillproof.sources import sinks
 from tillproof.sources.sinks import read_star
 
 
@@ -94,6 +95,26 @@ def test_failed_verification_publishes_nothing(spark, parts, monkeypatch):
         read_star(spark, path)
 
 
+def test_a_failed_publish_leaves_the_old_star(spark, parts, monkeypatch):
+    path = new_folder(spark, "t-publish")
+    X.load_star(*parts, CONFIG, path)
+    before = sinks.published_version(spark, path)
+    two = (parts[0], parts[1], parts[2].filter("transaction_id <> 'T4'"))
+    with monkeypatch.context() as broken:
+        broken.setattr(sinks, "_switch", lambda *a: (_ for _ in ()).throw(OSError("rename failed")))
+        with pytest.raises(OSError):
+            X.load_star(*two, CONFIG, path)
+    assert sinks.published_version(spark, path) == before and read_star(spark, path)["fact_sales"].count() == 4
+    with pytest.raises(FileNotFoundError):
+        sinks.publish(spark, sinks.staging_folder(path), path)
+    with pytest.raises(ValueError):
+        sinks.publish(spark, new_folder(spark, "elsewhere"), path)
+    held = read_star(spark, path)["fact_sales"]
+    X.load_star(*two, CONFIG, path)
+    # Whoever has the old version open reads on; new readers get the new one.
+    assert held.count() == 4 and read_star(spark, path)["fact_sales"].count() == 3
+
+
 def test_reconciliation_can_fail(spark, star):
     good = M.run_metric(spark, M.RECONCILIATION, star, CONFIG).first()
     assert (good.gross_sales, good.discount_total, good.returns_total, good.net_revenue) == (420.0, 30.0, -100.0, 290.0)

@@ -8,8 +8,8 @@ from tillproof.config import RunConfig
 from tillproof.functions.dates import calendar_parts
 from tillproof.functions.money import round_money, to_flag
 from tillproof.operators.constraints import foreign_keys
-from tillproof.scale import is_small, lookup, new_folder, number_rows, written
-from tillproof.sources.sinks import publish, read_star, write_tables
+from tillproof.scale import is_small, lookup, number_rows, written
+from tillproof.sources.sinks import publish, read_star, staging_folder, write_tables
 
 
 def require_unique(df: DataFrame, key: str, what: str) -> DataFrame:
@@ -165,12 +165,12 @@ def verify_star(
 def load_star(
     stores: DataFrame, products: DataFrame, sales: DataFrame, config: RunConfig, target: str,
 ) -> DataFrame:
-    """Build, write to a staging folder, verify what was written, then swap it in.
+    """Build, write beside the published version, verify what was written, then point to it.
 
     Returns the report. Nothing is published when a row count, a key or a cent is off.
     """
     spark = sales.sparkSession
-    staged = new_folder(spark, "star")
+    staged = staging_folder(target)
     star = build_star(stores, products, sales, config, staged)
     report = verify_star(star, stores, products, sales)
     row = report.first()

@@ -77,12 +77,18 @@ def _lineage_out(w):
         "source_row", "transaction_id", "disposition", "reason_code", F.col("total_amount_as_reported").cast("double").alias("total_amount_as_reported"))
 
 
+_KEYS = {"dim_date": "date_key", "dim_store": "store_key", "dim_product": "product_key", "dim_customer": "customer_key",
+         "fact_sales": "sales_key"}
+
+
 def _star_out(spark, sf_dir):
     w = open_feed(spark, sf_dir)
-    staged, target = new_folder(spark, "staged"), new_folder(spark, "swapped")
+    target = new_folder(spark, "swapped")
+    staged = sinks.staging_folder(target)
     sinks.write_tables(w.star, staged)
     star = sinks.read_star(spark, sinks.publish(spark, staged, target))
-    parts = [df.agg(F.count(F.lit(1)).alias("table_rows")).withColumn("table_name", F.lit(n)) for n, df in star.items()]
+    parts = [df.agg(F.count(F.lit(1)).alias("table_rows"), F.sum(F.col(_KEYS[n]).cast("long")).alias("key_sum")).withColumn(
+        "table_name", F.lit(n)) for n, df in star.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -138,7 +144,7 @@ FROM stores_clean ORDER BY store_id LIMIT 20""", "stores_clean")),
     Query("lineage_sink", on_feed(_lineage_out),
           over("SELECT source_row, transaction_id, disposition, reason_code, CAST(total AS DOUBLE) AS total_amount_as_reported FROM flagged", "flagged")),
     Query("star_sink", _star_out,
-          over(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS table_rows FROM {t}" for t in sinks.STAR_TABLES), "fact_sales")),
+          over(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS table_rows, CAST(sum({_KEYS[t]}) AS BIGINT) AS key_sum FROM {t}" for t in sinks.STAR_TABLES), "fact_sales")),
     Query("star_source", on_feed(_views),
           over("SELECT d.year, s.region, count(*) AS sales, CAST(sum(f.net_amount) AS DOUBLE) AS net FROM fact_sales f JOIN dim_date d USING (date_key) JOIN dim_store s USING (store_key) GROUP BY d.year, s.region", "fact_sales")),
     Query("run_bundle", on_feed(_bundle),

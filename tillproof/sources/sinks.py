@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tillproof.scale import new_folder
-
 
 def write_csv(df: DataFrame, path: str) -> str:
     """A3: a table as CSV with a header; no index column is added."""
@@ -80,24 +79,72 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame
     return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
 
 
-def publish(spark: SparkSession, staged: str, target: str) -> str:
-    """Swap a verified staging folder into place in one rename, keeping the old one aside."""
+POINTER = "CURRENT"
+
+
+def staging_folder(target: str) -> str:
+    """A new version's folder inside ``target``: the same file system, and no part of the
+    published star until the pointer names it."""
+    return f"{target.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path itself, as the JVM has them."""
+    goal = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return goal.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), goal
+
+
+def _switch(spark: SparkSession, written: str, pointer: str) -> None:
+    """Rename one small file over another, in one step."""
     jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path
-    source, goal = hadoop_path(staged), hadoop_path(target)
-    fs = goal.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(goal.getParent())
-    if fs.exists(goal):
-        fs.rename(goal, hadoop_path(new_folder(spark, "replaced").rsplit("/", 1)[0] + "-" +
-                                    goal.getName() + "-" + str(source.getName())))
-    if not fs.rename(source, goal):
-        raise RuntimeError(f"could not publish {staged} as {target}")
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    (_, source), (_, goal) = _hadoop(spark, written), _hadoop(spark, pointer)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(goal.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(source), context.makeQualified(goal), how)
+
+
+def publish(spark: SparkSession, staged: str, target: str) -> str:
+    """Make ``staged``, a version folder inside ``target``, the published star.
+
+    The pointer to the version is written aside and renamed over the old one last. Readers find
+    the old star or the new one whole; if any step fails, the pointer still names the old one.
+    """
+    folder, _, version = staged.rpartition("/")
+    if folder != target.rstrip("/"):
+        raise ValueError(f"{staged} is not a version of {target}")
+    fs, goal = _hadoop(spark, staged)
+    if not fs.exists(goal):
+        raise FileNotFoundError(f"nothing staged at {staged}")
+    aside = f"{folder}/.{version}.pointer"
+    fs, path = _hadoop(spark, aside)
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(version, "utf-8"))
+    finally:
+        out.close()
+    _switch(spark, aside, f"{folder}/{POINTER}")
     return target
 
 
+def published_version(spark: SparkSession, path: str) -> str:
+    """The folder of the version that ``path`` publishes."""
+    fs, goal = _hadoop(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not fs.exists(goal):
+        raise FileNotFoundError(f"no star is published at {path}")
+    found = fs.open(goal)
+    try:
+        name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(found, "UTF-8")
+    finally:
+        found.close()
+    return f"{path.rstrip('/')}/{name.strip()}"
+
+
 def read_star(spark: SparkSession, path: str, views: bool = False) -> dict[str, DataFrame]:
     """The published tables, as frames and optionally as temp views."""
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in STAR_TABLES}
+    version = published_version(spark, path)
+    tables = {name: spark.read.parquet(f"{version}/{name}") for name in STAR_TABLES}
     if views:
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
