@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillproof.config import RunConfig
+from tillproof.functions.money import parse_currency
 from tillproof.functions.text import normalise_text
 
 TOLERANCE = 0.005
@@ -130,8 +132,13 @@ def lineage_summary(lineage: DataFrame) -> DataFrame:
 
 def independent_tieout(
     star: dict[str, DataFrame], flagged: DataFrame, ledger: DataFrame, catalog: DataFrame,
+    raw: DataFrame, sales: DataFrame,
 ) -> DataFrame:
-    """(check_name, expected, actual, ok): the same facts by separate routes."""
+    """(check_name, expected, actual, ok): the same facts by separate routes.
+
+    The source's rows and money are counted from the ``raw`` feed again, and the net from the
+    cleaned ``sales``, so a row lost or changed on the way to the working table shows.
+    """
     fact = star["fact_sales"]
     money = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(28,2)")
     kept = F.col("disposition") == "kept"
@@ -144,18 +151,22 @@ def independent_tieout(
         F.count(F.lit(1)).alias("fact_rows"))
     b = flagged.agg(
         money(F.when(kept, F.col("parsed_total_amount"))).alias("kept_money"),
-        money("parsed_total_amount").alias("all_money"),
         money(F.when(~kept, F.col("parsed_total_amount"))).alias("held_money"),
-        F.count_if(kept).alias("kept_rows"), F.count(F.lit(1)).alias("all_rows"),
+        F.count_if(kept).alias("kept_rows"),
         F.count_if(~kept).alias("held_rows"))
-    one = a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one")
+    c = raw.agg(money(parse_currency(F.col("total_amount"))).alias("all_money"), F.count(F.lit(1)).alias("all_rows"))
+    d = sales.agg(money("total_amount").alias("clean_money"), F.count(F.lit(1)).alias("clean_rows"))
+    # One row each.
+    one = reduce(lambda x, y: x.join(y, "_one"), [df.withColumn("_one", F.lit(1)) for df in (a, b, c, d)])
     dec = lambda c: c.cast("decimal(28,2)")
     checks = [
         ("net_fact_vs_ledger", F.col("kept_money"), F.col("net")),
         ("net_fact_vs_lines", F.col("lines"), F.col("net")),
         ("net_vs_source_less_held", F.col("all_money") - F.col("held_money"), F.col("net")),
         ("gross_less_discount_plus_returns", F.col("gross") - F.col("discount") + F.col("refunds"), F.col("net")),
+        ("net_fact_vs_clean", F.col("clean_money"), F.col("net")),
         ("fact_rows_vs_kept", F.col("kept_rows"), F.col("fact_rows")),
+        ("fact_rows_vs_clean", F.col("clean_rows"), F.col("fact_rows")),
         ("row_budget", F.col("all_rows"), F.col("kept_rows") + F.col("held_rows")),
     ]
     totals = one.select(F.inline(F.array(*[

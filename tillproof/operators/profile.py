@@ -61,12 +61,18 @@ def _observed(counts: DataFrame) -> DataFrame:
     return counts.withColumn("token", normalise_text(F.col("value"))).filter("token is not null")
 
 
-def profile_missingness(counts: DataFrame) -> DataFrame:
-    missing, blank = is_missing(F.col("value")), is_blank_string(F.col("value"))
-    return counts.groupBy("column_name").agg(
-        F.sum("n").alias("row_count"), _weight(missing).alias("null_count"),
-        _weight(blank).alias("blank_count"), _weight(~missing).alias("non_null_count"),
-    ).withColumn("null_pct", _ratio(F.col("null_count"), F.col("row_count")))
+def profile_missingness(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Cells, nulls and blanks per column: one aggregate over the table, nothing is shuffled but
+    its partial counts."""
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    counted = texts.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(is_missing(F.col(c))).alias(f"_m{i}") for i, c in enumerate(columns)],
+        *[F.count_if(is_blank_string(F.col(c))).alias(f"_b{i}") for i, c in enumerate(columns)])
+    each = counted.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col("_rows").alias("row_count"), F.col(f"_m{i}").alias("null_count"),
+        F.col(f"_b{i}").alias("blank_count"), (F.col("_rows") - F.col(f"_m{i}")).alias("non_null_count"))
+        for i, c in enumerate(columns)])))
+    return each.withColumn("null_pct", _ratio(F.col("null_count"), F.col("row_count")))
 
 
 def profile_distinct(counts: DataFrame) -> DataFrame:
@@ -428,7 +434,7 @@ def column_profile(df: DataFrame, columns: list[str], config: RunConfig) -> Data
     types = written(infer_semantic_type(type_evidence(counts, config)), "column-types")
     where = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column_name string")
     # One row per column from here on; every side of these joins is that small.
-    out = where.join(F.broadcast(profile_missingness(counts)), "column_name", "left")
+    out = where.join(F.broadcast(profile_missingness(df, columns)), "column_name", "left")
     for part in (
         profile_distinct(counts), types.select("column_name", "semantic_type", "confidence"),
         parse_failures(counts, types, config).drop("semantic_type"),

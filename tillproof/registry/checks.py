@@ -209,11 +209,11 @@ FROM claims c FULL JOIN figures f ON c.figure = f.figure""", "fact_sales")),
     Query("lineage_summary", on_feed(lambda w: G.lineage_summary(w.lineage)),
           over("""SELECT 'total' AS figure, count(*) AS source_rows FROM flagged UNION ALL SELECT disposition, count(*) FROM flagged GROUP BY disposition
 UNION ALL SELECT 'reason.' || reason_code, count(*) FROM flagged WHERE reason_code IS NOT NULL GROUP BY reason_code""", "flagged")),
-    Query("independent_tieout", on_feed(lambda w: G.independent_tieout(w.star, w.flagged, w.ledger, w.catalog).withColumns(
+    Query("independent_tieout", on_feed(lambda w: G.independent_tieout(w.star, w.flagged, w.ledger, w.catalog, w.raw["transactions"], w.sales).withColumns(
         {c: F.col(c).cast("double") for c in ("expected", "actual")})),
-          over("""WITH n AS (SELECT CAST(sum(net_amount) AS DOUBLE) AS v, count(*) AS c FROM fact_sales), b AS (SELECT count(*) AS c FROM flagged)
-SELECT unnest(['net_fact_vs_ledger', 'net_fact_vs_lines', 'net_vs_source_less_held', 'gross_less_discount_plus_returns']) AS check_name, v AS expected, v AS actual, TRUE AS ok FROM n
-UNION ALL SELECT 'fact_rows_vs_kept', c, c, TRUE FROM n UNION ALL SELECT 'row_budget', c, c, TRUE FROM b
+          over("""WITH n AS (SELECT CAST(sum(net_amount) AS DOUBLE) AS v, count(*) AS c FROM fact_sales), b AS (SELECT count(*) AS c FROM raw_transactions)
+SELECT unnest(['net_fact_vs_ledger', 'net_fact_vs_lines', 'net_vs_source_less_held', 'gross_less_discount_plus_returns', 'net_fact_vs_clean']) AS check_name, v AS expected, v AS actual, TRUE AS ok FROM n
+UNION ALL SELECT unnest(['fact_rows_vs_kept', 'fact_rows_vs_clean']), c, c, TRUE FROM n UNION ALL SELECT 'row_budget', c, c, TRUE FROM b
 UNION ALL SELECT 'count.' || e.code, CAST(e.expected_count AS DOUBLE), CAST(coalesce(l.detected_count, 0) AS DOUBLE), e.expected_count = coalesce(l.detected_count, 0)
   FROM expected e LEFT JOIN ledger l ON e.code = l.code""", "fact_sales", "expected", "ledger")),
     Query("raw_vs_clean_diff", on_feed(_diff), over(f"WITH {DIFF_SQL} SELECT * FROM diff", "flagged")),
@@ -224,6 +224,12 @@ SELECT defect_code, status, explanation, count(*) AS cells FROM diff LEFT JOIN w
     Query("product_diff", on_feed(_product_diff), over(_PRODUCT_DIFF, "products_clean")),
     Query("verify_diff", on_feed(lambda w: D.verify_diff(_diff(w), w.lineage)),
           over("SELECT count(*) AS rows_compared, CAST(0 AS BIGINT) AS unmatched_rows, CAST(0 AS BIGINT) AS disposition_mismatches, CAST(0 AS BIGINT) AS id_mismatches, count(*) * 8 AS cells FROM flagged", "flagged")),
+    Query("verify_diff_shifted", on_feed(lambda w: D.verify_diff(_diff(w), w.lineage.filter("source_row % 9 <> 4").withColumns({
+        "disposition": F.when(F.col("source_row") % 7 == 0, "moved").otherwise(F.col("disposition")),
+        "transaction_id": F.when(F.col("source_row") % 5 == 0, F.concat("transaction_id", F.lit("x"))).otherwise(F.col("transaction_id"))}))),
+          over("""SELECT count(*) FILTER (WHERE source_row % 9 <> 4) AS rows_compared, count(*) FILTER (WHERE source_row % 9 = 4) AS unmatched_rows,
+  count(*) FILTER (WHERE source_row % 9 = 4 OR source_row % 7 = 0) AS disposition_mismatches,
+  count(*) FILTER (WHERE source_row % 9 = 4 OR source_row % 5 = 0) AS id_mismatches, count(*) * 8 AS cells FROM flagged""", "flagged")),
     Query("diff_browse", on_feed(lambda w: D.diff_browse(_diff(w), "TX-02", "total_amount", "raw", False)),
           over(f"""WITH {DIFF_SQL}, r AS (SELECT source_row, transaction_id, disposition, coalesce(string_agg(DISTINCT defect_code, ',' ORDER BY defect_code), '') AS defects,
   max(CASE WHEN column_name = 'total_amount' THEN raw_value END) AS sort_value FROM diff GROUP BY 1, 2, 3)

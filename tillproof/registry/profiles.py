@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tillproof.config import FEED_CONFIG as CONFIG
 from tillproof.operators import profile as P
@@ -132,8 +134,9 @@ def _rules() -> str:
 
 
 QUERIES = [
-    Query("profile_missingness", on_feed(lambda w: P.profile_missingness(_counts(w))),
-          over(f"WITH {_cells('transactions')} SELECT column_name, count(*) AS row_count, count(*) - count(v) AS null_count, count(*) FILTER (WHERE trim(v) = '') AS blank_count, count(v) AS non_null_count, {_pct('(count(*) - count(v))', 'count(*)')} AS null_pct FROM cells GROUP BY column_name", "raw_transactions")),
+    Query("profile_missingness", on_feed(lambda w: reduce(DataFrame.unionByName, [
+        P.profile_missingness(w.raw[n], SETS[n]).withColumn("dataset", F.lit(n)) for n in SETS])),
+          over("SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM (WITH {_cells(n)} SELECT '{n}' AS dataset, column_name, count(*) AS row_count, count(*) - count(v) AS null_count, count(*) FILTER (WHERE trim(v) = '') AS blank_count, count(v) AS non_null_count, {_pct('(count(*) - count(v))', 'count(*)')} AS null_pct FROM cells GROUP BY column_name)" for n in SETS) + ")", *[f"raw_{n}" for n in SETS])),
     Query("profile_distinct", on_feed(lambda w: P.profile_distinct(_counts(w))),
           over(f"WITH {_cells('transactions')} SELECT column_name, count(DISTINCT v) AS distinct_count, {_pct('count(DISTINCT v)', 'count(*)')} AS distinct_pct, count(DISTINCT v) = count(*) AS is_unique, count(DISTINCT v) = 1 AS is_constant FROM cells GROUP BY column_name", "raw_transactions")),
     Query("duplicate_rows", on_feed(lambda w: P.duplicate_rows(w.raw["transactions"], TX)),

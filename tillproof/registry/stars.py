@@ -121,6 +121,27 @@ UNION ALL SELECT 'top_customers_lifetime', 4, 0, 10
 UNION ALL SELECT 'revenue_reconciliation', 7, 0, 1""".replace("{a}", WINDOW_START).replace("{b}", AS_OF)
 
 
+def _damaged(star):
+    """The star with known damage, so that constraints have something to count."""
+    key = F.col("sales_key")
+    fact = star["fact_sales"].withColumns({
+        "extended_amount": F.when(key % 5 == 0, F.col("extended_amount") + 5).otherwise(F.col("extended_amount")),
+        "unit_price": F.when(key % 11 != 0, F.col("unit_price")),
+        "product_key": F.when(key % 13 == 0, -key).otherwise(F.col("product_key")),
+        "is_return": F.when(key % 17 == 0, 2).otherwise(F.col("is_return"))})
+    people = star["dim_customer"]
+    return {**star, "fact_sales": fact, "dim_customer": people.unionByName(people.filter("is_guest = 1"))}
+
+
+_DAMAGE_SQL = """WITH f AS (SELECT sales_key AS k FROM fact_sales)
+SELECT 'fact_sales' AS table_name, 'check' AS kind, 'extended_agrees' AS constraint_name, count(*) FILTER (WHERE k % 5 = 0 AND k % 11 <> 0) AS violations FROM f
+UNION ALL SELECT 'fact_sales', 'check', 'discount_agrees', count(*) FILTER (WHERE k % 5 = 0) FROM f
+UNION ALL SELECT 'fact_sales', 'check', unnest(['return_flag', 'return_sign_of_quantity', 'return_sign_of_money']), count(*) FILTER (WHERE k % 17 = 0) FROM f
+UNION ALL SELECT 'fact_sales', 'not_null', 'unit_price', count(*) FILTER (WHERE k % 11 = 0) FROM f
+UNION ALL SELECT 'fact_sales', 'fk', 'product_key', count(*) FILTER (WHERE k % 13 = 0) FROM f
+UNION ALL SELECT 'dim_customer', 'unique', unnest(['customer_key', 'customer_id']), 1"""
+
+
 QUERIES = [
     Query("dim_date", on_feed(lambda w: w.star["dim_date"]), over(f"SELECT {_cols(DIM_DATE)} FROM dim_date", "dim_date")),
     Query("dim_store", on_feed(lambda w: w.star["dim_store"]), over("SELECT * FROM dim_store", "dim_store")),
@@ -134,6 +155,7 @@ QUERIES = [
     Query("fact_sales", on_feed(lambda w: _out(w.star["fact_sales"])),
           over("SELECT * REPLACE (CAST(unit_price AS DOUBLE) AS unit_price, CAST(extended_amount AS DOUBLE) AS extended_amount, CAST(discount_amount AS DOUBLE) AS discount_amount, CAST(net_amount AS DOUBLE) AS net_amount) FROM fact_sales", "fact_sales")),
     Query("constraint_suite", on_feed(lambda w: constraint_suite(w.star)), over(_violations(), "fact_sales")),
+    Query("constraint_suite_damaged", on_feed(lambda w: constraint_suite(_damaged(w.star)).filter("violations > 0")), over(_DAMAGE_SQL, "fact_sales")),
     Query("verify_star", on_feed(lambda w: X.verify_star(w.star, w.stores, w.products, w.sales).withColumn("fact_net", F.col("fact_net").cast("double"))),
           over(_LOAD_SQL, "fact_sales")),
     Query("load_star", _load, over(_LOAD_SQL, "fact_sales")),
