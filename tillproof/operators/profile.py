@@ -8,9 +8,11 @@ examples that depend on the inferred type.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillproof.config import RunConfig
@@ -448,8 +450,14 @@ def column_profile(df: DataFrame, columns: list[str], config: RunConfig) -> Data
 
 
 def profile_datasets(tables: dict[str, DataFrame], config: RunConfig) -> DataFrame:
-    """The column profile of many tables, one under the other."""
-    parts = [
-        column_profile(df, [c for c in df.columns if c != "source_row"], config).withColumn("dataset", F.lit(name))
-        for name, df in tables.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """The column profile of many tables, one under the other. The tables are profiled side by
+    side, as each writes its counted values first."""
+    spark = next(iter(tables.values())).sparkSession
+
+    @inheritable_thread_target(spark)
+    def one(item: tuple[str, DataFrame]) -> DataFrame:
+        name, df = item
+        return column_profile(df, [c for c in df.columns if c != "source_row"], config).withColumn("dataset", F.lit(name))
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, tables.items()))

@@ -227,7 +227,7 @@ SELECT defect_code, status, explanation, count(*) AS cells FROM diff LEFT JOIN w
     Query("verify_diff_shifted", on_feed(lambda w: D.verify_diff(_diff(w), w.lineage.filter("source_row % 9 <> 4").withColumns({
         "disposition": F.when(F.col("source_row") % 7 == 0, "moved").otherwise(F.col("disposition")),
         "transaction_id": F.when(F.col("source_row") % 5 == 0, F.concat("transaction_id", F.lit("x"))).otherwise(F.col("transaction_id"))}))),
-          over("""SELECT count(*) FILTER (WHERE source_row % 9 <> 4) AS rows_compared, count(*) FILTER (WHERE source_row % 9 = 4) AS unmatched_rows,
+          over("""SELECT count(*) AS rows_compared, count(*) FILTER (WHERE source_row % 9 = 4) AS unmatched_rows,
   count(*) FILTER (WHERE source_row % 9 = 4 OR source_row % 7 = 0) AS disposition_mismatches,
   count(*) FILTER (WHERE source_row % 9 = 4 OR source_row % 5 = 0) AS id_mismatches, count(*) * 8 AS cells FROM flagged""", "flagged")),
     Query("diff_browse", on_feed(lambda w: D.diff_browse(_diff(w), "TX-02", "total_amount", "raw", False)),
