@@ -206,3 +206,11 @@ def test_relationships_of_many_columns(spark):
     df = spark.createDataFrame([tuple(str(i + k) for k in range(11)) + (str((i + 1) * (i + 2)),) for i in range(5)], names)
     found = {r.relationship for r in P.discover_relationships(df, names).collect()}
     assert "c11 ~= c1 * c2" in found and len(found) < 20
+
+
+def test_dates_come_before_identifiers_and_long_figures_stay(spark):
+    texts = spark.createDataFrame([(1, "report-2026-06-02 and batch-2026-06 of CUST-0042 in a.py:10"), (2, "12345678901234567890123456789012345678 rows")], "id long, body string")
+    got = C.scan_numbers(texts, "id", "body").orderBy("id", "place").collect()
+    assert [r.kind for r in got] == ["date", "date", "identifier", "code-reference", "figure"]
+    index = spark.createDataFrame([(10, 0)], "value int, decimals int").withColumn("value", F.col("value").cast("decimal(30,6)"))
+    assert [r.verdict for r in C.numeric_claim_audit(texts, "id", "body", index).collect()] == ["unverified"]
