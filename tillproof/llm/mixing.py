@@ -30,6 +30,8 @@ SHARE = 1.5
 MOST = 2.0
 # Slots of one output shard.
 SHARD_SLOTS = 4096
+# Slots that one task permutes, about.
+TASK_SLOTS = 1 << 15
 # Wanted slots that one row of the lookup from slot to source spans.
 STRETCH = 1024
 # Documents of a source are laid out in so many hash buckets, each with its own running sum.
@@ -143,7 +145,9 @@ def slots(plan: DataFrame) -> DataFrame:
         "number", F.lit(shards).alias("shard"), F.coalesce("got", F.lit(0)).alias("low"), F.col("wanted").alias("high"))
     parts = ranges.unionByName(settled).join(plan, "number").select(
         "number", "blocks", F.col("low"), F.least("high", "wanted").alias("high")).filter("high > low")
-    # A range never exceeds a shard's slots, or the little that the draws fell short.
+    # A range never exceeds a shard's slots, or the little that the draws fell short. Ranges are
+    # few beside their slots, so they are dealt out by the slots there will be.
+    parts = parts.repartition(max(1, total // TASK_SLOTS), "number", "low")
     each = parts.select("number", "blocks", F.explode(F.sequence("low", F.col("high") - 1)).alias("slot"))
     passes = each.select("number", "blocks", F.floor(F.col("slot") / F.col("blocks")).cast("long").alias("round"),
                          F.pmod("slot", "blocks").alias("place"))
