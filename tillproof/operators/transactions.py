@@ -224,3 +224,42 @@ def transaction_defects(flagged: DataFrame) -> DataFrame:
         "code", "source_row", F.col("transaction_id").alias("row_key"),
         F.when(F.col("disposition") == "kept", "evidence").otherwise(F.col("disposition")).alias("disposition"),
         F.lit("transactions").alias("dataset"), F.lit(True).alias("counted"))
+
+
+def _money(c: Column | str) -> Column:
+    return F.sum(c).cast("double")
+
+
+def guest_report(df: DataFrame) -> DataFrame:
+    """Rows, revenue and distinct customers of guests and of the others."""
+    return df.groupBy("is_guest").agg(
+        F.count(F.lit(1)).alias("source_rows"), _money("parsed_total_amount").alias("revenue"), F.count_distinct("customer").alias("customers"))
+
+
+def future_report(df: DataFrame) -> DataFrame:
+    """Rows and money withheld by the days they lie ahead."""
+    return df.filter("is_future").groupBy("days_ahead").agg(
+        F.count(F.lit(1)).alias("source_rows"), _money("parsed_total_amount").alias("withheld"))
+
+
+def orphan_report(df: DataFrame) -> DataFrame:
+    """Rows and money withheld per unknown key; rows of one key combine before the shuffle."""
+    return df.filter("orphan_store or orphan_product").groupBy("orphan_store", "orphan_product", "store_id").agg(
+        F.count(F.lit(1)).alias("source_rows"), _money("parsed_total_amount").alias("withheld"))
+
+
+def discount_report(df: DataFrame) -> DataFrame:
+    """One row on the discounts that the lines imply."""
+    of = lambda c: F.when(F.col("has_discount"), c)
+    whole_pct = of(F.round(F.col("discount_pct") * 100))
+    return df.agg(
+        F.count_if("has_discount").alias("discounted_rows"), _money(of(F.col("discount_amount"))).alias("discount_total"),
+        (F.min(whole_pct) / 100).alias("lowest_pct"), (F.max(whole_pct) / 100).alias("highest_pct"),
+        _money(of(F.col("extended_amount") - F.col("parsed_total_amount"))).alias("overstatement_avoided"))
+
+
+def measure_report(df: DataFrame) -> DataFrame:
+    """Rows and carried revenue by date format, and how many amounts were marked or unread."""
+    return df.groupBy(F.coalesce("date_format", F.lit("unread")).alias("date_format")).agg(
+        F.count(F.lit(1)).alias("source_rows"), F.count_if("currency_formatted").alias("currency_formatted_rows"),
+        F.count_if("amount_unparsed").alias("unparsed_rows"), _money("parsed_total_amount").alias("carried_revenue"))

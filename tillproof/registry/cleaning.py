@@ -74,30 +74,21 @@ QUERIES = [
         "product_id", "category", F.col("price").cast("double").alias("price"), "price_is_imputed")),
           over("""SELECT p.product_id, s.category, CAST(p.list_unit_price AS DOUBLE) AS price, p.price_is_imputed
 FROM products_clean p JOIN settled_products s ON p.product_id = s.product_id""", "products_clean")),
-    Query("impute_sentinel", on_feed(lambda w: T.impute_sentinel(_parsed(w), CONFIG).groupBy("is_guest").agg(
-        F.count(F.lit(1)).alias("source_rows"), F.sum("parsed_total_amount").cast("double").alias("revenue"),
-        F.count_distinct("customer").alias("customers"))),
+    Query("impute_sentinel", on_feed(lambda w: T.guest_report(T.impute_sentinel(_parsed(w), CONFIG))),
           over("SELECT is_guest, count(*) AS source_rows, CAST(sum(total) AS DOUBLE) AS revenue, count(DISTINCT customer) AS customers FROM flagged GROUP BY is_guest", "flagged")),
     Query("flag_returns", on_feed(lambda w: T.flag_returns(_parsed(w)).select("source_row", "is_return", "sign_disagrees")),
           over("SELECT source_row, is_return, coalesce(units * total < 0, FALSE) AS sign_disagrees FROM flagged", "flagged")),
     Query("flag_zero_quantity", on_feed(lambda w: T.flag_zero_quantity(_parsed(w)).select("source_row", "zero_quantity", "zero_with_money")),
           over("SELECT source_row, zero_quantity, coalesce(zero_quantity AND total <> 0, FALSE) AS zero_with_money FROM flagged", "flagged")),
-    Query("flag_future", on_feed(lambda w: T.flag_future(_parsed(w), CONFIG).filter("is_future").groupBy("days_ahead").agg(
-        F.count(F.lit(1)).alias("source_rows"), F.sum("parsed_total_amount").cast("double").alias("withheld"))),
+    Query("flag_future", on_feed(lambda w: T.future_report(T.flag_future(_parsed(w), CONFIG))),
           over(f"SELECT CAST(datediff('day', DATE '{CONFIG.as_of}', day) AS INTEGER) AS days_ahead, count(*) AS source_rows, CAST(sum(total) AS DOUBLE) AS withheld FROM flagged WHERE is_future GROUP BY 1", "flagged")),
-    Query("flag_orphans", on_feed(lambda w: T.flag_orphans(T.flag_orphans(
-        _parsed(w), w.stores, "store_id", "store_id", "orphan_store"), w.products, "product_id", "product_id", "orphan_product")
-        .filter("orphan_store or orphan_product").groupBy("orphan_store", "orphan_product", "store_id").agg(
-            F.count(F.lit(1)).alias("source_rows"), F.sum("parsed_total_amount").cast("double").alias("withheld"))),
+    Query("flag_orphans", on_feed(lambda w: T.orphan_report(T.flag_orphans(T.flag_orphans(
+        _parsed(w), w.stores, "store_id", "store_id", "orphan_store"), w.products, "product_id", "product_id", "orphan_product"))),
           over("""SELECT orphan_store, orphan_product, f.store_id, count(*) AS source_rows, CAST(sum(total) AS DOUBLE) AS withheld FROM (
   SELECT r.store_id, r.total, s.store_id IS NULL AS orphan_store, p.product_id IS NULL AS orphan_product FROM parsed r
   LEFT JOIN stores_clean s ON r.store_id = s.store_id LEFT JOIN products_clean p ON r.product_id = p.product_id) f
 WHERE orphan_store OR orphan_product GROUP BY ALL""", "flagged", "stores_clean", "products_clean")),
-    Query("reconcile_totals", on_feed(lambda w: T.reconcile_totals(_parsed(w), CONFIG).agg(
-        F.count_if("has_discount").alias("discounted_rows"), F.sum(F.when(F.col("has_discount"), F.col("discount_amount"))).cast("double").alias("discount_total"),
-        (F.min(F.when(F.col("has_discount"), F.round(F.col("discount_pct") * 100))) / 100).alias("lowest_pct"),
-        (F.max(F.when(F.col("has_discount"), F.round(F.col("discount_pct") * 100))) / 100).alias("highest_pct"),
-        F.sum(F.when(F.col("has_discount"), F.col("extended_amount") - F.col("parsed_total_amount"))).cast("double").alias("overstatement_avoided"))),
+    Query("reconcile_totals", on_feed(lambda w: T.discount_report(T.reconcile_totals(_parsed(w), CONFIG))),
           over("""SELECT count(*) FILTER (WHERE has_discount) AS discounted_rows, CAST(sum(discount) FILTER (WHERE has_discount) AS DOUBLE) AS discount_total,
   min(round(CAST(discount AS DOUBLE) / CAST(extended AS DOUBLE) * 100)) FILTER (WHERE has_discount) / 100 AS lowest_pct,
   max(round(CAST(discount AS DOUBLE) / CAST(extended AS DOUBLE) * 100)) FILTER (WHERE has_discount) / 100 AS highest_pct,
@@ -122,6 +113,9 @@ FROM slices s JOIN flagged f ON s.source_row = f.source_row WHERE s.dataset = 't
         "currency_formatted", "amount_unparsed")),
           over("""SELECT source_row, day AS parsed_date, fmt AS date_format, needed_non_iso, date_is_ambiguous, units AS parsed_quantity,
   CAST(price AS DOUBLE) AS parsed_unit_price, CAST(total AS DOUBLE) AS parsed_total_amount, currency_formatted, amount_unparsed FROM flagged""", "flagged")),
+    Query("measure_report", on_feed(lambda w: T.measure_report(_parsed(w))),
+          over("""SELECT coalesce(fmt, 'unread') AS date_format, count(*) AS source_rows, count(*) FILTER (WHERE currency_formatted) AS currency_formatted_rows,
+  count(*) FILTER (WHERE amount_unparsed) AS unparsed_rows, CAST(sum(total) AS DOUBLE) AS carried_revenue FROM flagged GROUP BY 1""", "flagged")),
     Query("clean_stores", on_feed(lambda w: w.stores),
           over(f"SELECT {', '.join(STORES_CLEAN)} FROM stores_clean", "stores_clean")),
     Query("clean_products", on_feed(lambda w: _dbl(w.products, "list_unit_price")),
