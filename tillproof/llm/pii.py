@@ -253,10 +253,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, overlapping ones by the first.
 
     Candidates are found twice, once to count patterns and once to replace, so that texts need
-    not be written or joined. A null text stays null.
+    not be written or joined; those to count are written alone. A null text stays null.
     """
+    accepted = train(written(with_candidates(docs.select(text_col), text_col).select("_llm_spans"), "candidates"))
     spans = with_candidates(docs, text_col)
-    accepted = train(spans)
     chosen = F.array_sort(F.transform(kept(F.col("_llm_spans"), accepted), lambda s: F.struct(
         s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
