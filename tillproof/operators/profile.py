@@ -30,7 +30,7 @@ SAMPLES = 5
 LENGTHS = 10
 FAILURE_EXAMPLES = 5
 # Candidate rules counted by one pass over the table; more of them take more passes.
-RULES_AT_ONCE = 400
+RULES_AT_ONCE = 60
 MIN_RELATION_RATE = 0.5
 KEY_LISTING = 25
 MISMATCH_EXAMPLES = 10
@@ -409,6 +409,8 @@ def discover_relationships(df: DataFrame, columns: list[str], tolerance: float =
         return df.sparkSession.createDataFrame(
             [], "relationship string, target string, comparable_row_count long, match_count long, match_rate double")
     parsed = df.select(*[money.to_decimal(F.col(c)).cast("double").alias(c) for c in columns])
+    if len(rules) > RULES_AT_ONCE:
+        parsed = written(parsed, "parsed")  # several passes read numbers, not text
 
     def counted(part: list[tuple[str, str, str]]) -> DataFrame:
         counts = []
