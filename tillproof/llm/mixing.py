@@ -9,6 +9,9 @@ its target. The slots of a source are numbered across shards; a slot's number go
 pseudorandom permutation of the source's blocks, a fresh one for every pass over them. Blocks
 and slots meet by block number, never by source alone, so a source that holds much of the data
 is spread like the rest. A target is at most twice its source, so a block is taken at most twice.
+The slots of a shard are put in an order drawn by hash. The mix itself is a table of slots, each
+with shard, place in it and the words of its block; how much was taken of a document is counted
+from that table.
 
 Everything is a DataFrame expression. Only one row per source is ordered in one task.
 
@@ -19,6 +22,8 @@ Other columns are ignored. An empty table gives an empty mix.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillproof.scale import written
@@ -94,31 +99,45 @@ def permuted(slot: Column, blocks: Column, keys: list[Column]) -> Column:
         F.aggregate(F.sequence(F.lit(1), F.lit(64)), once, lambda x, _: F.when(x < blocks, x).otherwise(shuffle(x))))
 
 
-def layout(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, row, start: every document's place among the words of its source.
+def words(text: Column) -> Column:
+    """The runs that ``word_count`` counts, for text with at least one."""
+    return F.split(F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", ""), f"[{SPACES}]+")
 
-    Documents fall into hash buckets; a bucket starts where those before it end, and documents
-    within one follow each other. Neither the number of buckets nor a source's size decides how
-    many rows one task holds.
-    """
-    sized = written(docs.select(
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text, size, mark, bucket of every document."""
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.col("text").cast("string").alias("text"),
         word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("doc_id", "text").alias("mark"),
-    ).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS))), "sizes")
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    ).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS)))
+
+
+def bucket_starts(sizes: DataFrame) -> DataFrame:
+    """of, at, first: where the words of every bucket of a source begin."""
+    buckets = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = written(buckets.select(
+    return written(buckets.select(
         F.col("source").alias("of"), F.col("bucket").alias("at"),
         F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("first")), "buckets")
+
+
+def layout(sizes: DataFrame, starts: DataFrame) -> DataFrame:
+    """``sizes`` with row and start: every document's place among the words of its source.
+
+    Documents fall into hash buckets; a bucket starts where those before it end, and documents
+    within one follow each other. Neither the number of buckets nor a source's size decides how
+    many rows one task holds. Documents that share a place in the order are equal.
+    """
     within = W.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size")
-    placed = sized.withColumn("row", F.row_number().over(within)).withColumn(
+    placed = sizes.withColumn("row", F.row_number().over(within)).withColumn(
         "before", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    return written(placed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))).select(
-        "doc_id", "source", "size", "bucket", "row", (F.col("first") + F.col("before")).alias("start")), "layout")
+    return placed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))).withColumn(
+        "start", F.col("first") + F.col("before")).drop("of", "at", "first", "before", "mark")
 
 
 def slots(plan: DataFrame) -> DataFrame:
-    """number, block, times: how often every block of every source is taken.
+    """shard, slot, number, block: the slots of every shard in order, and the block each takes.
 
     ``plan`` has number, blocks and wanted (slots) per source.
     """
@@ -144,37 +163,79 @@ def slots(plan: DataFrame) -> DataFrame:
     settled = plan.join(ranges.groupBy("number").agg(F.max("high").alias("got")), "number", "left").select(
         "number", F.lit(shards).alias("shard"), F.coalesce("got", F.lit(0)).alias("low"), F.col("wanted").alias("high"))
     parts = ranges.unionByName(settled).join(plan, "number").select(
-        "number", "blocks", F.col("low"), F.least("high", "wanted").alias("high")).filter("high > low")
+        "number", "blocks", "shard", F.col("low"), F.least("high", "wanted").alias("high")).filter("high > low")
     # A range never exceeds a shard's slots, or the little that the draws fell short. Ranges are
     # few beside their slots, so they are dealt out by the slots there will be.
     parts = parts.repartition(max(1, total // TASK_SLOTS), "number", "low")
-    each = parts.select("number", "blocks", F.explode(F.sequence("low", F.col("high") - 1)).alias("slot"))
-    passes = each.select("number", "blocks", F.floor(F.col("slot") / F.col("blocks")).cast("long").alias("round"),
-                         F.pmod("slot", "blocks").alias("place"))
+    each = parts.select("number", "blocks", "shard", F.explode(F.sequence("low", F.col("high") - 1)).alias("own"))
+    passes = each.select("*", F.floor(F.col("own") / F.col("blocks")).cast("long").alias("round"), F.pmod("own", "blocks").alias("place"))
     block = permuted(F.col("place"), F.col("blocks"), [F.col("number"), F.col("round")])
-    return passes.select("number", block.alias("block")).groupBy("number", "block").agg(F.count("*").alias("times"))
+    # A multinomial draw with its counts known is any order of them, all alike likely.
+    order = W.partitionBy("shard").orderBy(F.xxhash64(F.lit("slot order"), "number", "own"), "number", "own")
+    return passes.select("shard", "number", "own", block.alias("block")).select(
+        "shard", (F.row_number().over(order) - 1).cast("long").alias("slot"), "number", "block")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of ``docs``."""
-    placed = layout(docs)
+def packed(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """number, source, block, text, pieces: the blocks of every source and whose words they hold.
+
+    ``placed`` has the texts. A piece is (bucket, row, words), in order; a block has at most
+    BLOCK of them.
+    """
+    numbered = placed.filter("size > 0").join(
+        plan.select(F.col("source").alias("of"), "number"), F.col("source").eqNullSafe(F.col("of")))
+    blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))
+
+    def cut(own: Column) -> Callable[[Column], Column]:
+        def piece(b: Column) -> Column:
+            low = F.greatest(F.col("start"), b * BLOCK)
+            n = F.least(F.col("start") + F.col("size"), (b + 1) * BLOCK) - low
+            return F.struct(b.alias("block"), low.alias("low"), n.alias("words"), F.array_join(
+                F.slice(own, (low - F.col("start") + 1).cast("int"), n.cast("int")), " ").alias("text"))
+        return piece
+
+    # The words are bound to a name, so that a text is split once.
+    pieces = F.transform(F.array(words(F.col("text"))), lambda own: F.transform(blocks, cut(own)))[0]
+    each = numbered.select("number", "source", "bucket", "row", F.inline(pieces))
+    found = each.groupBy("number", "block").agg(
+        F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("low", "bucket", "row", "words", "text"))).alias("p"))
+    return found.select("number", "source", "block", F.array_join(F.col("p.text"), " ").alias("text"), F.transform(
+        "p", lambda x: F.struct(x["bucket"].alias("bucket"), x["row"].alias("row"), x["words"].alias("words"))).alias("pieces"))
+
+
+def planned(placed: DataFrame) -> DataFrame:
+    """source, source_size, number, target, blocks, wanted of every source."""
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = written(targets(sizes).withColumns({
+    return written(targets(sizes).withColumns({
         "blocks": F.ceil(F.col("source_size") / BLOCK).cast("long"),
     }).withColumn("wanted", F.when(F.col("source_size") > 0, F.round(
         # The last block may be short, so slots are counted at the mean length of a block.
         F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long")), "plan")
+
+
+def dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mix (shard, slot, source, number, block, text, pieces), the layout and the plan, all written."""
+    own = sized(docs)
+    sizes = written(own.drop("text"), "sizes")
+    starts = bucket_starts(sizes)
+    placed = written(layout(sizes, starts), "layout")
+    plan = planned(placed)
     taken = slots(plan.filter("blocks > 0").select("number", "blocks", "wanted"))
+    out = taken.join(packed(layout(own, starts), plan), ["number", "block"])
+    return written(out.select("shard", "slot", "source", "number", "block", "text", "pieces"), "mix"), placed, plan
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """shard, slot, source, block, text: the mix. Shards read in order of their slots are its output."""
+    return dealt(docs)[0].select("shard", "slot", "source", "block", "text")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row of ``docs``, as counted from the mix."""
+    out, placed, plan = dealt(docs)
+    counted = out.select("number", F.inline("pieces")).groupBy("number", "bucket", "row").agg(F.sum("words").alias("taken"))
     # One row per source, so small beside the documents; Spark sees its size and picks the join.
     numbered = placed.join(plan.select(F.col("source").alias("of"), "source_size", "number", "target"),
                            F.col("source").eqNullSafe(F.col("of")))
-    first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
-    pieces = numbered.select(
-        "doc_id", "size", "source_size", "target", "number", "bucket", "row", "start",
-        F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))).alias("block"))
-    low = F.greatest("start", F.col("block") * BLOCK)
-    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    met = pieces.join(taken, ["number", "block"], "left").withColumn(
-        "words", F.when(F.col("size") > 0, (high - low) * F.coalesce("times", F.lit(0))).otherwise(0))
-    return met.groupBy("number", "bucket", "row", "doc_id", "size", "source_size", "target").agg(
-        F.sum("words").cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    return numbered.join(counted, ["number", "bucket", "row"], "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
