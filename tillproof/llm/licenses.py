@@ -2,7 +2,8 @@
 
 A text is reduced to its words (lower-cased runs of digits, a to z and characters beyond ASCII)
 joined by single spaces, so a rule sees neither line ends nor punctuation. An Aho-Corasick pass
-over that form finds keywords; only rules whose keyword occurs are run. Each detection is an
+over that form finds keywords, inside longer words too if a name may run on (gplv3, freebsd); only
+rules whose keyword occurs are run, and every match of a rule contains its keyword. Each detection is an
 interval of words with a label, a priority and a confidence. A detection inside a longer or
 equal one of at least its priority is suppressed, and of two that overlap the one with the
 higher priority stays.
@@ -134,9 +135,11 @@ class Scanner:
         self.gates = ahocorasick.Automaton()
         by_keyword: dict[str, list[int]] = {}
         for n, (rule, _) in enumerate(self.rules):
-            by_keyword.setdefault(rule.keyword, []).append(n)
+            # With a space that may be missing, the keyword need not stand alone.
+            gate = rule.keyword if " ?" in rule.pattern else f" {rule.keyword} "
+            by_keyword.setdefault(gate, []).append(n)
         for keyword, members in by_keyword.items():
-            self.gates.add_word(f" {keyword} ", members)
+            self.gates.add_word(keyword, members)
         self.gates.make_automaton()
 
     def detections(self, spaced: str) -> list[tuple[int, int, Rule]]:
