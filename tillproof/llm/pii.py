@@ -29,15 +29,17 @@ from tillproof.scale import written
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("secret", "disguised", "person")
 KINDS = BASE_KINDS + ADDED_KINDS
+# A whole name in any alphabet with capitals: Müller, O'Brien, McDonald, García-Lorca.
+NAME = r"(?:\p{Lu}['’])?+\p{Lu}[\p{Ll}\p{M}]++(?:[-'’]?\p{Lu}[\p{Ll}\p{M}]++)*+(?![\p{L}\p{M}])"
 # A part before @ starts at a run's start, or where the match before it ended inside the run.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9])(?=[a-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+",
     "disguised": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]++ ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z]{2,24}",
-    "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? [A-Z][a-z]{1,30}+(?: [A-Z][a-z]{1,30}+)?",
+    "person": rf"(?<![\p{{L}}\p{{M}}])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señora|Señor|Monsieur|Madame)\.? {NAME}(?: {NAME})?",
 }
 # Words before a span that speak for its kind.
 HINTS = {
