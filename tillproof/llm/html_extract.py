@@ -7,7 +7,8 @@ host and path in Spark. The path that wins a host is then used to extract all it
 a page without that path falls back to its own best container.
 
 Text of navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments is never part of a page's text, inside the winning container or not. Character
+reader comments is never part of a page's text, inside the winning container or not. Captions,
+formulas, drawings' labels and what stands in for an object are text like any other. Character
 references are decoded once; white space inside a block becomes one space, blocks are trimmed,
 empty ones left out, and the rest joined by line ends in page order. A line break is white
 space. A tag that is cut off at the end of the page is no text. Comments and declarations are
@@ -31,8 +32,8 @@ from tillproof.scale import written
 
 # Elements of the markup language by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select")
-NOT_CONTENT = frozenset("nav header footer aside form button dialog menu head figcaption label fieldset".split()) | set(RAW)
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "select")
+NOT_CONTENT = frozenset("nav header footer aside form button dialog menu head fieldset".split()) | set(RAW)
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
