@@ -4,8 +4,8 @@ Training takes a bounded sample of labelled rows (SAMPLE per class, lowest hash
 lexicon holds prefixes of words that toxic texts contain and clean ones do not, so that
 inflected forms share one stem; words that only copies of one text share are told apart by
 the other words that go along. A text is searched for words that begin with a term, and for
-words within one edit of a whole term: an automaton row is carried down the trie, and branches
-that can no longer match are left at once. Spellings seen in clean texts are not misspellings.
+words that begin with something within one edit of a whole term: an automaton row is carried down
+the trie, and branches that can no longer match are left at once. Spellings seen in clean texts are not misspellings.
 
 Every hit has a context: quoted or reported if quotation marks enclose it or a reporting word
 precedes it within the window, else plain. How far a hit of each context counts is estimated
@@ -41,6 +41,8 @@ SHORTEST, LONGEST = 4, 12
 LUCK, COPIED = 0.0001, 5
 # Only terms of this length are searched with an edit; shorter ones have too many neighbours.
 FUZZY_LENGTH = 5
+# And with an edit and any ending only terms of this length.
+INFLECTED_LENGTH = 6
 WINDOW = 5
 THRESHOLD = 0.3
 PLAIN, QUOTED = 0, 1
@@ -63,7 +65,7 @@ class Model:
 
 
 class Matcher:
-    """Finds the term of a word: a prefix of it, or the whole word within one edit."""
+    """Finds the term of a word: a prefix of it, or within one edit of a prefix of it."""
 
     def __init__(self, terms: dict[str, float], innocent: frozenset[str], room: int = 200_000):
         self.trie: dict = {}
@@ -75,15 +77,16 @@ class Matcher:
         self.innocent, self.room = innocent, room
         self.seen: set[str] = set()
         self.found: dict[str, tuple[str, bool]] = {}
-        # One edit leaves the first or the second half of a term as it is, and its length almost:
-        # per length of a word, the halves that it may begin or end with.
-        self.heads: dict[int, dict[int, set[str]]] = {}
-        self.tails: dict[int, dict[int, set[str]]] = {}
+        # One edit leaves the first or the second half of a term as it is, the second half moved by
+        # one place at most: by length, the halves that a word may begin with, and by place and
+        # length, those that it may hold there.
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[tuple[int, int], set[str]] = {}
         for term in (t for t in terms if len(t) >= FUZZY_LENGTH):
             half = len(term) // 2
-            for size in (len(term) - 1, len(term), len(term) + 1):
-                self.heads.setdefault(size, {}).setdefault(half, set()).add(term[:half])
-                self.tails.setdefault(size, {}).setdefault(len(term) - half, set()).add(term[half:])
+            self.heads.setdefault(half, set()).add(term[:half])
+            for at in (half - 1, half, half + 1):
+                self.tails.setdefault((at, len(term) - half), set()).add(term[half:])
 
     def match(self, words: set[str]) -> set[str]:
         """The words that match a term; ``found`` then has (term, misspelt) of each.
@@ -110,19 +113,21 @@ class Matcher:
             best = node.get("", best)
         if best is not None:
             return best, False
-        heads = self.heads.get(len(word))
-        if heads is None or word in self.innocent:
+        if word in self.innocent:
             return None
-        if not any(word[:n] in own for n, own in heads.items()) and not any(
-                word[-n:] in own for n, own in self.tails[len(word)].items()):
+        if not any(word[:n] in own for n, own in self.heads.items()) and not any(
+                word[at:at + n] in own for (at, n), own in self.tails.items()):
             return None
+        # No prefix longer than the longest term and one letter more can be within an edit of one.
+        word = word[:LONGEST + 1]
         term = self._within_one(self.trie, word, list(range(len(word) + 1)))
         return None if term is None else (term, True)
 
     def _within_one(self, node: dict, word: str, row: list[int]) -> str | None:
-        """The first term, in letter order, whose automaton accepts ``word``."""
+        """The first term, in letter order, whose automaton accepts a prefix of ``word``."""
         term = node.get("")
-        if term is not None and len(term) >= FUZZY_LENGTH and row[-1] <= 1:
+        if term is not None and (
+                len(term) >= FUZZY_LENGTH and row[-1] <= 1 or len(term) >= INFLECTED_LENGTH and min(row) <= 1):
             return term
         for letter in sorted(k for k in node if k):
             after = [row[0] + 1]
