@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillproof.llm import chat, decontaminate, hilbert, html_extract, language, licenses, mixing, pii, simhash, toxicity
+from tillproof.llm import chat, decontaminate, hilbert, html_extract, language, licenses, mixing, periodic_runs, pii, simhash, toxicity
 from tillproof.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.detect(table(spark, sf_dir, "documents"), damaged=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_neighbours": op9_neighbours,
     "op10_decontaminate": op10_decontaminate,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 # The rendered length: 16 characters of template a turn, and one more for every control string
