@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillproof.llm import chat, decontaminate, hilbert, html_extract, language, licenses, mixing, periodic_runs, pii, simhash, toxicity
+from tillproof.llm import (
+    chat, decontaminate, hilbert, html_extract, language, licenses, mixing, periodic_runs, pii, simhash, token_files, toxicity,
+    turn_repair,
+)
 from tillproof.llm.common import table
 
 
@@ -57,6 +60,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.detect(table(spark, sf_dir, "documents"), damaged=True))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_and_read_back(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_token_files": op13_token_files,
 }
 
 # The rendered length: 16 characters of template a turn, and one more for every control string
