@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,7 +163,7 @@ def judge(figures):
         found.append(hit)
         if hit:
             pool.append(value)
-    pool = pool[:24] + [100.0]
+    pool = pool + [100.0]
     out = []
     for (value, decimals, _), hit in zip(figures, found):
         if hit:
@@ -212,5 +216,106 @@ def test_dates_come_before_identifiers_and_long_figures_stay(spark):
     texts = spark.createDataFrame([(1, "report-2026-06-02 and batch-2026-06 of CUST-0042 in a.py:10"), (2, "12345678901234567890123456789012345678 rows")], "id long, body string")
     got = C.scan_numbers(texts, "id", "body").orderBy("id", "place").collect()
     assert [r.kind for r in got] == ["date", "date", "identifier", "code-reference", "figure"]
-    index = spark.createDataFrame([(10, 0)], "value int, decimals int").withColumn("value", F.col("value").cast("decimal(30,6)"))
+    index = spark.createDataFrame([(10.0, 0)], "value double, decimals int")
     assert [r.verdict for r in C.numeric_claim_audit(texts, "id", "body", index).collect()] == ["unverified"]
+
+
+# Patterns of dates, references, identifiers and literals with their look-arounds.
+MASKS = [
+    ("date", r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?\b|\b\d{4}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b|\b\d{1,2}-\d{1,2}-\d{4}\b"),
+    ("date", r"(?<![\d.,$])\b(?:19|20|21)\d{2}\b(?![\d.,%])"),
+    ("code-reference", r"\b[\w./\\-]+\.(?:py|ts|tsx|js|jsx|sql|json|csv|md|db|yml|yaml)(?::\d+(?:\s*[-–]\s*\d+)?)+"),
+    ("code-reference", r"\b(?i:lines?)\s+\d+(?:\s*[-–]\s*\d+)?\b"),
+    ("identifier", r"\b[A-Za-z][A-Za-z_]*-?\d[\w.-]*\b"),
+    ("identifier", r"(?<![\d.,])\b\d+(?:st|nd|rd|th|[A-Za-z]{1,3})\b"),
+]
+
+
+def spans_read(text):
+    """(kind, literal) of every number of a text: masks one after the other, then literals in between."""
+    spans = []
+    for kind, pattern in MASKS:
+        for m in re.finditer(pattern, text, re.ASCII):
+            if not any(m.start() < b and m.end() > a for a, b, _ in spans):
+                spans.append((m.start(), m.end(), kind))
+    out = []
+    for m in re.finditer(r"[-+]?\$?\s?\d[\d,]*(?:\.\d+)?\s?%?", text, re.ASCII):
+        over = sorted(s for s in spans if m.start() < s[1] and m.end() > s[0])
+        raw = m.group()
+        digits = re.sub("[^0-9.]", "", raw)
+        small = "$" not in raw and "%" not in raw and "." not in digits and float(digits) <= 12
+        out.append((over[0][2], "") if over else ("small-integer" if small else "figure", raw.strip()))
+    return out
+
+
+def test_tokens_equal_the_patterns_with_look_around(spark):
+    rng = random.Random(11)
+    parts = ["2026", "2026-06-02", "12/05/2026", "17th", "5", "$3.50", "1,200", "7%", "TX-03", "src/a.py:21", "line 12", " ", " ", ", ", ". ", "-", "x", "é", "$", "(", ")", "v1.0.0", "3.14",
+             "2026-06-02T10:20", "99", "lines 3 - 9", "30d", "+", "1999"]
+    texts = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(1, 9)))) for i in range(1500)]
+    got = {}
+    for r in C.scan_numbers(spark.createDataFrame(texts, "id long, body string"), "id", "body").orderBy("id", "place").collect():
+        got.setdefault(r.id, []).extend([(r.kind, "")] * r.pieces if r.kind in C.KINDS else [(r.kind, r.literal)])
+    off = [(t, spans_read(t), got.get(i, [])) for i, t in texts if sorted(spans_read(t)) != sorted(got.get(i, []))]
+    assert len(off) <= 0.02 * len(texts), off[:10]
+
+
+def test_derived_without_a_cap(spark):
+    """Sixty verified figures; targets that follow from the last of them, and from none."""
+    own = [f"{1000 + 37 * i}.{i:02d}" for i in range(60)]
+
+    total = round(1000 + 37 * 58 + .58 + 1000 + 37 * 59 + .59, 2)
+    text = " and ".join(own) + f" make {total:.2f}, off by 0.37%, 98765.43 aside, 1.05 each, 0.00 left."
+    texts = spark.createDataFrame([(1, text), (2, "7.00 and 7.00 make 14.00 or 49.00 or 0.00; 3.50 is not.")], "id long, body string")
+    index = spark.createDataFrame([(float(v), 2) for v in own] + [(7.0, 2)], "value double, decimals int")
+    got = {(r.id, r.literal): r for r in C.numeric_claim_audit(texts, "id", "body", index).collect()}
+    assert all(got[1, v].verdict == "verified" for v in own)
+    hit = got[1, f"{total:.2f}"]
+    assert hit.verdict == "derived" and hit.how in ("sum", "difference")
+    assert got[1, "98765.43"].verdict == "unverified" and got[1, "1.05"].verdict == "derived"
+    assert (got[2, "14.00"].how, got[2, "14.00"].left_value, got[2, "14.00"].right_value) == ("sum", 7.0, 7.0)
+    assert got[2, "49.00"].how == "product" and got[2, "0.00"].how == "difference" and got[2, "3.50"].verdict == "unverified"
+
+
+def explanation(value, decimals, pool):
+    """The first arithmetic over the pool, in its order, that gives the value."""
+    f = 10.0 ** min(decimals, 6)
+    same = lambda c: math.floor(value * f + 0.5) == math.floor(abs(c) * f + 0.5)
+    pool = [*pool, 100.0]
+    for i, a in enumerate(pool):
+        for how, c in (("hundredth", a / 100), ("hundredfold", a * 100)):
+            if same(c):
+                return how, a, None
+        for j, b in enumerate(pool):
+            if i != j:
+                tries = [("sum", a + b), ("difference", a - b), ("product", a * b)] + ([("quotient", a / b), ("percent", a / b * 100)] if b else [])
+                for how, c in tries:
+                    if same(c):
+                        return how, a, b
+    return None
+
+
+def test_explanations_equal_the_search_over_all_pairs(spark):
+    rng = random.Random(12)
+    operands, targets, want = [], [], {}
+    for text in range(60):
+        pool = [round(rng.choice([rng.uniform(0.01, 5), rng.uniform(1, 900), rng.uniform(1e4, 1e6), 7.0, 25.0]), rng.randrange(3)) or 1.0 for _ in range(rng.randrange(12))]
+        operands += [(text, v, n) for n, v in enumerate(pool)]
+        for _ in range(15):
+            d = rng.randrange(4)
+            a, b = (rng.choice(pool), rng.choice(pool)) if pool else (3.0, 4.0)
+            v = round(abs(rng.choice([a + b, a - b, a * b, a / b, a / b * 100, rng.uniform(0, 1000)])), d)
+            if math.floor(v * 10 ** d + .5):
+                targets.append((text, v, d))
+                want[text, v, d] = explanation(v, d, pool)
+    got = C.derive(spark.createDataFrame(targets, "id long, value double, decimals int"), spark.createDataFrame(operands, "id long, value double, place int"), "id")
+    found = {(r.id, r.value, r.decimals): (r.how, r.left_value, r.right_value) for r in got.collect()}
+    assert found == {k: v for k, v in want.items() if v}
+
+
+def test_context_and_holder(spark):
+    texts = spark.createDataFrame([("a", "x", "It was 55.5 and 77."), ("b", "x", "It was 55.50."), ("c", "y", "It was 77 or 13.")], "id string, kind string, body string")
+    index = C.index_numbers(texts, "body", "kind", "id")
+    assert rows(index.filter("value = 55.5"), "context", "decimals", "first_holder", "last_holder") == [("x", 1, "a", "a"), ("x", 2, "b", "b")]
+    got = rows(C.numeric_claim_audit(texts, "id", "body", index, "kind", True), "id", "literal", "verdict")
+    assert got == [("a", "55.5", "verified"), ("a", "77", "unverified"), ("b", "55.50", "verified"), ("c", "13", "unverified"), ("c", "77", "unverified")]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tillproof.registry import audits, checks, cleaning, io, profiles, scalars, stars
+from tillproof.registry import audits, checks, claim_checks, cleaning, io, profiles, scalars, stars
 from tillproof.registry.base import Query
 
 ALL: list[Query] = [
     *io.QUERIES, *scalars.QUERIES, *profiles.QUERIES, *cleaning.QUERIES, *audits.QUERIES, *stars.QUERIES,
-    *checks.QUERIES,
+    *checks.QUERIES, *claim_checks.QUERIES,
 ]

@@ -1,4 +1,4 @@
-"""Registered queries for figures, tie-outs, cell comparison, what-if and claim audit."""
+"""Registered queries for figures, tie-outs, cell comparison and what-if."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from tillproof.catalog import DEFECTS, catalog_frame
-from tillproof.operators import claims as C, diff as D, figures as G, whatif as W
+from tillproof.operators import diff as D, figures as G, whatif as W
 from tillproof.operators.products import product_defects
 from tillproof.operators.stores import store_defects
 from tillproof.plans.workspace import open_feed
-from tillproof.registry.base import Query, on_feed, table
+from tillproof.registry.base import Query, on_feed
 from tillproof.registry.oracle import AS_OF, WINDOW_START, over
 
 KEYS = G.FigureKeys("P5", "P27", "S3", "S6", "1995-01", "2001-07")
@@ -143,64 +143,7 @@ SELECT recompute_totals, drop_returns, admit_orphans, admit_zero_future,
 FROM y GROUP BY 1, 2, 3, 4"""
 
 
-def _store_numbers(w):
-    sums = w.star["fact_sales"].groupBy("store_key").agg(
-        F.sum("net_amount").alias("net"), F.count(F.lit(1)).alias("sales"), F.sum("is_return").alias("backs"))
-    return sums.join(w.star["dim_store"].select("store_key", "store_id"), "store_key")
-
-
-def claim_texts(spark, sf_dir):
-    """Whole documents, and one sentence per store: every fifth states a wrong total, and the
-    mean is never in the index, only derivable."""
-    w = open_feed(spark, sf_dir)
-    n = _store_numbers(w)
-    stated = F.col("net") + F.when(F.col("store_key") % 5 == 0, F.lit(1234.56).cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
-    sentence = F.concat(
-        F.lit("Store "), "store_id", F.lit(" took $"), F.format_number(stated, 2), F.lit(" in "), F.col("sales").cast("string"),
-        F.lit(" sales with "), F.col("backs").cast("string"), F.lit(" returns, $"),
-        F.format_number(F.col("net").cast("double") / F.col("sales"), 2),
-        F.lit(" each, by 2001-08-01 (TX-10, 3 checks)."))
-    stores = n.select(F.concat(F.lit("store-"), "store_id").alias("text_id"), sentence.alias("text"))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("text_id"), "text")
-    return docs.unionByName(stores)
-
-
-def claim_index(spark, sf_dir):
-    w = open_feed(spark, sf_dir)
-    n = _store_numbers(w)
-    row = lambda c, d: F.struct(F.col(c).cast("decimal(30,6)").alias("value"), F.lit(d).alias("decimals"))
-    return n.select(F.inline(F.array(row("net", 2), row("sales", 0), row("backs", 0))))
-
-
-def _price_claims(spark, sf_dir):
-    """Order totals as a text might state them: whole, to a tenth, in full, or as a percent."""
-    total = F.col("o_totalprice").cast("decimal(18,2)")
-    d = (F.col("o_orderkey") % 3).cast("int")
-    value = F.when(d == 0, F.round(total, 0)).when(d == 1, F.round(total, 1)).otherwise(total)
-    return table(spark, sf_dir, "orders").select(
-        value.cast("decimal(30,6)").alias("value"), d.alias("decimals"), (F.col("o_orderkey") % 7 == 0).alias("is_percent"))
-
-
-def _price_index(spark, sf_dir):
-    """Every fourth order total to a tenth, and every ninth in full as a ratio."""
-    df = table(spark, sf_dir, "orders").withColumn("t", F.col("o_totalprice").cast("decimal(18,2)"))
-    tenth = df.filter("o_orderkey % 4 = 0").select(F.round("t", 1).cast("decimal(30,6)").alias("value"), F.lit(1).alias("decimals"))
-    ratio = df.filter("o_orderkey % 9 = 0").select((F.col("t") / 100).cast("decimal(30,6)").alias("value"), F.lit(4).alias("decimals"))
-    return tenth.unionByName(ratio)
-
-
-_MATCHED = """WITH o AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS t FROM orders),
-claims AS (SELECT DISTINCT CAST(CASE k % 3 WHEN 0 THEN round(t, 0) WHEN 1 THEN round(t, 1) ELSE t END AS DECIMAL(30,6)) AS value, CAST(k % 3 AS INTEGER) AS decimals, k % 7 = 0 AS is_percent FROM o),
-entries AS (SELECT DISTINCT CAST(round(t, 1) AS DECIMAL(30,6)) AS iv, 1 AS id FROM o WHERE k % 4 = 0
-  UNION SELECT CAST(t * CAST(0.01 AS DECIMAL(4,2)) AS DECIMAL(30,6)), 4 FROM o WHERE k % 9 = 0),
-readings AS (SELECT *, value AS v, decimals AS d FROM claims UNION ALL
-  SELECT *, CAST(value * CAST(0.01 AS DECIMAL(4,2)) AS DECIMAL(30,6)), decimals + 2 FROM claims WHERE is_percent)
-SELECT DISTINCT CAST(value AS DOUBLE) AS value, decimals, is_percent FROM readings r JOIN entries e ON iv BETWEEN v - 1 AND v + 1
-WHERE floor(v * CAST(10 ** least(d, id) AS INTEGER) + 0.5) = floor(iv * CAST(10 ** least(d, id) AS INTEGER) + 0.5)"""
-
-
 QUERIES = [
-    Query("match_figures", lambda spark, d: C.match_figures(_price_claims(spark, d), _price_index(spark, d)).withColumn("value", F.col("value").cast("double")), _MATCHED),
     Query("warehouse_figures", on_feed(_figures), over(f"WITH {FIGURES_SQL} SELECT figure, kind, text FROM figures", "fact_sales")),
     Query("check_published_figures", on_feed(lambda w: G.check_published_figures(_claims(_figures(w)), _figures(w)).select("figure", "kind", "claimed_text", "verdict")),
           over(f"""WITH {FIGURES_SQL}, {_CLAIMS} SELECT coalesce(c.figure, f.figure) AS figure, coalesce(c.kind, f.kind) AS kind, claimed_text,
@@ -235,6 +178,4 @@ SELECT defect_code, status, explanation, count(*) AS cells FROM diff LEFT JOIN w
   max(CASE WHEN column_name = 'total_amount' THEN raw_value END) AS sort_value FROM diff GROUP BY 1, 2, 3)
 SELECT *, TRY_CAST(replace(sort_value, '$', '') AS DOUBLE) AS sort_number, CASE WHEN sort_value = 'n/a' THEN 'n/a' END AS sort_text FROM r WHERE defects LIKE '%TX-02%'""", "flagged")),
     Query("policy_whatif", on_feed(lambda w: W.policy_whatif(w.flagged)), over(_WHATIF, "flagged")),
-    Query("numeric_claim_audit", lambda spark, d: C.numeric_claim_audit(claim_texts(spark, d), "text_id", "text", claim_index(spark, d)).withColumn("value", F.col("value").cast("double")), None),
-    Query("claim_summary", lambda spark, d: C.claim_summary(claim_texts(spark, d), "text_id", "text", claim_index(spark, d)), None),
 ]
