@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from tillproof.llm import token_files as T
 
 ODD = ["", " ", "a", " a", "a ", "a  b", "a b", "a\n b", "a \nb", "\ta b\t", "it's we'll 12 345 ...!? x", "ü ß 漢字 かな 😀 😀", "a b c", "a 　 b",
-       "x\x1c y \x1fz", "a <|endoftext|> b", "a<|endoftext|>b", "don 't  'll", "12 34\r\n 5", "a​ b", "\x00 a", "é é", "a \x85b"]
+       "x\x1c y \x1fz", "a <|endoftext|> b", "a<|endoftext|>b", "don 't  'll", "12 34\r\n 5", "a\nb c\nd", "\n", "a\n", "don' t's", "x.\" y,%%% z'", "a\n\nb", "a​ b", "\x00 a", "é é", "a \x85b"]
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def test_pieces_are_the_whole(whole):
     encoder = T.Encoder(T.tokenizer_path())
     assert encoder.by_piece
     rng = random.Random(1)
-    texts = ODD + ["".join(rng.choice(["a", "the", " ", " ", "\n", "'s", ".", "7", "ß", " ", "\x1d", "Ab", "-"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts = ODD + ["".join(rng.choice(["a", "the", " ", " ", "\n", "'s", ".", "7", "ß", " ", "\x1d", "Ab", "-", ",", ":", "été", "ſt", "ʰ", "ǅ"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
     for text, ids in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == whole(text), repr(text)
 

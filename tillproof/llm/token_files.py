@@ -9,9 +9,11 @@ doc_id of each ``ROW_GROUP`` rows and a Bloom filter on doc_id, so that a search
 files, stripes and row groups by metadata, and a scan reads stripes in parallel.
 
 Byte-level pieces never reach across a single space between two other characters, so a text is cut
-there, each distinct piece goes through the tokenizer once and the results are laid end to end. Texts
-with other blanks are cut by a pattern that leaves these whole. A tokenizer of another kind encodes
-whole texts.
+there, and at single line ends; a distinct piece goes through the tokenizer once, as long as there is room
+to remember it, and the results are laid end to end. Texts with other blanks are cut by a pattern that
+leaves these whole. A piece of Latin letters, with marks
+after it or none, is what the tokenizer's own cut would give and goes to its model at once. A tokenizer
+of another kind encodes whole texts.
 
 Rows of one identifier are ordered by text, so a hot identifier spreads over partitions. Null text is
 empty: only the end identifier is written. Rows without an identifier come first. An empty table gives
@@ -20,10 +22,15 @@ an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +43,15 @@ TOKENIZER = "byte_bpe_50k.json"
 # Rows between two entries of a stripe's row index, and bytes of a stripe.
 ROW_GROUP, STRIPE = 1000, 16 << 20
 FALSE_POSITIVES = 0.01
-# Distinct pieces that a task remembers, and pieces that the tokenizer gets at once.
-REMEMBERED, AT_ONCE = 400_000, 20_000
+# Distinct pieces of either kind that a worker process remembers, about 200 bytes each.
+REMEMBERED = 600_000
 # Documents whose identifiers are handed over at once hold about so many letters.
 LETTERS = 1 << 22
 CUT = re.compile(r"(?<=\S) (?=\S)")
-ODD_BLANK = re.compile(r"^\s|\s$|\s\s")
+# Letters that every Unicode version since the first counts as such end before this one.
+LATIN_END = "\u0250"
+# Every blank but space and line end, as any Unicode version or Python has them.
+OTHER_BLANK = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 FILE_SCHEMA = "doc_id long, before long, n_tokens int, ids array<int>"
 ARROW = pa.schema([("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
@@ -52,41 +62,87 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next free one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class Encoder:
     """Little-endian 32-bit identifiers of whole texts, without special tokens."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         cut = self.tokenizer.pre_tokenizer
         self.by_piece = (isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
-                         and self.tokenizer.normalizer is None)
+                         and self.tokenizer.normalizer is None and isinstance(self.model, models.BPE))
+        self.letters = byte_letters()
         # Pieces by their text; those after the first of a text are preceded by a space.
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.stops = {"": b""}
+        self.line_end = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = list(pieces - known.keys())
-        for at in range(0, len(new), AT_ONCE):
-            own = new[at:at + AT_ONCE]
-            known.update(zip(own, self.whole([lead + p for p in own])))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str, known: dict[str, bytes], lead: str) -> bytes:
+        """One piece's identifiers. Letters, and marks after them, are cut apart by the tokenizer too, so
+        its model takes the letters as they are."""
+        word = piece.rstrip(punctuation)
+        if not word.isalpha() or not word.isascii() and max(word) >= LATIN_END:
+            ids = self.whole([lead + piece])[0]
+        else:
+            stop = piece[len(word):]
+            ids = known.get(word) if stop else None
+            if ids is None:
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(self.letters[32] + shown if lead else shown)]).tobytes()
+                if stop and len(known) < REMEMBERED:
+                    known[word] = ids
+            if stop:
+                if stop not in self.stops:
+                    self.stops[stop] = self.whole([stop])[0]
+                ids += self.stops[stop]
+        # What comes early comes often, so the first pieces are those to remember.
+        if len(known) < REMEMBERED:
+            known[piece] = ids
+        return ids
+
+    def _line(self, pieces: list[str]) -> bytes:
+        ids = list(map(self.later.get, pieces))
+        ids[0] = self.first.get(pieces[0])
+        if None in ids:
+            for at, own in enumerate(ids):
+                if own is None:
+                    ids[at] = self._piece(pieces[at], self.later if at else self.first, " " if at else "")
+        return b"".join(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.whole(texts)
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first.clear()
-            self.later.clear()
-        cut = [(CUT.split(t) if ODD_BLANK.search(t) else t.split(" ")) if t else [] for t in texts]
-        self._learn(self.first, {p[0] for p in cut if p}, "")
-        self._learn(self.later, set().union(*(p[1:] for p in cut)), " ")
-        later = self.later.__getitem__
-        return [self.first[p[0]] + b"".join(map(later, p[1:])) if p else b"" for p in cut]
+        out = []
+        for text in texts:
+            # So every blank is one space or one line end between other characters; a line end is then
+            # a piece of its own.
+            if len(text.split()) == text.count(" ") + text.count("\n") + 1 and not OTHER_BLANK.search(text):
+                out.append(self.line_end.join([self._line(line.split(" ")) for line in text.split("\n")]))
+            else:
+                out.append(self._line(CUT.split(text)) if text else b"")
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which Spark uses for one task after the other."""
+    held = sys.modules.setdefault("_tillproof_encoders", types.ModuleType("_tillproof_encoders"))
+    if path not in vars(held):
+        vars(held)[path] = Encoder(path)
+    return vars(held)[path]
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
@@ -103,10 +159,11 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, before, n_tokens, ids: sorted partitions, each with its own running total."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, end = Encoder(path), 0, np.array([end_id], "<u4").tobytes()
+        own, before, end = encoder(path), 0, np.array([end_id], "<u4").tobytes()
+        gc.disable()  # nothing here is cyclic, and the remembered pieces would be walked again and again
         for batch in batches:
             for ids, texts in _groups(batch):
-                encoded = [e + end for e in encoder.encode(texts)]
+                encoded = [e + end for e in own.encode(texts)]
                 sizes = np.array([len(e) // 4 for e in encoded], np.int64)
                 edges = np.concatenate(([0], np.cumsum(sizes)))
                 values = pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32))
