@@ -8,6 +8,7 @@ examples that depend on the inferred type.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
@@ -29,8 +30,8 @@ TOP_VALUES = 5
 SAMPLES = 5
 LENGTHS = 10
 FAILURE_EXAMPLES = 5
-# Candidate rules counted by one pass over the table; more of them take more passes.
-RULES_AT_ONCE = 60
+# Of so many parts of the rows, so many refute relationships first; more than half of them, so most rules fall.
+PARTS, FIRST_PART = 16, 9
 MIN_RELATION_RATE = 0.5
 KEY_LISTING = 25
 MISMATCH_EXAMPLES = 10
@@ -401,31 +402,65 @@ def reconciliation_examples(
         F.abs("delta") > tolerance).orderBy("source_row").limit(limit)
 
 
+def _numbers(df: DataFrame, columns: list[str]) -> Column:
+    """The columns as an array of doubles. Plain decimals take a short path, and text is read by one
+    expression for all columns."""
+    plain = lambda c: F.when(c.rlike(r"^[+-]?\d{1,18}(\.\d{1,6})?$"), c.try_cast("double")).otherwise(money.to_decimal(c).cast("double"))
+    return F.transform(F.array(*[F.col(c).cast("string") for c in columns]), plain)
+
+
+def _rule_counts(rows: DataFrame, pairs: list[tuple[int, int]], targets: int, count: str, holds: Callable[[int], str]) -> DataFrame:
+    """pair, target, n: ``count`` summed where ``holds(target)`` for the pair ``p``, for rows where any target holds.
+
+    A row is spread to its pairs, and dropped again where no target holds, before anything is added up.
+    Expressions are given as text, as there are some for every pair.
+    """
+    listed = ", ".join(f"named_struct('i', {i}, 'a', {a}, 'b', {b}, 'bits', {1 << a | 1 << b}L)" for i, (a, b) in enumerate(pairs))
+    spread = rows.withColumn("p", F.expr(f"explode(array({listed}))"))
+    found = spread.filter(" OR ".join(f"coalesce({holds(t)}, false)" for t in range(targets))).groupBy(F.col("p.i").alias("pair"))
+    sums = F.expr(f"array({', '.join(f'sum(CASE WHEN {holds(t)} THEN {count} END)' for t in range(targets))})")
+    return found.agg(sums.alias("sums")).select("pair", F.posexplode("sums").alias("target", "n")).filter("n > 0")
+
+
 def discover_relationships(df: DataFrame, columns: list[str], tolerance: float = 0.01) -> DataFrame:
     """Every target and unordered factor pair among three or more numeric columns; rules that
-    hold for half the rows or more are kept. Many rules share one aggregate over the table."""
-    rules = [(target, a, b) for target in columns for a, b in combinations(sorted(c for c in columns if c != target), 2)]
-    if not rules:
-        return df.sparkSession.createDataFrame(
-            [], "relationship string, target string, comparable_row_count long, match_count long, match_rate double")
-    parsed = df.select(*[money.to_decimal(F.col(c)).cast("double").alias(c) for c in columns])
-    if len(rules) > RULES_AT_ONCE:
-        parsed = written(parsed, "parsed")  # several passes read numbers, not text
-
-    def counted(part: list[tuple[str, str, str]]) -> DataFrame:
-        counts = []
-        for i, (target, a, b) in enumerate(part):
-            delta = F.col(a) * F.col(b) - F.col(target)
-            counts += [F.count(delta).alias(f"c{i}"), F.count_if(F.abs(delta) <= tolerance).alias(f"m{i}")]
-        return parsed.agg(*counts).select(F.inline(F.array(*[
-            F.struct(F.lit(f"{target} ~= {a} * {b}").alias("relationship"), F.lit(target).alias("target"),
-                     F.col(f"c{i}").alias("comparable_row_count"), F.col(f"m{i}").alias("match_count"))
-            for i, (target, a, b) in enumerate(part)])))
-
-    tested = reduce(DataFrame.unionByName, [counted(rules[i:i + RULES_AT_ONCE]) for i in range(0, len(rules), RULES_AT_ONCE)])
-    rate = F.round(F.try_divide(F.col("match_count") * 1e6, F.col("comparable_row_count"))) / 1e6
-    return tested.withColumn("match_rate", rate).filter(
-        F.col("match_rate") >= MIN_RELATION_RATE).orderBy(F.col("match_rate").desc(), "target", "relationship")
+    hold for half the rows or more are kept.
+
+    Rules are refuted first: FIRST_PART of the rows are tested under all rules. A rule that would not
+    reach half even if every other row kept it is retired; most are, as that part is more than half.
+    What is left is tested on the other rows, so its counts are those of all rows. How many rows a rule
+    applies to is counted from the patterns of present values alone. The driver sees rules, never rows.
+    """
+    spark, every, n = df.sparkSession, sorted(columns), len(columns)
+    pairs = list(combinations(range(n), 2))
+    rows = written(df.select(_numbers(df, every).alias("v"), (F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)) < FIRST_PART).alias("_part")), "parsed")
+    bits = F.aggregate(F.transform("v", lambda x, i: F.when(x.isNotNull(), F.pow(F.lit(2.0), i).cast("long")).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b)
+    patterns = written(rows.groupBy(bits.alias("bits"), "_part").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    present = lambda t: f"bits & (p.bits | {1 << t}L) = (p.bits | {1 << t}L)"
+    kept = lambda t: f"abs(get(v, p.a) * get(v, p.b) - get(v, {t})) <= {tolerance}"
+    names = ["pair", "target"]
+
+    comparable = written(_rule_counts(patterns, pairs, n, "n", present).withColumnRenamed("n", "comparable"), "comparable")
+    first = written(_rule_counts(rows.filter("_part"), pairs, n, "1", kept).withColumnRenamed("n", "matching"), "first-part")
+    rest = _rule_counts(patterns.filter("NOT _part"), pairs, n, "n", present).withColumnRenamed("n", "open")
+    # As the rate is rounded when rules are kept, a rule this close is not retired.
+    alive = comparable.join(first, names, "left").join(rest, names, "left").fillna(0).filter(
+        F.col("matching") + F.col("open") >= F.col("comparable") * (MIN_RELATION_RATE - 1e-6))
+    survivors = [tuple(r) for r in alive.select(*names).collect() if r.target not in pairs[r.pair]]
+    left = sorted({p for p, _ in survivors})
+    if not survivors:
+        return spark.createDataFrame([], "relationship string, target string, comparable_row_count long, match_count long, match_rate double")
+    renumbered = spark.createDataFrame(
+        [(new, t, old, every[t], f"{every[t]} ~= {every[pairs[old][0]]} * {every[pairs[old][1]]}") for new, old in enumerate(left) for p, t in survivors if p == old],
+        "place int, target int, pair int, name string, relationship string")
+    second = _rule_counts(rows.filter("NOT _part"), [pairs[p] for p in left], n, "1", kept).select(F.col("pair").alias("place"), "target", F.col("n").alias("more"))
+    # One row per rule from here on.
+    tested = renumbered.join(second, ["place", "target"], "left").join(comparable, names).join(first, names, "left").fillna(0)
+    count = F.col("matching") + F.col("more")
+    rate = F.round(F.try_divide(count * 1e6, F.col("comparable"))) / 1e6
+    return tested.select(
+        "relationship", F.col("name").alias("target"), F.col("comparable").alias("comparable_row_count"), count.alias("match_count"), rate.alias("match_rate"),
+    ).filter(F.col("match_rate") >= MIN_RELATION_RATE).orderBy(F.col("match_rate").desc(), "target", "relationship")
 
 
 def column_profile(df: DataFrame, columns: list[str], config: RunConfig) -> DataFrame:

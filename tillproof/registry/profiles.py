@@ -112,25 +112,26 @@ def _samples(spark, sf_dir):
 
 def _rule_table(w):
     """The money columns and, so that there are many, small multiples of the quantity."""
-    multiples = [(F.col("quantity") * n).alias(f"quantity_{n}") for n in range(2, 6)]
+    multiples = [(F.col("quantity") * n).alias(f"quantity_{n}") for n in range(2, 9)]
     wide = w.sales.select("quantity", "unit_price", "extended_amount", "total_amount", "discount_amount", *multiples)
     return wide.select(*[F.col(c).cast("string").alias(c) for c in _PAIRS])
 
 
-_PAIRS = ["quantity", "unit_price", "extended_amount", "total_amount", "discount_amount", *[f"quantity_{n}" for n in range(2, 6)]]
+_PAIRS = ["quantity", "unit_price", "extended_amount", "total_amount", "discount_amount", *[f"quantity_{n}" for n in range(2, 9)]]
 
 
 def _rules() -> str:
-    parts = []
-    for t in _PAIRS:
-        rest = sorted(c for c in _PAIRS if c != t)
-        for i, a in enumerate(rest):
-            for b in rest[i + 1:]:
-                parts.append(
-                    f"SELECT '{t} ~= {a} * {b}' AS relationship, '{t}' AS target, count({a}) AS comparable_row_count,"
-                    f" count(*) FILTER (WHERE abs(CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE) - CAST({t} AS DOUBLE)) <= 0.01) AS match_count FROM wide_sales")
-    wide = ", ".join(f"quantity * {n} AS quantity_{n}" for n in range(2, 6))
-    return f"WITH wide_sales AS (SELECT *, {wide} FROM sales) " + "SELECT *, round(match_count * 1e6 / comparable_row_count) / 1e6 AS match_rate FROM (" + " UNION ALL ".join(parts) + ") WHERE match_count * 2 >= comparable_row_count"
+    """All pairs and targets of every row at once, from rows of (row, column, value)."""
+    columns = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _PAIRS)
+    multiples = ", ".join(f"quantity * {n} AS quantity_{n}" for n in range(2, 9))
+    tests = ", ".join(f"count(*) FILTER (WHERE a.value * b.value IS NOT NULL AND w.{t} IS NOT NULL) AS c_{t}, count(*) FILTER (WHERE abs(a.value * b.value - w.{t}) <= 0.01) AS m_{t}" for t in _PAIRS)
+    rows = " UNION ALL ".join(f"SELECT f1, f2, '{t}' AS target, c_{t} AS comparable_row_count, m_{t} AS match_count FROM counted WHERE '{t}' NOT IN (f1, f2)" for t in _PAIRS)
+    return f"""WITH wide AS (SELECT row_number() OVER () AS id, {columns} FROM (SELECT *, {multiples} FROM sales)),
+long AS (UNPIVOT wide ON {', '.join(_PAIRS)} INTO NAME name VALUE value),
+counted AS (SELECT a.name AS f1, b.name AS f2, {tests} FROM long a JOIN long b ON a.id = b.id AND a.name < b.name JOIN wide w ON w.id = a.id GROUP BY 1, 2),
+rules AS ({rows})
+SELECT target || ' ~= ' || f1 || ' * ' || f2 AS relationship, *  EXCLUDE (f1, f2), round(match_count * 1e6 / comparable_row_count) / 1e6 AS match_rate
+FROM rules WHERE match_count * 2 >= comparable_row_count AND comparable_row_count > 0"""
 
 
 QUERIES = [
