@@ -85,9 +85,41 @@ def test_each_damage_is_named(star, change, name):
     assert name in broken
 
 
+def test_the_fact_is_read_once_to_verify_and_twice_for_constraints(star, parts):
+    plan = X.verify_star(star, *parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "net_amount#" in line for line in plan.splitlines()) == 1
+    plan = constraint_suite(star)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "sales_key#" in line for line in plan.splitlines()) == 2
+
+
+def test_null_and_repeated_keys_are_counted(star):
+    fact = star["fact_sales"].withColumn("store_key", F.when(F.col("sales_key") > 1, F.col("store_key"))).withColumn("transaction_id", F.lit("T1"))
+    got = {(r.kind, r.constraint_name): r.violations for r in constraint_suite({**star, "fact_sales": fact}).filter("violations > 0").collect()}
+    assert got == {("fk", "store_key"): 1, ("not_null", "store_key"): 1, ("unique", "transaction_id"): 1}
+
+
+def test_a_load_with_unknown_keys_leaves_them_readable(spark, parts):
+    lost = parts[2].withColumn("store_id", F.when(F.col("transaction_id") == "T2", "S404").otherwise(F.col("store_id"))).withColumn(
+        "product_id", F.when(F.col("transaction_id").isin("T2", "T3"), "P404").otherwise(F.col("product_id")))
+    path = new_folder(spark, "t-lost")
+    with pytest.raises(X.UnresolvedKeys, match="2 sales rows") as stop:
+        X.load_star(parts[0], parts[1], lost, CONFIG, path)
+    kept = X.read_outcome(spark, stop.value.path, "unresolved")
+    assert rows(kept, "transaction_id", "store_id", "missing_keys") == [("T2", "S404", "store_key,product_key"), ("T3", "S002", "product_key")]
+    with pytest.raises(FileNotFoundError):
+        read_star(spark, path)
+
+
+def test_a_table_that_reads_back_short_is_not_published(spark, parts, monkeypatch):
+    real = X.build_star
+    monkeypatch.setattr(X, "build_star", lambda *a: (lambda s, n: (s, {**n, "dim_date": n["dim_date"] + 1}))(*real(*a)))
+    with pytest.raises(ValueError, match="failed verification"):
+        X.load_star(*parts, CONFIG, new_folder(spark, "t-short"))
+
+
 def test_failed_verification_publishes_nothing(spark, parts, monkeypatch):
     real = X.build_star
-    monkeypatch.setattr(X, "build_star", lambda *a: (lambda s: {**s, "fact_sales": s["fact_sales"].limit(2)})(real(*a)))
+    monkeypatch.setattr(X, "build_star", lambda *a: (lambda s, n: ({**s, "fact_sales": s["fact_sales"].limit(2)}, n))(*real(*a)))
     path = new_folder(spark, "never")
     with pytest.raises(ValueError, match="failed verification"):
         X.load_star(*parts, CONFIG, path)

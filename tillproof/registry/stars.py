@@ -44,6 +44,18 @@ def _load(spark, sf_dir):
         "fact_net", F.col("fact_net").cast("double"))
 
 
+def _unresolved_quarantine(w):
+    """What a load leaves behind that fails: sales of two stores and of a product are given unknown keys."""
+    lost = w.sales.withColumns({
+        "store_id": F.when(F.col("store_id").isin("S3", "S6"), F.concat("store_id", F.lit("x"))).otherwise(F.col("store_id")),
+        "product_id": F.when(F.col("product_id") == "P5", "P5x").otherwise(F.col("product_id"))})
+    try:
+        X.load_star(w.stores, w.products, lost, CONFIG, new_folder(w.spark, "star-lost"))
+    except X.UnresolvedKeys as stop:
+        return X.read_outcome(w.spark, stop.path, "unresolved").select("transaction_id", "store_id", "product_id", "missing_keys", F.col("net_amount").cast("double").alias("net_amount"))
+    raise AssertionError("the load did not stop")
+
+
 _LOAD_SQL = """SELECT (SELECT count(*) FROM fact_sales) AS fact_rows, (SELECT CAST(sum(net_amount) AS DOUBLE) FROM fact_sales) AS fact_net,
   (SELECT count(*) FROM sales) AS feed_rows, (SELECT count(*) FROM dim_store) AS store_rows, (SELECT count(*) FROM stores_clean) AS stores_in,
   (SELECT count(*) FROM dim_product) AS product_rows, (SELECT count(*) FROM products_clean) AS products_in,
@@ -152,6 +164,11 @@ QUERIES = [
           over("SELECT transaction_id, product_id, product_key FROM sales JOIN dim_product USING (product_id)", "sales", "dim_product")),
     Query("unresolved_keys", on_feed(_unresolved),
           over("SELECT store_id, count(*) AS fact_rows FROM flagged WHERE NOT is_copy AND store_id NOT IN (SELECT store_id FROM dim_store) GROUP BY store_id", "flagged", "dim_store")),
+    Query("unresolved_quarantine", on_feed(_unresolved_quarantine),
+          over("""SELECT transaction_id, CASE WHEN store_id IN ('S3', 'S6') THEN store_id || 'x' ELSE store_id END AS store_id,
+  CASE WHEN product_id = 'P5' THEN 'P5x' ELSE product_id END AS product_id,
+  concat_ws(',', CASE WHEN store_id IN ('S3', 'S6') THEN 'store_key' END, CASE WHEN product_id = 'P5' THEN 'product_key' END) AS missing_keys,
+  CAST(total_amount AS DOUBLE) AS net_amount FROM sales WHERE store_id IN ('S3', 'S6') OR product_id = 'P5'""", "sales")),
     Query("fact_sales", on_feed(lambda w: _out(w.star["fact_sales"])),
           over("SELECT * REPLACE (CAST(unit_price AS DOUBLE) AS unit_price, CAST(extended_amount AS DOUBLE) AS extended_amount, CAST(discount_amount AS DOUBLE) AS discount_amount, CAST(net_amount AS DOUBLE) AS net_amount) FROM fact_sales", "fact_sales")),
     Query("constraint_suite", on_feed(lambda w: constraint_suite(w.star)), over(_violations(), "fact_sales")),

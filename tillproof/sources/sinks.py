@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -66,17 +66,22 @@ def lineage_sink(lineage: DataFrame, path: str) -> str:
 STAR_TABLES = ("dim_date", "dim_store", "dim_product", "dim_customer", "fact_sales")
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
-    """Write independent tables under ``path`` side by side and read them back."""
+def write_tables(tables: dict[str, DataFrame], path: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Write independent tables under ``path`` side by side; the tables as read back, and the rows that
+    each write saw. Rows are observed in the stage that writes them, so a count needs no other pass."""
     spark = next(iter(tables.values())).sparkSession
 
     @inheritable_thread_target(spark)
-    def write(item: tuple[str, DataFrame]) -> None:
-        item[1].write.mode("overwrite").parquet(f"{path}/{item[0]}")
+    def write(item: tuple[str, DataFrame]) -> int:
+        name, df = item
+        seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/{name}")
+        return seen.get["rows"]
 
     with ThreadPoolExecutor(len(tables)) as pool:
-        list(pool.map(write, tables.items()))
-    return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
+        counts = list(pool.map(write, tables.items()))
+    return ({name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()},
+            dict(zip(tables, counts)))
 
 
 POINTER = "CURRENT"
