@@ -319,3 +319,19 @@ def test_context_and_holder(spark):
     assert rows(index.filter("value = 55.5"), "context", "decimals", "first_holder", "last_holder") == [("x", 1, "a", "a"), ("x", 2, "b", "b")]
     got = rows(C.numeric_claim_audit(texts, "id", "body", index, "kind", True), "id", "literal", "verdict")
     assert got == [("a", "55.5", "verified"), ("a", "77", "unverified"), ("b", "55.50", "verified"), ("c", "13", "unverified"), ("c", "77", "unverified")]
+
+
+def test_published_cells_are_compared(spark, table):
+    clean = T.clean_transactions(table, CONFIG, row_key=True)
+    raw_rows = table.select("source_row", *T.COLUMNS)
+    diff = D.published_diff(raw_rows, clean, T.lineage(table), CONFIG)
+    assert sorted(map(tuple, diff.collect()), key=repr) == sorted(map(tuple, D.raw_vs_clean_diff(table).collect()), key=repr)
+    changed = clean.withColumns({
+        "store_id": F.when(F.col("source_row") != 2, F.col("store_id")), "quantity": F.when(F.col("source_row") == 1, 99).otherwise(F.col("quantity")),
+    }).filter("source_row <> 0").unionByName(clean.filter("source_row = 0").withColumn("source_row", F.lit(500).cast("long")))
+    damaged = D.published_diff(raw_rows, changed, T.lineage(table), CONFIG)
+    off = rows(damaged.filter("status = 'unexplained' AND source_row < 500"), "source_row", "column_name", "clean_value")
+    assert [r[:2] for r in off] == [(1, "quantity"), (2, "store_id")] and off[0][2] == "99" and off[1][2] is None
+    assert {r.disposition for r in damaged.filter("source_row = 0").collect()} == {"missing"}
+    report = D.verify_diff(damaged, T.lineage(table)).first()
+    assert report.disposition_mismatches == 2 and report.unmatched_rows == 1 and report.unexplained_cells == 2 + 8

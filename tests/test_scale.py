@@ -88,6 +88,47 @@ def test_group_median_matches_statistics(spark):
         assert abs(float(r.m) - want[r.g]) <= 0.0051
 
 
+def test_medians_of_all_sizes_and_signs(spark):
+    dice = random.Random(6)
+    data = [("a", dice.randrange(-10**9, 10**9)) for _ in range(301)] + [("b", dice.randrange(10**14)) for _ in range(40)] + [("c", 7)] * 9 + [("d", -1), ("d", 4)]
+    df = spark.createDataFrame([(g, c) for g, c in data], "g string, c long").select("g", (F.col("c") / 100).cast("decimal(18,2)").alias("v"))
+    want = {g: statistics.median([c for h, c in data if h == g]) / 100 for g in "abcd"}
+    got = {r.g: float(r.m) for r in group_median(df, ["g"], "v", "m").collect()}
+    assert set(got) == set(want) and all(abs(got[g] - want[g]) <= 0.0051 for g in want)
+    assert group_median(df.limit(0), ["g"], "v", "m").collect() == []
+
+
+def test_a_median_of_very_many_values_orders_only_histograms(spark):
+    """Ten million distinct values in one group: no window without a partition, none over the values."""
+    df = spark.range(10_000_000).select(F.lit(1).alias("g"), (F.col("id") * 37 % 10_000_000 / 100).cast("decimal(18,2)").alias("v"))
+    found = group_median(df, ["g"], "v", "m")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and plan.count("Window") >= 1
+    assert float(found.first().m) == 50_000.00  # of 0.00 to 99,999.99 the mean of 49,999.99 and 50,000.00, rounded
+
+
+def test_flag_repeats_keeps_cells_apart(spark):
+    """Cells that hold separators, blanks or nothing make rows unequal, whatever their joined text is."""
+    rows = [("a\x1fb", "c"), ("a", "b\x1fc"), ("\x00", "x"), (None, "x"), (None, None), ("", None), (None, ""), ("a\x1fb", "c"), (None, "x"), (None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "source_row long, a string, b string")
+    assert {r.source_row for r in scale.flag_repeats(df, ["a", "b"], "source_row", "again").filter("again").collect()} == {7, 8, 9}
+
+
+def test_rows_that_share_a_fingerprint_are_compared(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    df = spark.createDataFrame([(i, "xyz"[i % 3], i % 2) for i in range(12)], "source_row long, a string, b int")
+    got = {r.source_row for r in scale.flag_repeats(df, ["a", "b"], "source_row", "again").filter("again").collect()}
+    monkeypatch.setattr(F, "xxhash64", real)
+    assert got == set(range(6, 12))
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, no_broadcast):
+    a, b = (scale.bucketed(spark.range(1000).select("id", F.lit(n).alias(n)), "id", n, 4) for n in ("left", "right"))
+    both = a.join(b, "id", "full")
+    assert both.count() == 1000 and "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
     class Other:
         master = "yarn"

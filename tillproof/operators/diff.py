@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillproof.config import RunConfig
+from tillproof.functions import dates, money
 from tillproof.functions.codes import mixed_sort_key, order_by_mixed
-from tillproof.functions.text import normalise_text
+from tillproof.functions.text import is_missing, normalise_text
 from tillproof.operators.transactions import COLUMNS
 from tillproof.scale import lookup
 
@@ -24,7 +26,7 @@ def _cell(name: str, clean: Column, found: list[tuple[Column, str, str]]) -> Col
     status, code = F.lit("clean"), F.lit(None).cast("string")
     for condition, word, label in reversed(found):
         status = F.when(condition, F.lit(word)).otherwise(status)
-        code = F.when(condition, F.lit(label)).otherwise(code)
+        code = F.when(condition, F.lit(label).cast("string")).otherwise(code)
     return F.struct(
         F.lit(name).alias("column_name"), F.col(name).alias("raw_value"),
         F.when(kept, clean).otherwise(F.concat(F.lit("("), F.col("disposition"), F.lit(")"))).alias("clean_value"),
@@ -55,6 +57,44 @@ def raw_vs_clean_diff(flagged: DataFrame) -> DataFrame:
         "source_row", "transaction_id", "disposition", "_cell.*")
 
 
+UNEXPLAINED = "unexplained"
+CLEAN_COLUMNS = ("transaction_date", "store_id", "product_id", "customer_id", "quantity", "unit_price", "total_amount")
+
+
+def published_diff(raw: DataFrame, published: DataFrame, lineage: DataFrame, config: RunConfig) -> DataFrame:
+    """One record per source row and column: raw text against the cell that was published.
+
+    The three tables meet on ``source_row``; bucketed by it, they do so without a shuffle. Nothing of the
+    working table is used: what a rule should have made of the raw text is read anew from the text, and a
+    published cell that differs from that, nulls included, is ``unexplained``. A row that is published
+    counts as kept; one that the ledger keeps but is not published is ``missing``.
+    """
+    out = published.select("source_row", F.lit(True).alias("_there"), *[F.col(c).alias(f"_p_{c}") for c in ("transaction_id", *CLEAN_COLUMNS, "has_discount", "is_return")])
+    ledger = lineage.select("source_row", F.col("disposition").alias("_said"), "reason_code", F.col("transaction_id").alias("_id"))
+    rows = raw.select("source_row", *COLUMNS).join(ledger, "source_row", "full").join(out, "source_row", "full")
+    rows = rows.withColumn("disposition", F.when(F.col("_there"), "kept").when(F.col("_said") == "kept", "missing").otherwise(F.col("_said")))
+    rows = rows.withColumn("_id", F.coalesce("transaction_id", "_id", "_p_transaction_id"))
+    text = lambda c: normalise_text(F.col(c))
+    guest = is_missing(F.col("customer_id"))
+    day = dates.parsed_date(F.col("transaction_date"), config.ladder)
+    other = F.coalesce(dates.date_format(F.col("transaction_date"), config.ladder) != config.ladder[0].label, F.lit(False))
+    expected = {
+        "transaction_id": text("transaction_id"), "transaction_date": day, "store_id": text("store_id"), "product_id": text("product_id"),
+        "customer_id": F.when(guest, F.lit(config.guest_id)).otherwise(text("customer_id")), "quantity": money.coerce_int(F.col("quantity")),
+        "unit_price": money.parse_currency(F.col("unit_price")), "total_amount": money.parse_currency(F.col("total_amount"))}
+    rules = {
+        "transaction_date": [(other, "fixed", "TX-01")], "customer_id": [(guest, "fixed", "TX-06")],
+        "quantity": [(F.col("_p_is_return"), "preserved", "TX-10")],
+        "total_amount": [(F.col("_p_has_discount"), "preserved", "TX-03"), (money.is_currency_formatted(F.col("total_amount")), "fixed", "TX-02")]}
+    cells = []
+    for name in COLUMNS:
+        shown = F.col(f"_p_{name}")
+        off = [(~expected[name].eqNullSafe(shown), UNEXPLAINED, None)]
+        cells.append(_cell(name, F.date_format(shown, "yyyy-MM-dd") if name == "transaction_date" else shown.cast("string"), off + rules.get(name, [])))
+    return rows.select("source_row", F.col("_id").alias("transaction_id"), "disposition", F.explode(F.array(*cells)).alias("_cell")).select(
+        "source_row", "transaction_id", "disposition", "_cell.*")
+
+
 def explain(diff: DataFrame, catalog: DataFrame) -> DataFrame:
     """Attach the catalogue's words to every coded cell."""
     words = catalog.select(
@@ -96,7 +136,7 @@ def verify_diff(diff: DataFrame, lineage: DataFrame) -> DataFrame:
     """Row-for-row agreement of a diff with the ledger, as one row of counts."""
     rows = diff.groupBy("source_row").agg(
         F.min("disposition").alias("_a"), F.max("disposition").alias("_b"),
-        F.min("transaction_id").alias("_id"), F.count(F.lit(1)).alias("_cells"))
+        F.min("transaction_id").alias("_id"), F.count(F.lit(1)).alias("_cells"), F.count_if(F.col("status") == UNEXPLAINED).alias("_off"))
     both = rows.join(lineage, "source_row", "full")
     return both.agg(
         F.count(F.lit(1)).alias("rows_compared"),
@@ -104,7 +144,7 @@ def verify_diff(diff: DataFrame, lineage: DataFrame) -> DataFrame:
         F.count_if(~F.col("_a").eqNullSafe(F.col("disposition"))
                    | ~F.col("_b").eqNullSafe(F.col("disposition"))).alias("disposition_mismatches"),
         F.count_if(~F.col("_id").eqNullSafe(F.col("transaction_id"))).alias("id_mismatches"),
-        F.sum("_cells").alias("cells"))
+        F.sum("_cells").alias("cells"), F.coalesce(F.sum("_off"), F.lit(0)).alias("unexplained_cells"))
 
 
 def diff_browse(

@@ -154,8 +154,8 @@ def flag_transactions(
     return assign_disposition(reconcile_totals(df, config))
 
 
-def clean_transactions(flagged: DataFrame, config: RunConfig) -> DataFrame:
-    """Kept rows with typed columns. In strict mode an unread date stops the job; that check is
+def clean_transactions(flagged: DataFrame, config: RunConfig, row_key: bool = False) -> DataFrame:
+    """Kept rows with typed columns, on request with their ``source_row`` first. In strict mode an unread date stops the job; that check is
     one short action, so pass the written working table."""
     if config.strict_dates:
         unread = flagged.filter("reason_code = 'TX-01'").select("transaction_date").head(1)
@@ -163,7 +163,7 @@ def clean_transactions(flagged: DataFrame, config: RunConfig) -> DataFrame:
             raise ValueError(f"unread transaction date: {unread[0][0]!r}")
     kept = flagged.filter(F.col("disposition") == "kept")
     return kept.select(
-        normalise_text(F.col("transaction_id")).alias("transaction_id"),
+        "source_row", normalise_text(F.col("transaction_id")).alias("transaction_id"),
         F.col("parsed_date").alias("transaction_date"),
         normalise_text(F.col("store_id")).alias("store_id"),
         normalise_text(F.col("product_id")).alias("product_id"),
@@ -172,7 +172,7 @@ def clean_transactions(flagged: DataFrame, config: RunConfig) -> DataFrame:
         F.col("parsed_unit_price").alias("unit_price"), "extended_amount",
         F.col("parsed_total_amount").alias("total_amount"), "discount_amount", "has_discount",
         "is_return",
-    ).select(*TRANSACTIONS_CLEAN)
+    ).select(*(["source_row"] if row_key else []), *TRANSACTIONS_CLEAN)
 
 
 def lineage(flagged: DataFrame) -> DataFrame:

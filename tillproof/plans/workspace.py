@@ -16,7 +16,7 @@ from tillproof.config import FEED_CONFIG, RunConfig
 from tillproof.functions.text import normalise_frame
 from tillproof.operators import audit, products, star, stores, transactions
 from tillproof.plans import feed
-from tillproof.scale import new_folder, written
+from tillproof.scale import bucketed, new_folder, written
 from tillproof.sources.sinks import read_star
 
 
@@ -49,6 +49,20 @@ class Workspace:
     def sales(self) -> DataFrame:
         return transactions.clean_transactions(self.flagged, self.config)
 
+    # Three tables that meet on source_row without a shuffle.
+    @cached_property
+    def raw_rows(self) -> DataFrame:
+        return bucketed(self.raw["transactions"], "source_row", "raw-rows")
+
+    @cached_property
+    def published_rows(self) -> DataFrame:
+        """The cleaned transactions as published, with the place of their source row."""
+        return bucketed(transactions.clean_transactions(self.flagged, self.config, row_key=True), "source_row", "published-rows")
+
+    @cached_property
+    def lineage_rows(self) -> DataFrame:
+        return bucketed(self.lineage, "source_row", "lineage-rows")
+
     @cached_property
     def star_path(self) -> str:
         path = new_folder(self.spark, "published-star")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
@@ -52,6 +53,20 @@ def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder in hash buckets of ``key``, sorted inside, and read it back.
+
+    Tables with the same number of buckets meet on the key without a shuffle, however often. The rows
+    move once, before the write, so every bucket is one file.
+    """
+    spark = df.sparkSession
+    parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_folder(spark, label)
+    name = "tillproof_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """True when ``df`` was counted to have at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows
@@ -74,18 +89,21 @@ def flag_repeats(
     """Mark every row but the first (by the unique column ``order``) of each equal group.
 
     Groups are counted with map-side combine, so a group of any size becomes one record per
-    task. Only the groups that repeat are kept and written; the rows then look their group up,
-    and are neither sorted nor gathered. Nulls count as equal.
+    task. Rows are counted by a fingerprint first; only those that share one are compared by all
+    columns, exactly and with nulls equal. The groups that repeat are written, and the rows look
+    theirs up without being sorted or gathered.
     """
-    # Fields are joined by unit separator with null as NUL, so one text stands for the keys.
-    signature = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
-    signed = df.withColumn("_signature", signature)
-    repeated = signed.groupBy("_signature").agg(
+    absent = reduce(lambda a, b: a * 2 + b, [F.col(k).isNull().cast("long") for k in keys], F.lit(0).cast("long"))
+    marked = df.withColumns({"_h1": F.xxhash64(absent, *keys), "_h2": F.xxhash64(*reversed(keys), absent, F.lit("second"))})
+    marks = ["_h1", "_h2"]
+    # 128 bits stand for the row in the large count. Rows that share them are grouped by their columns.
+    shared = written(marked.groupBy(*marks).count().filter("count > 1").drop("count"), "shared")
+    groups = marked.join(shared, marks, "left_semi").groupBy(*marks, *keys).agg(
         F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    firsts = written(repeated, "repeated")
-    found = lookup(signed, firsts, ["_signature"], stored=True)
-    return found.withColumn(
-        flag, F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_signature", "_first")
+    firsts = written(groups, "repeated").withColumnsRenamed({c: f"_of_{c}" for c in (*marks, *keys)})
+    equal = reduce(lambda a, b: a & b, [F.col(m) == F.col(f"_of_{m}") for m in marks] + [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    found = marked.join(firsts, equal, "left")
+    return found.select(*df.columns, F.coalesce(F.col(order) > F.col("_first"), F.lit(False)).alias(flag))
 
 
 def spread(df: DataFrame) -> DataFrame:
