@@ -33,6 +33,9 @@ FAILURE_EXAMPLES = 5
 # Of so many parts of the rows, so many refute relationships first; more than half of them, so most rules fall.
 PARTS, FIRST_PART = 16, 9
 MIN_RELATION_RATE = 0.5
+# A sketch has 2^SKETCH_BITS registers, from which its standard error follows.
+SKETCH_BITS = 14
+SKETCH_ERROR = 1.04 / (1 << SKETCH_BITS - 1) ** 0.5
 KEY_LISTING = 25
 MISMATCH_EXAMPLES = 10
 
@@ -90,6 +93,22 @@ def profile_distinct(counts: DataFrame) -> DataFrame:
         (F.col("distinct_count") == 1).alias("is_constant"))
 
 
+def distinct_sketches(df: DataFrame, columns: list[str], part: Column) -> DataFrame:
+    """C2, opt-in: part, column_name, cells, sketch: a HyperLogLog sketch of the values present in every
+    part of a table (a file, a day). Sketches are small binaries that can be kept and merged later."""
+    cells = df.select(part.cast("string").alias("part"), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
+        ["part"], columns, "column_name", "value").filter(~is_missing(F.col("value")))
+    return cells.groupBy("part", "column_name").agg(
+        F.count(F.lit(1)).alias("cells"), F.hll_sketch_agg("value", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def approximate_distinct(sketches: DataFrame, by: tuple[str, ...] = ("column_name",)) -> DataFrame:
+    """Distinct values, about, of all parts together: sketches are merged, no value is read again. The
+    standard error is SKETCH_ERROR."""
+    merged = sketches.groupBy(*by).agg(F.sum("cells").alias("cells"), F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(*by, "cells", F.hll_sketch_estimate("sketch").alias("distinct_estimate"))
+
+
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Surplus copies of whole rows; copies combine before the shuffle."""
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).agg(
@@ -134,6 +153,15 @@ def sample_values(df: DataFrame, columns: list[str], rows: int, k: int = SAMPLES
     return long_form(df.filter(F.col("source_row").isin(places)), columns)
 
 
+def spaced_rows(df: DataFrame, k: int = SAMPLES) -> list[int]:
+    """``source_row`` of k rows, evenly spaced from the first to the last; with gaps, the next row there is."""
+    low, high = df.agg(F.min("source_row"), F.max("source_row")).first()
+    if low is None:
+        return []
+    at = sorted({low + round(i * (high - low) / (k - 1)) for i in range(k)})
+    return sorted(set(df.agg(*[F.min(F.when(F.col("source_row") >= t, F.col("source_row"))) for t in at]).first()))
+
+
 def type_evidence(counts: DataFrame, config: RunConfig) -> DataFrame:
     """Share of observable cells that satisfy each grammar."""
     tests = {
@@ -432,6 +460,9 @@ def discover_relationships(df: DataFrame, columns: list[str], tolerance: float =
     applies to is counted from the patterns of present values alone. The driver sees rules, never rows.
     """
     spark, every, n = df.sparkSession, sorted(columns), len(columns)
+    none = "relationship string, target string, comparable_row_count long, match_count long, match_rate double"
+    if n < 3:
+        return spark.createDataFrame([], none)
     pairs = list(combinations(range(n), 2))
     rows = written(df.select(_numbers(df, every).alias("v"), (F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)) < FIRST_PART).alias("_part")), "parsed")
     bits = F.aggregate(F.transform("v", lambda x, i: F.when(x.isNotNull(), F.pow(F.lit(2.0), i).cast("long")).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b)
@@ -449,7 +480,7 @@ def discover_relationships(df: DataFrame, columns: list[str], tolerance: float =
     survivors = [tuple(r) for r in alive.select(*names).collect() if r.target not in pairs[r.pair]]
     left = sorted({p for p, _ in survivors})
     if not survivors:
-        return spark.createDataFrame([], "relationship string, target string, comparable_row_count long, match_count long, match_rate double")
+        return spark.createDataFrame([], none)
     renumbered = spark.createDataFrame(
         [(new, t, old, every[t], f"{every[t]} ~= {every[pairs[old][0]]} * {every[pairs[old][1]]}") for new, old in enumerate(left) for p, t in survivors if p == old],
         "place int, target int, pair int, name string, relationship string")
@@ -463,14 +494,16 @@ def discover_relationships(df: DataFrame, columns: list[str], tolerance: float =
     ).filter(F.col("match_rate") >= MIN_RELATION_RATE).orderBy(F.col("match_rate").desc(), "target", "relationship")
 
 
-def column_profile(df: DataFrame, columns: list[str], config: RunConfig) -> DataFrame:
+def column_profile(
+    df: DataFrame, columns: list[str], config: RunConfig, counts: DataFrame | None = None, evidence: DataFrame | None = None,
+) -> DataFrame:
     """C17: one row per column with counts, type, confidence, failures and numeric range."""
     if not isinstance(df, DataFrame):
         raise TypeError(f"expected a DataFrame, got {type(df).__name__}")
     # Every part below starts from the counted values, so they are folded once and written.
-    counts = written(value_counts(df, columns), "value-counts")
+    counts = counts or written(value_counts(df, columns), "value-counts")
     # One row per column, used by three parts.
-    types = written(infer_semantic_type(type_evidence(counts, config)), "column-types")
+    types = evidence or written(infer_semantic_type(type_evidence(counts, config)), "column-types")
     where = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column_name string")
     # One row per column from here on; every side of these joins is that small.
     out = where.join(F.broadcast(profile_missingness(df, columns)), "column_name", "left")
@@ -486,15 +519,62 @@ def column_profile(df: DataFrame, columns: list[str], config: RunConfig) -> Data
         "semantic_type": "empty", "confidence": 1.0})
 
 
-def profile_datasets(tables: dict[str, DataFrame], config: RunConfig) -> DataFrame:
-    """The column profile of many tables, one under the other. The tables are profiled side by
-    side, as each writes its counted values first."""
-    spark = next(iter(tables.values())).sparkSession
+def profile_report(df: DataFrame, name: str, config: RunConfig, parents: dict[str, tuple[DataFrame, str]] | None = None) -> dict[str, DataFrame]:
+    """C17: the whole report of one dataset: ``columns`` (one row per column, sections as structs and
+    arrays), ``dataset`` (rows, duplicates), ``keys``, ``relationships`` and ``references``.
 
-    @inheritable_thread_target(spark)
+    The cells are folded to (column, value, count) once and written; every section of a column is an
+    aggregate of that table. Only examples go back to the rows. ``parents`` maps a column to (table, key)
+    it should refer to. ``df`` has ``source_row``.
+    """
+    columns = [c for c in df.columns if c != "source_row"]
+    counts = written(value_counts(df, columns), "value-counts")
+    evidence = written(infer_semantic_type(type_evidence(counts, config)), "column-types")
+    flat = column_profile(df, columns, config, counts, evidence)
+    listed = lambda rows, order, *fields: rows.groupBy("column_name").agg(
+        F.array_sort(F.collect_list(F.struct(order, *fields))).alias("_l"))  # a few rows per column
+    lengths = length_histogram(counts)
+    parts = {
+        "lengths": lengths.groupBy("column_name").agg(
+            F.min("min_chars").alias("min_length"), F.max("max_chars").alias("max_length"),
+            F.array_sort(F.collect_list(F.struct("length_rank", "chars", "cells"))).alias("histogram")),
+        "top_values": listed(top_values(counts), "value_rank", "value", "cells", "pct"),
+        "samples": listed(long_form(df.filter(F.col("source_row").isin(spaced_rows(df))), columns), "source_row", "value"),
+        "failures": listed(parse_failure_examples(df, columns, evidence, config), "example_rank", "source_row", "token"),
+        "dates": date_format_report(counts.join(F.broadcast(evidence.filter("semantic_type = 'date'").select("column_name")), "column_name"), config),
+        "evidence": evidence.drop("semantic_type", "confidence"),
+    }
+    for label, part in parts.items():
+        own = [c for c in part.columns if c != "column_name"]
+        nested = part.select("column_name", (F.col("_l") if own == ["_l"] else F.struct(*own)).alias(label))
+        flat = flat.join(F.broadcast(nested), "column_name", "left")  # a row per column
+    flat = flat.withColumn("dataset", F.lit(name))
+    kinds = {r.column_name: (r.semantic_type, r.is_unique) for r in flat.select("column_name", "semantic_type", "is_unique").collect()}
+    numeric = [c for c in columns if kinds[c][0] in NUMERIC_TYPES]
+    keyed = [pk_uniqueness(df, c).withColumn("column_name", F.lit(c)) for c in columns if kinds[c][0] == "identifier" or kinds[c][1]]
+    references = [referential_integrity(df, c, *parent).withColumn("column_name", F.lit(c)) for c, parent in (parents or {}).items()]
+    report = {
+        "columns": flat,
+        "dataset": duplicate_rows(df, columns).withColumn("column_count", F.lit(len(columns))),
+        "relationships": discover_relationships(df, numeric),
+    }
+    if keyed:
+        report["keys"] = reduce(DataFrame.unionByName, keyed)
+    if references:
+        report["references"] = reduce(DataFrame.unionByName, references)
+    return {section: part.withColumn("dataset", F.lit(name)) for section, part in report.items()}
+
+
+def side_by_side(spark, items: list, work: Callable) -> list:
+    """``work`` of every item, at the same time: each waits for writes of its own."""
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
+def profile_datasets(tables: dict[str, DataFrame], config: RunConfig) -> DataFrame:
+    """The column profile of many tables, one under the other."""
     def one(item: tuple[str, DataFrame]) -> DataFrame:
         name, df = item
         return column_profile(df, [c for c in df.columns if c != "source_row"], config).withColumn("dataset", F.lit(name))
 
-    with ThreadPoolExecutor(len(tables)) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, tables.items()))
+    return reduce(DataFrame.unionByName, side_by_side(next(iter(tables.values())).sparkSession, list(tables.items()), one))

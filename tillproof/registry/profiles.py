@@ -134,24 +134,82 @@ SELECT target || ' ~= ' || f1 || ' * ' || f2 AS relationship, *  EXCLUDE (f1, f2
 FROM rules WHERE match_count * 2 >= comparable_row_count AND comparable_row_count > 0"""
 
 
+def _everywhere(name, build, sql) -> Query:
+    """A query over all three tables, one under the other."""
+    return Query(name, on_feed(lambda w: reduce(DataFrame.unionByName, [build(w, n).withColumn("dataset", F.lit(n)) for n in SETS])),
+                 over(" UNION ALL BY NAME ".join(f"SELECT *, '{n}' AS dataset FROM ({sql(n)})" for n in SETS), *[f"raw_{n}" for n in SETS]))
+
+
+def _sketched(w, n):
+    """Sketches of seven parts of a table, merged, against the exact counts."""
+    parts = written(P.distinct_sketches(w.raw[n], SETS[n], F.col("source_row") % 7), f"sketches-{n}")
+    near = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= 4 * P.SKETCH_ERROR * F.col("distinct_count") + 1
+    return P.approximate_distinct(parts).join(P.profile_distinct(_counts(w, n)), "column_name").select(
+        "column_name", "cells", "distinct_count", near.alias("within_error"))
+
+
+def _dates(w, n):
+    return _types(w, n).filter("semantic_type = 'date'").select("column_name")
+
+
+def _date_examples(w, n):
+    found = [P.date_examples(w.raw[n], r.column_name, CONFIG).withColumn("column_name", F.lit(r.column_name)) for r in _dates(w, n).collect()]
+    none = w.spark.createDataFrame([], "source_row long, token string, example_kind string, example_rank int, column_name string")
+    return reduce(DataFrame.unionByName, found, none)
+
+
+_READ = r""", read AS (SELECT c.column_name, source_row, v, CASE WHEN regexp_full_match(v, '\d{4}-\d{1,2}-\d{1,2}') THEN '%Y-%m-%d'
+    WHEN regexp_full_match(v, '\d{1,2}/\d{1,2}/\d{4}') THEN '%m/%d/%Y' WHEN regexp_full_match(v, '\d{1,2}-\d{1,2}-\d{4}') THEN '%d-%m-%Y' END AS f
+  FROM cells c JOIN types t ON c.column_name = t.column_name WHERE semantic_type = 'date'),
+days AS (SELECT *, CASE WHEN day IS NOT NULL THEN f END AS fmt FROM (SELECT *, CAST(try_strptime(v, ['%Y-%m-%d', '%m/%d/%Y', '%d-%m-%Y']) AS DATE) AS day FROM read))"""
+
+
+def _report(w):
+    """The report of every table: its columns with their sections, as counts and texts."""
+    def one(n):
+        parents = {"store_id": (w.stores, "store_id")} if n == "transactions" else None
+        r = P.profile_report(w.raw[n], n, CONFIG, parents)
+        whole = r["dataset"].select("dataset", F.col("row_count").alias("table_rows"), "duplicate_rows")
+        return r["columns"].join(whole, "dataset").select(
+            "dataset", "column_name", "semantic_type", "table_rows", "duplicate_rows", "distinct_count", "null_count",
+            "lengths.min_length", "lengths.max_length", F.concat_ws(",", F.col("lengths.histogram.chars").cast("array<string>")).alias("common_lengths"),
+            F.concat_ws("|", F.transform("top_values", lambda t: F.coalesce(t["value"], F.lit("")))).alias("top_values"),
+            F.size("samples").alias("samples"), F.coalesce(F.size("failures"), F.lit(0)).alias("failure_examples"),
+            "evidence.distinct_tokens", F.coalesce("dates.observable_count", F.lit(0)).alias("dates_read"))
+    return reduce(DataFrame.unionByName, P.side_by_side(w.spark, list(SETS), one))
+
+
+def _report_sql(n: str) -> str:
+    return _head(n) + f""", lens AS (SELECT column_name, length(v) AS chars, count(*) AS k FROM cells WHERE v IS NOT NULL GROUP BY 1, 2),
+lent AS (SELECT column_name, min(lo) AS min_length, max(hi) AS max_length, string_agg(CAST(chars AS VARCHAR), ',' ORDER BY place) FILTER (WHERE place <= 10) AS common_lengths
+  FROM (SELECT *, min(chars) OVER p AS lo, max(chars) OVER p AS hi, row_number() OVER (PARTITION BY column_name ORDER BY k DESC, chars) AS place FROM lens WINDOW p AS (PARTITION BY column_name)) GROUP BY 1),
+tops AS (SELECT column_name, string_agg(coalesce(v, ''), '|' ORDER BY place) AS top_values FROM (
+  SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY k DESC, v NULLS LAST) AS place FROM (SELECT column_name, v, count(*) AS k FROM cells GROUP BY 1, 2)) WHERE place <= 5 GROUP BY 1),
+bad AS (SELECT c.column_name, count(*) AS fails FROM cells c JOIN types t ON c.column_name = t.column_name WHERE v IS NOT NULL AND {_BAD} GROUP BY 1),
+own AS (SELECT column_name, count(DISTINCT v) AS distinct_count, count(*) - count(v) AS null_count FROM cells GROUP BY 1)
+SELECT '{n}' AS dataset, t.column_name, semantic_type, (SELECT count(*) FROM raw_{n}) AS table_rows,
+  (SELECT CAST(sum(k - 1) AS BIGINT) FROM (SELECT count(*) AS k FROM raw_{n} GROUP BY {', '.join(SETS[n])})) AS duplicate_rows, distinct_count, null_count,
+  CAST(min_length AS INTEGER) AS min_length, CAST(max_length AS INTEGER) AS max_length, common_lengths, top_values,
+  CAST(least(5, (SELECT count(*) FROM raw_{n})) AS INTEGER) AS samples, CAST(least(5, coalesce(fails, 0)) AS INTEGER) AS failure_examples, distinct_tokens,
+  CASE WHEN semantic_type = 'date' THEN observable_count ELSE 0 END AS dates_read
+FROM types t JOIN own USING (column_name) JOIN lent USING (column_name) JOIN tops USING (column_name) LEFT JOIN bad USING (column_name)"""
+
+
 QUERIES = [
     Query("profile_missingness", on_feed(lambda w: reduce(DataFrame.unionByName, [
         P.profile_missingness(w.raw[n], SETS[n]).withColumn("dataset", F.lit(n)) for n in SETS])),
           over("SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM (WITH {_cells(n)} SELECT '{n}' AS dataset, column_name, count(*) AS row_count, count(*) - count(v) AS null_count, count(*) FILTER (WHERE trim(v) = '') AS blank_count, count(v) AS non_null_count, {_pct('(count(*) - count(v))', 'count(*)')} AS null_pct FROM cells GROUP BY column_name)" for n in SETS) + ")", *[f"raw_{n}" for n in SETS])),
-    Query("profile_distinct", on_feed(lambda w: P.profile_distinct(_counts(w))),
-          over(f"WITH {_cells('transactions')} SELECT column_name, count(DISTINCT v) AS distinct_count, {_pct('count(DISTINCT v)', 'count(*)')} AS distinct_pct, count(DISTINCT v) = count(*) AS is_unique, count(DISTINCT v) = 1 AS is_constant FROM cells GROUP BY column_name", "raw_transactions")),
-    Query("duplicate_rows", on_feed(lambda w: P.duplicate_rows(w.raw["transactions"], TX)),
-          over(f"SELECT CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, {_pct('sum(n - 1)', 'sum(n)')} AS duplicate_pct FROM (SELECT count(*) AS n FROM raw_transactions GROUP BY {', '.join(TX)})", "raw_transactions")),
-    Query("length_histogram", on_feed(lambda w: P.length_histogram(_counts(w))),
-          over(f"""WITH {_cells('transactions')}, l AS (SELECT column_name, CAST(length(v) AS INTEGER) AS chars, count(*) AS cells FROM cells WHERE v IS NOT NULL GROUP BY 1, 2),
+    _everywhere("profile_distinct", lambda w, n: P.profile_distinct(_counts(w, n)), lambda n: f"WITH {_cells(n)} SELECT column_name, count(DISTINCT v) AS distinct_count, {_pct('count(DISTINCT v)', 'count(*)')} AS distinct_pct, count(DISTINCT v) = count(*) AS is_unique, count(DISTINCT v) = 1 AS is_constant FROM cells GROUP BY column_name"),
+    _everywhere("approximate_distinct", _sketched, lambda n: f"WITH {_cells(n)} SELECT column_name, count(v) AS cells, count(DISTINCT v) AS distinct_count, TRUE AS within_error FROM cells GROUP BY column_name"),
+    _everywhere("duplicate_rows", lambda w, n: P.duplicate_rows(w.raw[n], SETS[n]), lambda n: f"SELECT CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, {_pct('sum(n - 1)', 'sum(n)')} AS duplicate_pct FROM (SELECT count(*) AS n FROM raw_{n} GROUP BY {', '.join(SETS[n])})"),
+    _everywhere("length_histogram", lambda w, n: P.length_histogram(_counts(w, n)), lambda n: f"""WITH {_cells(n)}, l AS (SELECT column_name, CAST(length(v) AS INTEGER) AS chars, count(*) AS cells FROM cells WHERE v IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, min(chars) OVER (PARTITION BY column_name) AS min_chars, max(chars) OVER (PARTITION BY column_name) AS max_chars,
   row_number() OVER (PARTITION BY column_name ORDER BY cells DESC, chars) AS length_rank FROM l)
-SELECT column_name, chars, cells, min_chars, max_chars, CAST(length_rank AS INTEGER) AS length_rank FROM r WHERE length_rank <= 10""", "raw_transactions")),
-    Query("top_values", on_feed(lambda w: P.top_values(_counts(w, "products"))),
-          over(f"""WITH {_cells('products')}, n AS (SELECT column_name, v AS value, count(*) AS cells FROM cells GROUP BY 1, 2),
+SELECT column_name, chars, cells, min_chars, max_chars, CAST(length_rank AS INTEGER) AS length_rank FROM r WHERE length_rank <= 10"""),
+    _everywhere("top_values", lambda w, n: P.top_values(_counts(w, n)), lambda n: f"""WITH {_cells(n)}, n AS (SELECT column_name, v AS value, count(*) AS cells FROM cells GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cells DESC, value NULLS LAST) AS value_rank, sum(cells) OVER (PARTITION BY column_name) AS every,
   count(value) OVER (PARTITION BY column_name) AS kinds FROM n)
-SELECT column_name, CAST(value_rank AS INTEGER) AS value_rank, value, cells, {_pct('cells', 'every')} AS pct FROM r WHERE kinds >= 1 AND value_rank <= 5""", "raw_products")),
+SELECT column_name, CAST(value_rank AS INTEGER) AS value_rank, value, cells, {_pct('cells', 'every')} AS pct FROM r WHERE kinds >= 1 AND value_rank <= 5"""),
     Query("sample_values", _samples,
           """WITH p AS (SELECT *, row_number() OVER () - 1 AS source_row, count(*) OVER () AS n FROM customer),
 spots AS (SELECT DISTINCT CAST(round_even(i * (n - 1) / 4.0, 0) AS BIGINT) AS place FROM (SELECT DISTINCT n FROM p), (VALUES (0), (1), (2), (3), (4)) AS k(i))
@@ -160,29 +218,25 @@ UNION ALL SELECT source_row, 'c_name', c_name FROM p WHERE source_row IN (SELECT
 UNION ALL SELECT source_row, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM p WHERE source_row IN (SELECT place FROM spots)
 UNION ALL SELECT source_row, 'c_acctbal', CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) FROM p WHERE source_row IN (SELECT place FROM spots)
 UNION ALL SELECT source_row, 'c_mktsegment', c_mktsegment FROM p WHERE source_row IN (SELECT place FROM spots)"""),
-    Query("type_evidence", on_feed(lambda w: P.type_evidence(_counts(w), CONFIG)),
-          over(_head("transactions") + "SELECT * EXCLUDE (position) FROM evidence", "raw_transactions")),
+    _everywhere("type_evidence", lambda w, n: P.type_evidence(_counts(w, n), CONFIG), lambda n: _head(n) + "SELECT * EXCLUDE (position) FROM evidence"),
     Query("infer_semantic_type", on_feed(lambda w: _types(w).unionByName(_types(w, "products")).unionByName(_types(w, "stores")).select("column_name", "observable_count", "semantic_type", "confidence")),
           over("SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_head(n)} SELECT column_name, observable_count, semantic_type, confidence FROM trusted)" for n in SETS) + ")",
                "raw_transactions", "raw_products", "raw_stores")),
-    Query("parse_failures", on_feed(lambda w: P.parse_failures(_counts(w), _types(w), CONFIG)),
-          over(_head("transactions") + f"SELECT c.column_name, semantic_type, count(*) FILTER (WHERE {_BAD}) AS parse_failure_count FROM cells c JOIN types t ON c.column_name = t.column_name WHERE v IS NOT NULL GROUP BY 1, 2", "raw_transactions")),
-    Query("parse_failure_examples", on_feed(lambda w: P.parse_failure_examples(w.raw["transactions"], TX, _types(w), CONFIG)),
-          over(_head("transactions") + f""", bad AS (SELECT c.column_name, source_row, v AS token, row_number() OVER (PARTITION BY c.column_name ORDER BY source_row) AS example_rank
+    _everywhere("parse_failures", lambda w, n: P.parse_failures(_counts(w, n), _types(w, n), CONFIG), lambda n: _head(n) + f"SELECT c.column_name, semantic_type, count(*) FILTER (WHERE {_BAD}) AS parse_failure_count FROM cells c JOIN types t ON c.column_name = t.column_name WHERE v IS NOT NULL GROUP BY 1, 2"),
+    _everywhere("parse_failure_examples", lambda w, n: P.parse_failure_examples(w.raw[n], SETS[n], _types(w, n), CONFIG), lambda n: _head(n) + f""", bad AS (SELECT c.column_name, source_row, v AS token, row_number() OVER (PARTITION BY c.column_name ORDER BY source_row) AS example_rank
   FROM cells c JOIN types t ON c.column_name = t.column_name WHERE v IS NOT NULL AND {_BAD})
-SELECT column_name, CAST(example_rank AS INTEGER) AS example_rank, source_row, token FROM bad WHERE example_rank <= 5""".lstrip(), "raw_transactions")),
-    Query("numeric_stats", on_feed(lambda w: P.numeric_stats(_counts(w), _types(w)).drop("parsed_count")),
-          over(_head("transactions") + _numeric(), "raw_transactions")),
-    Query("date_format_report", on_feed(lambda w: P.date_format_report(_counts(w).filter("column_name = 'transaction_date'"), CONFIG)),
-          over(f"""SELECT 'transaction_date' AS column_name, count(*) AS observable_count,
+SELECT column_name, CAST(example_rank AS INTEGER) AS example_rank, source_row, token FROM bad WHERE example_rank <= 5""".lstrip()),
+    _everywhere("numeric_stats", lambda w, n: P.numeric_stats(_counts(w, n), _types(w, n)).drop("parsed_count"), lambda n: _head(n) + _numeric()),
+    _everywhere("date_format_report", lambda w, n: P.date_format_report(_counts(w, n).join(_dates(w, n), "column_name"), CONFIG), lambda n: _head(n) + _READ + f"""
+SELECT column_name, count(v) AS observable_count,
   '{{"%Y-%m-%d":' || count(*) FILTER (WHERE fmt = '%Y-%m-%d') || ',"%m/%d/%Y":' || count(*) FILTER (WHERE fmt = '%m/%d/%Y') || ',"%d-%m-%Y":' || count(*) FILTER (WHERE fmt = '%d-%m-%Y') || '}}' AS format_histogram,
   CAST(count(DISTINCT fmt) AS INTEGER) AS distinct_format_count, mode(fmt) AS dominant_format,
-  {_pct("count(*) FILTER (WHERE fmt = '%Y-%m-%d')", 'count(*)')} AS dominant_coverage, count(*) FILTER (WHERE fmt <> '%Y-%m-%d') AS rows_lost_to_single_format,
-  CAST(0 AS BIGINT) AS unmatched_count, CAST(0 AS BIGINT) AS ambiguous_count, min(day) AS min_date, max(day) AS max_date,
-  count(*) FILTER (WHERE day > {AS_OF}) AS after_as_of_count FROM flagged""", "flagged")),
-    Query("date_examples", on_feed(lambda w: P.date_examples(w.raw["transactions"], "transaction_date", CONFIG)),
-          over("""SELECT source_row, transaction_date AS token, 'after_as_of' AS example_kind, CAST(example_rank AS INTEGER) AS example_rank FROM (
-  SELECT *, row_number() OVER (ORDER BY source_row) AS example_rank FROM flagged WHERE is_future) WHERE example_rank <= 5""", "flagged")),
+  {_pct("count(*) FILTER (WHERE fmt = '%Y-%m-%d')", 'count(v)')} AS dominant_coverage, count(v) - count(*) FILTER (WHERE fmt = '%Y-%m-%d') AS rows_lost_to_single_format,
+  count(v) - count(day) AS unmatched_count, CAST(0 AS BIGINT) AS ambiguous_count, min(day) AS min_date, max(day) AS max_date,
+  count(*) FILTER (WHERE day > {AS_OF}) AS after_as_of_count FROM days GROUP BY column_name"""),
+    _everywhere("date_examples", _date_examples, lambda n: _head(n) + _READ + f""",
+kinds AS (SELECT column_name, source_row, v AS token, CASE WHEN day IS NULL THEN 'unmatched' WHEN day > {AS_OF} THEN 'after_as_of' END AS example_kind FROM days WHERE v IS NOT NULL)
+SELECT *, CAST(row_number() OVER (PARTITION BY column_name, example_kind ORDER BY source_row) AS INTEGER) AS example_rank FROM kinds WHERE example_kind IS NOT NULL QUALIFY example_rank <= 5"""),
     Query("candidate_keys", on_feed(lambda w: P.candidate_keys(P.column_profile(w.raw["transactions"], TX, CONFIG))),
           over(_head("transactions") + f""", p AS ({_one_profile('transactions')})
 SELECT CAST(row_number() OVER (ORDER BY distinct_pct DESC, position) AS INTEGER) AS key_rank, column_name, semantic_type, distinct_pct, is_unique FROM p WHERE semantic_type = 'identifier' OR is_unique""".lstrip(), "raw_transactions")),
@@ -221,6 +275,7 @@ SELECT count(delta) AS comparable_row_count, count(*) - count(delta) AS unparsea
           over("""SELECT source_row, CAST(total AS DOUBLE) AS reported, CAST(extended AS DOUBLE) AS computed, CAST(extended - total AS DOUBLE) AS delta,
   quantity AS factor_quantity, unit_price AS factor_unit_price FROM flagged WHERE abs(extended - total) > 0.01 ORDER BY source_row LIMIT 10""", "flagged")),
     Query("discover_relationships", on_feed(lambda w: P.discover_relationships(_rule_table(w), _PAIRS)), over(_rules(), "sales")),
+    Query("profile_report", on_feed(_report), over(" UNION ALL BY NAME ".join(f"SELECT * FROM ({_report_sql(n)})" for n in SETS), *[f"raw_{n}" for n in SETS])),
     Query("profile_datasets", on_feed(lambda w: P.profile_datasets(w.raw, CONFIG)),
           over(" UNION ALL BY NAME ".join(f"SELECT * FROM ({_head(n)} {_one_profile(n)})" for n in SETS), "raw_transactions", "raw_products", "raw_stores")),
 ]
