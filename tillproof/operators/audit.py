@@ -45,38 +45,51 @@ def defect_ledger(
     looked = spark.createDataFrame([(c, ACTION_OF[c]) for c in recorded], "code string, action string")
     counts = detections.groupBy("code").agg(F.count_if("counted").alias("detected_count"))
     found = F.coalesce("detected_count", F.lit(0))
+    # What became of the rows, those that only bear witness included; a few outcomes per code.
+    outcomes = detections.groupBy("code", "disposition").agg(F.count(F.lit(1)).alias("n")).groupBy("code").agg(
+        F.sort_array(F.collect_list(F.struct("disposition", "n"))).alias("_o"))
+    notes = F.array_join(F.transform("_o", lambda o: F.concat_ws(" ", o["n"].cast("string"), o["disposition"])), ", ")
     return (
-        looked.join(F.broadcast(counts), "code", "left")
+        looked.join(F.broadcast(outcomes), "code", "left").join(F.broadcast(counts), "code", "left")
         .join(F.broadcast(first_keys(detections, cap)), "code", "left")
         .select(
             "code", found.alias("detected_count"), "action",
             F.coalesce("affected_keys", F.array().cast("array<string>")).alias("affected_keys"),
             found.alias("affected_keys_total"),
-            (found > cap).alias("affected_keys_truncated"))
+            (found > cap).alias("affected_keys_truncated"), F.coalesce(notes, F.lit("")).alias("notes"))
     )
 
 
-def merge_records(records: DataFrame) -> DataFrame:
+def merge_records(records: DataFrame, cap: int = 50) -> DataFrame:
     """Repeated records of a code become one. Counts add up, keys keep first-seen order,
-    different actions and all notes are joined. ``call`` orders the records."""
+    different actions and all notes are joined. ``call`` orders the records. A record shows the first
+    ``cap`` keys; ``merged_keys`` has them all."""
     bad = ~F.lower(F.trim("action")).isin(*ACTIONS) | (F.col("detected_count") < 0)
     checked = records.withColumn(
         "action", F.when(bad, F.raise_error(F.concat(F.lit("bad record for "), "code")).cast("string"))
         .otherwise(F.lower(F.trim("action"))))
-    parts = F.sort_array(F.collect_list(
-        F.struct("call", "action", F.col("affected_keys").alias("keys"), "notes")))
-    return checked.groupBy("code").agg(
-        F.sum("detected_count").alias("detected_count"), parts.alias("_parts"),
-        F.count(F.lit(1)).alias("merged_from_calls"),
-    ).select(
+    # Calls of one code are few; their keys may be many and stay rows until only the first are left.
+    parts = F.sort_array(F.collect_list(F.struct("call", "action", "notes")))
+    merged = checked.groupBy("code").agg(
+        F.sum("detected_count").alias("detected_count"), parts.alias("_parts"), F.count(F.lit(1)).alias("merged_from_calls"))
+    rank = F.row_number().over(W.partitionBy("code").orderBy("call", "place"))
+    first = merged_keys(records).withColumn("_rank", rank).filter(F.col("_rank") <= cap).groupBy("code").agg(
+        F.sort_array(F.collect_list(F.struct("_rank", "row_key"))).alias("_keys"))
+    return merged.join(first, "code", "left").select(
         "code", "detected_count",
         F.concat_ws("+", F.array_distinct(F.transform("_parts", lambda p: p["action"]))).alias("action"),
-        F.array_distinct(F.flatten(F.transform("_parts", lambda p: p["keys"]))).alias("affected_keys"),
+        F.coalesce(F.transform("_keys", lambda k: k["row_key"]), F.array().cast("array<string>")).alias("affected_keys"),
         F.concat_ws(" | ", F.filter(
             F.transform("_parts", lambda p: p["notes"]), lambda n: n != "")).alias("notes"),
         "merged_from_calls")
 
 
+def merged_keys(records: DataFrame) -> DataFrame:
+    """code, row_key and the call and place where it was seen first: every key of merged records, a row each."""
+    each = records.select("code", "call", F.posexplode("affected_keys").alias("place", "row_key"))
+    return each.groupBy("code", "row_key").agg(F.min(F.struct("call", "place")).alias("_at")).select("code", "row_key", "_at.*")
+
+
 def coverage(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
     """Each catalogued class with its verdict, in catalogue order."""
     recorded = F.col("detected_count").isNotNull()

@@ -42,9 +42,10 @@ FROM catalog c JOIN expected e ON c.code = e.code GROUP BY dataset""", "catalog"
           over(f"""WITH firsts AS (
   SELECT code, string_agg(row_key, ',' ORDER BY place) AS affected_keys FROM (
     SELECT code, row_key, row_number() OVER (PARTITION BY code ORDER BY source_row) AS place FROM detections WHERE counted)
-  WHERE place <= 50 GROUP BY code)
-SELECT l.code, l.detected_count, {_ACTION.replace('code IN', 'l.code IN')} AS action, affected_keys, l.detected_count AS affected_keys_total,
-  l.detected_count > 50 AS affected_keys_truncated FROM ledger l JOIN firsts f ON l.code = f.code""", "ledger")),
+  WHERE place <= 50 GROUP BY code),
+told AS (SELECT code, string_agg(n || ' ' || disposition, ', ' ORDER BY disposition) AS notes FROM (SELECT code, disposition, count(*) AS n FROM detections GROUP BY 1, 2) GROUP BY 1)
+SELECT notes, l.code, l.detected_count, {_ACTION.replace('code IN', 'l.code IN')} AS action, affected_keys, l.detected_count AS affected_keys_total,
+  l.detected_count > 50 AS affected_keys_truncated FROM ledger l JOIN firsts f ON l.code = f.code JOIN told t ON l.code = t.code""", "ledger", "detections")),
     Query("dimension_budget", on_feed(lambda w: w.dimension_budget),
           over("""SELECT 'stores' AS dataset, (SELECT count(*) FROM raw_stores) AS source_rows, (SELECT count(*) FROM stores_clean) AS kept,
   (SELECT count(*) - count(DISTINCT store_id) FROM raw_stores WHERE store_id IS NOT NULL) AS dropped,
@@ -54,6 +55,9 @@ UNION ALL SELECT 'products', (SELECT count(*) FROM raw_products), (SELECT count(
   (SELECT count(*) FROM raw_products WHERE product_id IS NULL), TRUE""", "stores_clean", "products_clean")),
     Query("defect_keys", on_feed(lambda w: A.defect_keys(w.detections)),
           over("SELECT code, source_row, row_key FROM detections WHERE counted", "detections")),
+    Query("merged_keys", on_feed(lambda w: A.merged_keys(_calls(w)).select("code", "row_key", "call")),
+          over("""WITH calls AS (SELECT code, disposition AS call, min(row_key) AS a, max(row_key) AS b FROM detections WHERE counted GROUP BY code, disposition)
+SELECT code, row_key, min(call) AS call FROM (SELECT code, call, a AS row_key FROM calls UNION ALL SELECT code, call, b FROM calls) GROUP BY 1, 2""", "detections")),
     Query("merge_records", on_feed(lambda w: A.merge_records(_calls(w)).withColumn("affected_keys", F.concat_ws(",", "affected_keys"))),
           over("""WITH calls AS (
   SELECT code, disposition AS call, count(*) AS n, CASE WHEN disposition = 'evidence' THEN 'flagged' ELSE disposition END AS action,
