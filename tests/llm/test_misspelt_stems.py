@@ -20,8 +20,11 @@ def distance(a, b):
 def brute(word):
     if any(word.startswith(t) for t in TERMS):
         return True
-    return any(distance(t, word[:n]) <= 1 for t in TERMS if len(t) >= T.FUZZY_LENGTH
-               for n in range(len(word) + 1) if n == len(word) or len(t) >= T.INFLECTED_LENGTH)
+    if any(distance(t, word) <= 1 for t in TERMS if len(t) >= T.FUZZY_LENGTH):
+        return True
+    # An ending follows the term's own last letter.
+    return any(word[n] == t[-1] and distance(t[:-1], word[:n]) <= 1 for t in TERMS if len(t) >= T.INFLECTED_LENGTH
+               for n in range(len(word)))
 
 
 def test_misspelt_inflected_forms_match():
@@ -40,3 +43,13 @@ def test_misspelt_inflected_forms_match():
         made.add("".join(word))
     made -= {"", "stupor"}
     assert T.Matcher(TERMS, frozenset()).match(made) == {w for w in made if brute(w)}
+
+
+def test_quotation_marks_and_apostrophes():
+    matcher = T.Matcher({"grotty": 0.9, "stupid": 0.9}, frozenset())
+    context = lambda text: [h[3] for h in matcher.hits(text)]
+    for text in ("I don't like this grotty thing, it's bad", "you're a stupid man, aren't you", "the boys' grotty dog's \"bone\"", "\"yes\" grotty \"no\"",
+                 "grotty", "'tis grotty", "he is grotty.\" Then", "rock 'n' grotty roll"):
+        assert context(text) == [T.PLAIN], text
+    for text in ('"grotty"', "a \"stupid man\" came", "‘grotty’", "„grotty“ ist", "«grotty»", "“you're a stupid man,” it read", "'grotty.'", "she said grotty"):
+        assert context(text) == [T.QUOTED], text

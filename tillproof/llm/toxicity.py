@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -49,11 +50,33 @@ PLAIN, QUOTED = 0, 1
 PRIOR = {PLAIN: (98.0, 100.0), QUOTED: (6.0, 10.0)}
 MISSPELT = 0.9
 WORD = re.compile(r"[^\W_]+")
-# Marks and words that show quotation or report.
-QUOTES = "\"'“”„«»‘’‹›"
+# Marks that may close what a mark opens, and words that show report.
+CLOSED_BY = {'"': '"', "'": "'", "“": "”", "”": "”", "„": "“”", "‘": "’", "’": "’", "‚": "‘’", "«": "»", "»": "«", "‹": "›", "›": "‹"}
+QUOTE = re.compile(f"[{''.join(CLOSED_BY)}]")
 REPORTING = frozenset("said says saying called calls calling wrote writes quoted quote quotes word term".split())
 
 
+def marks(text: str, low: int, high: int) -> Iterator[tuple[str, bool]]:
+    """(mark, opens) of the quotation marks from ``low`` to ``high``: a mark opens before a character if
+    no letter stands before it, and closes after a character. Between letters it is an apostrophe."""
+    for found in QUOTE.finditer(text, low, high):
+        before, after = text[max(0, found.start() - 1):found.start()] or " ", text[found.end():found.end() + 1] or " "
+        if before.isalnum() and after.isalnum():
+            continue
+        if not before.isalnum() and not after.isspace():
+            yield found.group(), True
+        elif not before.isspace():
+            yield found.group(), False
+
+
+def in_quotes(text: str, low: int, start: int, end: int, high: int) -> bool:
+    """Whether a mark that is open at ``start``, opened after ``low``, is closed by its like before ``high``."""
+    opened = None
+    for mark, opens in marks(text, low, start):
+        opened = mark if opens else None
+    return opened is not None and any(not opens and mark in CLOSED_BY[opened] for mark, opens in marks(text, end, high))
+
+
 @dataclass
 class Model:
     """Terms with the share of toxic among texts that hold them, and what contexts are worth."""
@@ -120,21 +143,25 @@ class Matcher:
             return None
         # No prefix longer than the longest term and one letter more can be within an edit of one.
         word = word[:LONGEST + 1]
-        term = self._within_one(self.trie, word, list(range(len(word) + 1)))
+        term = self._within_one(self.trie, word, list(range(len(word) + 1)), False)
         return None if term is None else (term, True)
 
-    def _within_one(self, node: dict, word: str, row: list[int]) -> str | None:
-        """The first term, in letter order, whose automaton accepts a prefix of ``word``."""
+    def _within_one(self, node: dict, word: str, row: list[int], ends_alike: bool) -> str | None:
+        """The first term, in letter order, whose automaton accepts the word, or a prefix of it if the
+        term may be inflected. ``row`` has the edits to each prefix. An ending may follow only where the
+        term's own last letter stands (``ends_alike``), or it would make up for a missing letter."""
         term = node.get("")
         if term is not None and (
-                len(term) >= FUZZY_LENGTH and row[-1] <= 1 or len(term) >= INFLECTED_LENGTH and min(row) <= 1):
+                len(term) >= FUZZY_LENGTH and row[-1] <= 1 or len(term) >= INFLECTED_LENGTH and ends_alike):
             return term
         for letter in sorted(k for k in node if k):
             after = [row[0] + 1]
+            alike = False
             for i, own in enumerate(word):
                 after.append(min(after[i] + 1, row[i + 1] + 1, row[i] + (own != letter)))
+                alike |= own == letter and row[i] <= 1
             if min(after) <= 1:
-                found = self._within_one(node[letter], word, after)
+                found = self._within_one(node[letter], word, after, alike)
                 if found is not None:
                     return found
         return None
@@ -149,8 +176,7 @@ class Matcher:
             hit = self.found.get(span.group())
             if hit is not None:
                 first, last = spans[max(0, n - WINDOW)], spans[min(len(spans) - 1, n + WINDOW)]
-                before, after = low[first.start():span.start()], low[span.end():last.end()]
-                enclosed = any(c in QUOTES for c in before) and any(c in QUOTES for c in after)
+                enclosed = in_quotes(low, max(0, first.start() - 1), span.start(), span.end(), last.end() + 3)
                 reported = any(s.group() in REPORTING for s in spans[max(0, n - WINDOW):n])
                 out.append((span.group(), *hit, QUOTED if enclosed or reported else PLAIN))
         return out
