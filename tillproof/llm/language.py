@@ -154,7 +154,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is found; texts without a letter go. All columns stay."""
+    """The rows of ``docs`` whose language is found; texts without a letter go. All columns stay, and a
+    document without ``lang`` gets the language found."""
     vectors = profiles(docs.filter(~held_out(F.col("doc_id"))))
-    found = predict(docs, vectors, docs.columns, ("_llm_lang", "_llm_score"))
-    return found.filter(F.col("_llm_lang") != UNKNOWN).select(*docs.columns)
+    found = predict(docs, vectors, docs.columns, ("_llm_lang", "_llm_score")).filter(F.col("_llm_lang") != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "_llm_lang")).select(*docs.columns)
