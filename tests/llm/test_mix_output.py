@@ -36,3 +36,14 @@ def test_mixed_text_is_dealt_from_the_sources(spark):
         taken[r.doc_id] += r.taken
     assert {i: n for i, n in taken.items() if n} == dict(mixed)
     assert M.mixed(df.limit(0)).collect() == []
+
+
+def test_buckets_follow_the_number_of_documents(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "w " * (i % 40), "a") for i in range(500)], "doc_id long, text string, source string")
+    whole = {r.doc_id: (r.size, r.target) for r in M.mix(df).collect()}
+    monkeypatch.setattr(M, "BUCKET", 7)
+    deal = M.Deal(df)
+    assert deal.placed.select("bucket").distinct().count() > 60
+    got = deal.counted().collect()
+    assert {r.doc_id: (r.size, r.target) for r in got} == whole
+    assert sum(len(r.text.split()) for r in deal.mixed().collect()) == sum(r.taken for r in got) and all(r.taken <= 2 * r.size for r in got)

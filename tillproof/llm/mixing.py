@@ -10,10 +10,14 @@ pseudorandom permutation of the source's blocks, a fresh one for every pass over
 and slots meet by block number, never by source alone, so a source that holds much of the data
 is spread like the rest. A target is at most twice its source, so a block is taken at most twice.
 The slots of a shard are put in an order drawn by hash. The mix itself is a table of slots, each
-with shard, place in it and the words of its block; how much was taken of a document is counted
-from that table.
+with shard, place in it and its block; how much was taken of a document is counted by joining the
+slots with the pieces of documents that their blocks hold. ``mixed`` gives the same slots with the
+words of their blocks; only it moves texts.
 
-Everything is a DataFrame expression. Only one row per source is ordered in one task.
+Everything is a DataFrame expression. A text is read once for its size; layout, plan, slots and
+counts work on rows of numbers. Documents of a source are laid out in hash buckets of about BUCKET
+rows each, whatever their number. Rows that one task puts in order are: those of a bucket, those of
+a shard, one per source, one per source and bucket, and one per source and shard.
 
 Null text has size zero; documents of size zero take nothing. A null source is a source of its
 own, last in order. Rows without an identifier and repeated rows are documents like any others.
@@ -39,8 +43,8 @@ SHARD_SLOTS = 4096
 TASK_SLOTS = 1 << 15
 # Wanted slots that one row of the lookup from slot to source spans.
 STRETCH = 1024
-# Documents of a source are laid out in so many hash buckets, each with its own running sum.
-BUCKETS = 4096
+# Documents fall into hash buckets of about so many rows, each with its own running sum.
+BUCKET = 2_000
 SPACES = "\\x20\\x09-\\x0D"
 
 
@@ -105,12 +109,15 @@ def words(text: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text, size, mark, bucket of every document."""
+    """doc_id, source, text, size, mark of every document."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.col("text").cast("string").alias("text"),
-        word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("doc_id", "text").alias("mark"),
-    ).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS)))
+        word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("doc_id", "text").alias("mark"))
+
+
+def in_buckets(sizes: DataFrame, documents: int) -> DataFrame:
+    return sizes.withColumn("bucket", F.pmod("mark", F.lit(max(1, -(-documents // BUCKET)))))
 
 
 def bucket_starts(sizes: DataFrame) -> DataFrame:
@@ -125,9 +132,8 @@ def bucket_starts(sizes: DataFrame) -> DataFrame:
 def layout(sizes: DataFrame, starts: DataFrame) -> DataFrame:
     """``sizes`` with row and start: every document's place among the words of its source.
 
-    Documents fall into hash buckets; a bucket starts where those before it end, and documents
-    within one follow each other. Neither the number of buckets nor a source's size decides how
-    many rows one task holds. Documents that share a place in the order are equal.
+    A bucket starts where those before it end, and documents within one follow each other. Documents
+    that share a place in the order are equal.
     """
     within = W.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size")
     placed = sizes.withColumn("row", F.row_number().over(within)).withColumn(
@@ -176,31 +182,43 @@ def slots(plan: DataFrame) -> DataFrame:
         "shard", (F.row_number().over(order) - 1).cast("long").alias("slot"), "number", "block")
 
 
-def packed(placed: DataFrame, plan: DataFrame) -> DataFrame:
-    """number, source, block, text, pieces: the blocks of every source and whose words they hold.
-
-    ``placed`` has the texts. A piece is (bucket, row, words), in order; a block has at most
-    BLOCK of them.
-    """
+def in_blocks(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """``placed`` documents with words and the number of their source; ``spans`` are the blocks they reach."""
     numbered = placed.filter("size > 0").join(
         plan.select(F.col("source").alias("of"), "number"), F.col("source").eqNullSafe(F.col("of")))
-    blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))
+    return numbered.withColumn("spans", F.sequence(
+        F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)))
+
+
+def _edges(b: Column) -> tuple[Column, Column]:
+    """First word, in its source, and number of words that a document has in block ``b``."""
+    low = F.greatest(F.col("start"), b * BLOCK)
+    return low, F.least(F.col("start") + F.col("size"), (b + 1) * BLOCK) - low
+
+
+def pieces(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """number, block, bucket, row, words: the part of every document in every block it reaches."""
+    each = in_blocks(placed, plan).select("number", "bucket", "row", "start", "size", F.explode("spans").alias("block"))
+    return each.select("number", "block", "bucket", "row", _edges(F.col("block"))[1].alias("words"))
+
+
+def packed(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """number, source, block, text: the blocks of every source with their words. ``placed`` has the texts."""
 
     def cut(own: Column) -> Callable[[Column], Column]:
         def piece(b: Column) -> Column:
-            low = F.greatest(F.col("start"), b * BLOCK)
-            n = F.least(F.col("start") + F.col("size"), (b + 1) * BLOCK) - low
-            return F.struct(b.alias("block"), low.alias("low"), n.alias("words"), F.array_join(
+            low, n = _edges(b)
+            return F.struct(b.alias("block"), low.alias("low"), F.array_join(
                 F.slice(own, (low - F.col("start") + 1).cast("int"), n.cast("int")), " ").alias("text"))
         return piece
 
     # The words are bound to a name, so that a text is split once.
-    pieces = F.transform(F.array(words(F.col("text"))), lambda own: F.transform(blocks, cut(own)))[0]
-    each = numbered.select("number", "source", "bucket", "row", F.inline(pieces))
-    found = each.groupBy("number", "block").agg(
-        F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("low", "bucket", "row", "words", "text"))).alias("p"))
-    return found.select("number", "source", "block", F.array_join(F.col("p.text"), " ").alias("text"), F.transform(
-        "p", lambda x: F.struct(x["bucket"].alias("bucket"), x["row"].alias("row"), x["words"].alias("words"))).alias("pieces"))
+    found = F.transform(F.array(words(F.col("text"))), lambda own: F.transform("spans", cut(own)))[0]
+    each = in_blocks(placed, plan).select("number", "source", F.inline(found))
+    # A block has at most BLOCK pieces.
+    return each.groupBy("number", "block").agg(
+        F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("low", "text"))).alias("p")).select(
+        "number", "source", "block", F.array_join(F.col("p.text"), " ").alias("text"))
 
 
 def planned(placed: DataFrame) -> DataFrame:
@@ -213,29 +231,39 @@ def planned(placed: DataFrame) -> DataFrame:
         F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long")), "plan")
 
 
-def dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The mix (shard, slot, source, number, block, text, pieces), the layout and the plan, all written."""
-    own = sized(docs)
-    sizes = written(own.drop("text"), "sizes")
-    starts = bucket_starts(sizes)
-    placed = written(layout(sizes, starts), "layout")
-    plan = planned(placed)
-    taken = slots(plan.filter("blocks > 0").select("number", "blocks", "wanted"))
-    out = taken.join(packed(layout(own, starts), plan), ["number", "block"])
-    return written(out.select("shard", "slot", "source", "number", "block", "text", "pieces"), "mix"), placed, plan
+class Deal:
+    """The layout of some documents, the plan of their sources, and the slots of the mix."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+        sizes = written(sized(docs).drop("text"), "sizes")
+        self.documents = sizes.count()
+        bucketed = in_buckets(sizes, self.documents)
+        self.starts = bucket_starts(bucketed)
+        self.placed = written(layout(bucketed, self.starts), "layout")
+        self.plan = planned(self.placed)
+        # Written, so that counts and text come from the same slots and joins see their true size.
+        self.slots = written(slots(self.plan.filter("blocks > 0").select("number", "blocks", "wanted")), "slots")
+
+    def counted(self) -> DataFrame:
+        """doc_id, size, source_size, target, taken of every document, from its pieces in the slots' blocks."""
+        taken = self.slots.join(pieces(self.placed, self.plan), ["number", "block"]).groupBy(
+            "number", "bucket", "row").agg(F.sum("words").alias("taken"))
+        # One row per source, so small beside the documents; Spark sees its size and picks the join.
+        numbered = self.placed.join(self.plan.select(F.col("source").alias("of"), "source_size", "number", "target"),
+                                    F.col("source").eqNullSafe(F.col("of")))
+        return numbered.join(taken, ["number", "bucket", "row"], "left").select(
+            "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+    def mixed(self) -> DataFrame:
+        """shard, slot, source, block, text: shards read in order of their slots are the mix."""
+        texts = layout(in_buckets(sized(self.docs), self.documents), self.starts)
+        return self.slots.join(packed(texts, self.plan), ["number", "block"]).select("shard", "slot", "source", "block", "text")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """shard, slot, source, block, text: the mix. Shards read in order of their slots are its output."""
-    return dealt(docs)[0].select("shard", "slot", "source", "block", "text")
+    return Deal(docs).mixed()
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of ``docs``, as counted from the mix."""
-    out, placed, plan = dealt(docs)
-    counted = out.select("number", F.inline("pieces")).groupBy("number", "bucket", "row").agg(F.sum("words").alias("taken"))
-    # One row per source, so small beside the documents; Spark sees its size and picks the join.
-    numbered = placed.join(plan.select(F.col("source").alias("of"), "source_size", "number", "target"),
-                           F.col("source").eqNullSafe(F.col("of")))
-    return numbered.join(counted, ["number", "bucket", "row"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return Deal(docs).counted()
