@@ -363,7 +363,8 @@ def referential_integrity(child: DataFrame, key: str, parent: DataFrame, parent_
     """One row: orphans and unreferenced parents, with the first keys of each and whether there
     are more."""
     missing = is_missing(F.col(key).cast("string"))
-    used = child.groupBy(F.when(~missing, F.col(key).cast("string")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    # One row per key, written: the rows of the child are read once.
+    used = written(child.groupBy(F.when(~missing, F.col(key).cast("string")).alias("k")).agg(F.count(F.lit(1)).alias("n")), "used-keys")
     known = parent.filter(~is_missing(F.col(parent_key).cast("string"))).select(
         F.col(parent_key).cast("string").alias("k"), F.lit(True).alias("known")).distinct()
     # Both sides hold one row per key, so a hot key weighs no more than any other.

@@ -161,7 +161,7 @@ FROM claims c FULL JOIN figures f ON c.figure = f.figure""", "fact_sales")),
     Query("lineage_summary", on_feed(lambda w: G.lineage_summary(w.lineage)),
           over("""SELECT 'total' AS figure, count(*) AS source_rows FROM flagged UNION ALL SELECT disposition, count(*) FROM flagged GROUP BY disposition
 UNION ALL SELECT 'reason.' || reason_code, count(*) FROM flagged WHERE reason_code IS NOT NULL GROUP BY reason_code""", "flagged")),
-    Query("independent_tieout", on_feed(lambda w: G.independent_tieout(w.star, w.flagged, w.ledger, w.catalog, w.raw["transactions"], w.sales).withColumns(
+    Query("independent_tieout", on_feed(lambda w: G.independent_tieout(w.star, w.flagged, w.ledger, w.catalog, w.raw_rows, w.sales).withColumns(
         {c: F.col(c).cast("double") for c in ("expected", "actual")})),
           over("""WITH n AS (SELECT CAST(sum(net_amount) AS DOUBLE) AS v, count(*) AS c FROM fact_sales), b AS (SELECT count(*) AS c FROM raw_transactions)
 SELECT unnest(['net_fact_vs_ledger', 'net_fact_vs_lines', 'net_vs_source_less_held', 'gross_less_discount_plus_returns', 'net_fact_vs_clean']) AS check_name, v AS expected, v AS actual, TRUE AS ok FROM n
