@@ -19,9 +19,11 @@ any length are scanned whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -103,6 +105,8 @@ TEMPLATES = (
     (r"licen[sc]e (?:is )?{name}", 60, 0.85),
     (r"{name} licen[sc]ed?", 50, 0.8),
 )
+# What may follow a name with its version that stands alone.
+ALONE = r"(?: only| or later| or any later version| plus)?"
 # Phrases of licence texts and notices.
 PHRASES = (
     ("mit", "permission is hereby granted free of charge", 85, 0.95),
@@ -123,12 +127,18 @@ def rules() -> list[Rule]:
     """Every family in every template, then phrases and the copyright notice; first is strongest."""
     made = [Rule(label, keyword, frame.replace("{name}", f"(?:{name})"), priority, confidence)
             for label, keyword, name in FAMILIES for frame, priority, confidence in TEMPLATES]
+    # A name with its version stands for itself; one that is also a system's name does not.
+    made += [Rule(label, keyword, f"(?:{name}){ALONE}", 45, 0.75) for label, keyword, name in FAMILIES if re.search("[0-9]", name) and "freebsd" not in name]
     made += [Rule(label, words, words, priority, confidence) for label, words, priority, confidence in PHRASES]
     made.append(Rule("copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 20, 0.7))
     # Longer patterns first among equals, so the order of detections is defined.
     return sorted(made, key=lambda r: (-r.priority, -len(r.pattern), r.label, r.pattern))
 
 
+def blank_places(spaced: bytes) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(spaced, np.uint8) == 32)
+
+
 class Scanner:
     def __init__(self) -> None:
         self.rules = [(r, re.compile(f"(?<= )(?:{r.pattern})(?= )")) for r in rules()]
@@ -149,22 +159,30 @@ class Scanner:
         kept: list[tuple[int, int, int]] = []
         # Stronger first, then longer; what overlaps something kept before it is suppressed.
         # A weaker interval that contains a kept one says nothing of its own and goes as well.
+        # Kept intervals are disjoint and in order, so only the neighbours can overlap.
         for start, end, n in sorted(found, key=lambda d: (-self.rules[d[2]][0].priority, d[0] - d[1], d[0], d[2])):
-            if all(end <= a or b <= start for a, b, _ in kept):
-                kept.append((start, end, n))
-        return [(spaced.count(" ", 0, a) - 1, spaced.count(" ", 0, b), self.rules[n][0]) for a, b, n in sorted(kept)]
+            at = bisect_left(kept, (start,))
+            if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+                kept.insert(at, (start, end, n))
+        if not kept:
+            return []
+        blanks = blank_places(spaced.encode("latin-1"))
+        first, end = (np.searchsorted(blanks, [k[at] for k in kept]).tolist() for at in (0, 1))
+        return [(a - 1, b, self.rules[n][0]) for a, b, (_, _, n) in zip(first, end, kept)]
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = text.translate(SPACED).split()
         spaced = b" " + b" ".join(words) + b" "
-        places: list[int] = []
+        starts: list[int] = []
         base: set[str] = set()
         for phrase, label in BASE_PHRASES.items():
             at = spaced.find(b" " + phrase + b" ")
             while at >= 0:
-                places.append(spaced.count(b" ", 0, at))
+                starts.append(at)
                 base.add(label)
                 at = spaced.find(b" " + phrase + b" ", at + 1)
+        # The number of a word is that of the spaces before it, found in one pass over the text.
+        places = np.searchsorted(blank_places(spaced), starts).tolist() if starts else []
         # Bytes beyond ASCII become one character each, which no rule contains.
         kept = self.detections(spaced.decode("latin-1"))
         doubt = 1.0
