@@ -60,8 +60,9 @@ def running_hash(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 def tile(doc: np.ndarray, item: np.ndarray, starts: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in doc, place in item, length), longest first.
 
-    ``starts`` are all pairs of places at which ``least`` equal tokens begin. A candidate runs
-    as far as tokens agree and neither side is marked; ties go to the earliest place.
+    ``starts`` are the pairs of places at which a run of ``least`` equal tokens or more begins: the tokens
+    before differ. A candidate runs as far as tokens agree and neither side is marked; ties go to the
+    earliest place. Once the item has less than ``least`` tokens that are free, nothing can follow.
     """
     marked_doc: set[int] = set()
     marked_item = np.zeros(len(item), bool)
@@ -74,15 +75,15 @@ def tile(doc: np.ndarray, item: np.ndarray, starts: list[tuple[int, int]], least
             n += 1
         return n
 
-    # Only the first place of each run is needed at first; what a mark leaves comes back later.
-    seeds = set(starts)
     queue: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, j in seeds:
-        if (i - 1, j - 1) not in seeds:
-            queue[free_run(i, j)].append((i, j))
+    for i, j in starts:
+        queue[agreeing(doc[i:], item[j:])].append((i, j))
+    free = len(item)
     for length in range(len(item), least - 1, -1):
         waiting = sorted(queue.pop(length, ()))
         for i, j in waiting:
+            if free < least:
+                return tiles
             # A run may have lost tokens to a longer tile: its free parts wait for their turn.
             k = 0
             while k < length:
@@ -92,12 +93,30 @@ def tile(doc: np.ndarray, item: np.ndarray, starts: list[tuple[int, int]], least
                     tiles.append((i, j, n))
                     marked_doc.update(range(i, i + n))
                     marked_item[j:j + n] = True
+                    free -= n
                 elif n >= least:
                     queue[n].append((i + k, j + k))
-                k += max(1, n)
+                k += n
+                if k < length:
+                    # On to the next token of the item that is free.
+                    left = np.flatnonzero(~marked_item[j + k:j + length])
+                    if not len(left):
+                        break
+                    k += max(int(left[0]), int(n == 0))
     return tiles
 
 
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many tokens agree from the start on."""
+    n, at, step = min(len(a), len(b)), 0, 16
+    while at < n:
+        differ = a[at:min(at + step, n)] != b[at:min(at + step, n)]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = at + step, step * 2
+    return n
+
+
 class Slice:
     """Test items with their seeds, as arrays that a task can search."""
 
@@ -123,17 +142,30 @@ class Slice:
         """(item_id, tokens of the item, covered tokens, tiles, the tiles) per item with a seed in the text."""
         doc = np.fromiter(map(self.words.get, tokens(text), repeat(0)), np.uint64)
         pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        before = np.concatenate(([0], doc[:-1])) if len(doc) else doc
         for width, (hashes, owners, places) in self.seeds.items():
+            parts = []
             for at in range(0, len(doc), CHUNK):
-                part = doc[at:at + CHUNK + width - 1]
-                where, values = running_hash(part, width)
-                low, high = np.searchsorted(hashes, values, "left"), np.searchsorted(hashes, values, "right")
-                for i in np.flatnonzero(high > low):
-                    for s in range(low[i], high[i]):
-                        n, j, i0 = int(owners[s]), int(places[s]), at + int(where[i])
-                        # Equal hashes are only a hint; the tokens decide.
-                        if np.array_equal(doc[i0:i0 + width], self.items[n][1][j:j + width]):
-                            pairs[n].append((i0, j))
+                where, values = running_hash(doc[at:at + CHUNK + width - 1], width)
+                low = np.searchsorted(hashes, values, "left")
+                hit = (low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == values)
+                parts.append((where[hit] + at, values[hit], low[hit]))
+            found, values, low = (np.concatenate(p) for p in zip(*parts)) if parts else ((),) * 3
+            if not len(found):
+                continue
+            # All places of the text with one seed meet each place of an item with it at once. A run starts
+            # where the tokens before differ, so a run of equal words is listed once per diagonal.
+            order = np.argsort(low, kind="stable")
+            found, low = found[order], low[order]
+            edges = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1], [True])))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = found[a:b]
+                for s in range(int(low[a]), int(np.searchsorted(hashes, hashes[low[a]], "right"))):
+                    n, j = int(owners[s]), int(places[s])
+                    item = self.items[n][1]
+                    begin = own if j == 0 else own[(own == 0) | (before[own] != item[j - 1])]
+                    # Equal hashes are only a hint; the tokens decide.
+                    pairs[n].extend((i, j) for i in begin.tolist() if np.array_equal(doc[i:i + width], item[j:j + width]))
         out = []
         for n, starts in pairs.items():
             item_id, item = self.items[n]
