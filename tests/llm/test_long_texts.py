@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 
-from tillproof.llm import decontaminate as D, licenses as L
+from tillproof.llm import decontaminate as D, licenses as L, pii as P
 
 
 def test_license_scan_of_a_long_text():
@@ -62,3 +62,29 @@ def test_equal_words_against_a_long_item():
         found = {r[0]: r for r in look.find(text)}
         assert time.monotonic() - begin < 20
         assert any(covered == size for _, size, covered, *_ in found.values())
+
+
+def test_personal_data_of_a_long_text(spark):
+    lines = [(f"ü{i} reader{i}@site{i % 7}.com", f" wrote from 10.1.{i % 256}.7\U0001F600\n") for i in range(25_000)]
+    text, listed, at = "".join(a + b for a, b in lines), [], 0
+    for a, b in lines:
+        mail, ip = a.index(" ") + 1, len(a) + b.index("10.")
+        listed += [("email", at + mail, at + len(a)), ("ip", at + ip, at + len(a) + len(b) - 2)]
+        at += len(a) + len(b)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.monotonic()
+    (r,), (cleaned,) = P.detect(df).collect(), P.redact(df).collect()
+    assert time.monotonic() - begin < 90
+    assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(listed))
+    assert cleaned.text == "".join(f"ü{i} [EMAIL] wrote from [IP]\U0001F600\n" for i in range(25_000))
+
+
+def test_redaction_at_the_borders_of_pieces(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        n = rng.choice((0, 1, P.PIECE - 1, P.PIECE, P.PIECE + 1, 2 * P.PIECE, 700))
+        texts.append("é" * n + " a@b.org " + "\U0001F600" * rng.choice((0, P.PIECE - 9, P.PIECE, 600)) + rng.choice(("", " 10.0.0.1", " a@b.org")))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in P.redact(df).collect():
+        assert r.text == texts[r.doc_id].replace("a@b.org", "[EMAIL]").replace("10.0.0.1", "[IP]")

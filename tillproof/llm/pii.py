@@ -10,7 +10,7 @@ classifier accepts are added; valid base spans always stay.
 
 Everything that touches a row is a DataFrame expression. Positions are code points: what stands
 between matches is split off, and lengths are added up. The patterns are possessive and start
-only where a run starts, so they take time in proportion to the text.
+only where a run starts, so they take time in proportion to the text; n spans take n log n steps.
 
 Null text is empty: no spans. Rows without an identifier and repeated rows are read like any
 others; other columns are ignored. An empty table gives no rows and no patterns to train on.
@@ -56,6 +56,8 @@ NEAR = 60
 CONTEXT = 24
 # Digits of a base kind below which a failed match is not even a candidate.
 LEAST_DIGITS = 9
+# Letters of a piece of a text that is put together anew.
+PIECE = 256
 ACCEPT = 0.5
 ROUNDS = 50
 SPAN = "array<struct<start:int,stop:int,value:string,before:string>>"
@@ -97,19 +99,34 @@ def likely_length(kind: str, value: Column) -> Column:
             "secret": n.isin(16, 18, 20, 24, 32, 40, 64), "disguised": n.between(10, 64), "person": n.between(5, 40)}[kind]
 
 
-def located(text: Column, found: Column, gaps: Column) -> Column:
-    """Positions of all matches: ``gaps`` is what stands before, between and after them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often the lambdas of ``use`` name it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The join of every element with all before it, in rounds that double what has been joined.
+
+    A round is one transform, so n elements take n log n steps and no array is copied per element.
+    """
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int")
+
+    def double(state: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(state, lambda x, i: F.when(i < back, x).otherwise(join(F.get(state, i - back), x)))
+
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), values, double))
+
 
-    def add(s: Column, i: Column) -> Column:
-        gap, value = F.element_at(gaps, i), F.element_at(found, i)
-        first = s["at"] + F.length(gap)
-        last = first + F.length(value)
-        return F.struct(last.alias("at"), F.concat(s["spans"], F.array(F.struct(
-            first.alias("start"), last.alias("stop"), value.alias("value"), F.right(gap, F.lit(CONTEXT)).alias("before")))).alias("spans"))
+def located(found: Column, gaps: Column) -> Column:
+    """Positions of all matches: ``gaps`` is what stands before, between and after them."""
+    def place(both: Column) -> Column:
+        lengths = F.transform(both["found"], lambda v, i: F.length(v) + F.length(F.get(both["gaps"], i)))
+        return bound(running(lengths, lambda a, b: a + b), lambda stops: F.transform(both["found"], lambda v, i: F.struct(
+            (F.get(stops, i) - F.length(v)).alias("start"), F.get(stops, i).alias("stop"), v.alias("value"),
+            F.right(F.get(both["gaps"], i), F.lit(CONTEXT)).alias("before"))))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(1), F.size(found)), start, add, lambda s: s["spans"])).otherwise(
-        F.array().cast(SPAN))
+    return F.when(F.size(found) > 0, bound(F.struct(found.alias("found"), gaps.alias("gaps")), place)).otherwise(F.array().cast(SPAN))
 
 
 def vote(yes: Column, no: Column) -> Column:
@@ -131,14 +148,14 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         needs.get(k, F.col("_llm_digit")), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS})
     rows = rows.withColumns({f"_llm_gaps_{k}": F.when(
         F.size(f"_llm_found_{k}") > 0, F.split(text, PATTERNS[k], -1)).otherwise(none) for k in KINDS})
-    rows = rows.withColumns({f"_llm_at_{k}": located(text, F.col(f"_llm_found_{k}"), F.col(f"_llm_gaps_{k}")) for k in KINDS})
+    rows = rows.withColumns({f"_llm_at_{k}": located(F.col(f"_llm_found_{k}"), F.col(f"_llm_gaps_{k}")) for k in KINDS})
 
     def judged(kind: str) -> Column:
         def one(s: Column) -> Column:
             value, before = s["value"], F.lower(s["before"])
             passes = valid(kind, value)
             return F.struct(
-                F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
+                F.lit(KINDS.index(kind)).alias("kind_no"), s["start"].alias("start"), s["stop"].alias("stop"),
                 (passes if kind in BASE_KINDS else F.lit(False)).alias("base"),
                 F.concat(
                     vote(passes & F.lit(kind in BASE_KINDS), ~passes),
@@ -150,16 +167,24 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.filter(found, lambda s: s["base"] | (s["digits"] >= LEAST_DIGITS)) if kind in BASE_KINDS else found
 
     rows = rows.withColumn("_llm_all", F.concat(*[judged(k) for k in KINDS]))
-    # The last vote: personal data tends to stand together.
-    ordered = F.array_sort(F.transform("_llm_all", lambda s: s["start"]))
-    rows = rows.withColumn("_llm_starts", ordered)
-
-    def company(s: Column) -> Column:
-        near = F.size(F.filter("_llm_starts", lambda o: F.abs(o - s["start"]) <= NEAR)) > 1
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["base"].alias("base"),
-                        F.concat(s["votes"], vote(near, F.lit(False))).alias("votes"))
-
-    return rows.withColumn("_llm_spans", F.transform("_llm_all", company)).select(*docs.columns, "_llm_spans")
+    # The last vote: personal data tends to stand together. The nearest start is that before or after
+    # in order of the starts.
+    ordered = F.array_sort(F.transform("_llm_all", lambda s: F.struct(
+        s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["stop"].alias("stop"), s["base"].alias("base"), s["votes"].alias("votes"))))
+
+    def company(spans: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            before = s["start"] - F.get(spans, i - 1)["start"]
+            after = F.get(spans, i + 1)["start"] - s["start"]
+            near = F.coalesce(before <= NEAR, F.lit(False)) | F.coalesce(after <= NEAR, F.lit(False))
+            return F.struct(s["kind_no"].alias("kind_no"), s["start"].alias("start"), s["stop"].alias("stop"), s["base"].alias("base"),
+                            F.concat(s["votes"], vote(near, F.lit(False))).alias("votes"))
+        return F.array_sort(F.transform(spans, one))
+
+    names = F.array(*[F.lit(k) for k in KINDS])
+    spans = F.transform(bound(ordered, company), lambda s: F.struct(
+        F.get(names, s["kind_no"]).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["base"].alias("base"), s["votes"].alias("votes")))
+    return rows.withColumn("_llm_spans", spans).select(*docs.columns, "_llm_spans")
 
 
 def em(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
@@ -233,6 +258,16 @@ def kept(spans: Column, accepted: list[str]) -> Column:
     return F.filter(spans, stays)
 
 
+def part(pieces: Column, start: Column, stop: Column) -> Column:
+    """What stands from ``start`` up to ``stop`` in a text cut into pieces of PIECE letters.
+
+    A long text is not read from its start for each part of it.
+    """
+    first = F.floor(start / PIECE).cast("int")
+    count = F.ceil(stop / PIECE).cast("int") - first
+    return F.when(stop > start, F.substring(F.array_join(F.slice(pieces, first + 1, count), ""), start % PIECE + 1, stop - start)).otherwise("")
+
+
 def of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
@@ -261,18 +296,22 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spans = with_candidates(docs, text_col)
     chosen = F.array_sort(F.transform(kept(F.col("_llm_spans"), accepted), lambda s: F.struct(
         s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     text = F.col(text_col)
 
-    def add(state: Column, s: Column) -> Column:
-        free = s["start"] >= state["at"]
-        before = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.when(free, F.struct((-s["back"]).alias("at"), F.concat(
-            state["parts"], F.array(before, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("parts"))).otherwise(
-            # An overlapping span that reaches further is hidden with the one before it.
-            F.struct(F.greatest(state["at"], -s["back"]).alias("at"), state["parts"].alias("parts")))
-
-    cleaned = F.aggregate(F.col("_llm_chosen"), start, add, lambda s: F.concat(
-        F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    def hidden(own: Column) -> Column:
+        # How far the spans up to each one reach; one that starts before that is hidden with them.
+        reach = running(F.transform(own["spans"], lambda s: -s["back"]), lambda a, b: F.greatest(a, b))
+
+        def parts(reach: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                at = F.coalesce(F.get(reach, i - 1), F.lit(0))
+                return F.when(s["start"] >= at, F.concat(
+                    part(own["pieces"], at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+            return F.concat(F.array_join(F.transform(own["spans"], one), ""), part(
+                own["pieces"], F.element_at(reach, -1), PIECE * F.size(own["pieces"])))
+        return bound(reach, parts)
+
+    cleaned = bound(F.struct(F.col("_llm_chosen").alias("spans"), F.regexp_extract_all(
+        text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces")), hidden)
     return spans.withColumn("_llm_chosen", chosen).withColumn(
         text_col, F.when(F.size("_llm_chosen") > 0, cleaned).otherwise(text)).select(*docs.columns)
