@@ -148,3 +148,12 @@ def test_the_folder_the_cluster_names_is_used():
 def test_written_tables_are_read_back_whole(spark):
     df = scale.written(spark.range(5), "five")
     assert df.count() == 5 and all("/tillproof/" in f for f in df.inputFiles())
+
+
+def test_rows_meet_only_the_numbers_of_repeats(spark):
+    """The last join looks up row numbers, not whole rows, so few repeats are broadcast and no row moves."""
+    df = scale.written(spark.range(4_000).select(F.col("id").alias("source_row"), *[(F.col("id") % 3_900).cast("string").alias(c) for c in "ab"]), "t-rows")
+    found = scale.flag_repeats(df, ["a", "b"], "source_row", "again")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [source_row" in plan and "hashpartitioning" not in plan and "_h1" not in plan
+    assert sorted(r.source_row for r in found.filter("again").collect()) == list(range(3_900, 4_000))
