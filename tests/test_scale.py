@@ -157,3 +157,20 @@ def test_rows_meet_only_the_numbers_of_repeats(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [source_row" in plan and "hashpartitioning" not in plan and "_h1" not in plan
     assert sorted(r.source_row for r in found.filter("again").collect()) == list(range(3_900, 4_000))
+
+
+def test_marks_of_rows_are_looked_up_where_the_rows_lie(spark, no_broadcast):
+    """Copies and orphans are found by row numbers and ids; of the whole rows, bucketed by number, none moves."""
+    rows = scale.bucketed(raw(spark, "transactions", [*TRANSACTIONS, TRANSACTIONS[0], TRANSACTIONS[5]]), "source_row", "t-raw-rows", 4)
+    found = T.flag_transactions(rows, *dims(spark), CONFIG)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.source_row: (r.is_copy, r.orphan_store, r.orphan_product) for r in found.collect()} == {
+        **{i: (False, False, False) for i in range(5)}, 5: (False, True, False), 6: (True, False, False), 7: (True, True, False)}
+
+
+def test_a_stage_too_long_for_the_compiler_is_not_fused(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with scale.compiled(spark):
+        assert int(spark.conf.get(name)) == 8_000
+    assert spark.conf.get(name) == before

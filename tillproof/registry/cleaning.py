@@ -43,7 +43,7 @@ QUERIES = [
           over("SELECT source_row, product_id, product_name, category, unit_price, supplier_id FROM versions", "settled_products")),
     Query("exact_copies", on_feed(lambda w: P.exact_copies(_tidy_products(w)).select("source_row", "product_id")),
           over("SELECT source_row, product_id FROM marked_products WHERE copy_no > 1", "settled_products")),
-    Query("flag_exact_duplicates", on_feed(lambda w: T.flag_exact_duplicates(w.raw["transactions"]).select(
+    Query("flag_exact_duplicates", on_feed(lambda w: T.flag_exact_duplicates(w.raw_rows).select(
         "source_row", "transaction_id", "is_copy")),
           over("SELECT source_row, transaction_id, is_copy FROM parsed", "flagged")),
     Query("id_collisions", on_feed(lambda w: T.id_collisions(_line_ids(w), "line_id")),
