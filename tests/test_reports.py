@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kit import CONFIG, by, flagged, raw, rows, sale
 from tillproof.catalog import DEFECT_CODES, catalog_frame
+from tillproof.scale import bucketed
 from tillproof.operators import audit as A, claims as C, diff as D, figures as G, profile as P, transactions as T, whatif as W
 
 
@@ -335,3 +336,33 @@ def test_published_cells_are_compared(spark, table):
     assert {r.disposition for r in damaged.filter("source_row = 0").collect()} == {"missing"}
     report = D.verify_diff(damaged, T.lineage(table)).first()
     assert report.disposition_mismatches == 2 and report.unmatched_rows == 1 and report.unexplained_cells == 2 + 8
+
+
+def test_row_diff_is_the_cell_diff(spark, table):
+    clean = T.clean_transactions(table, CONFIG, row_key=True)
+    changed = clean.withColumn("quantity", F.when(F.col("source_row") == 1, 99).otherwise(F.col("quantity"))).filter(
+        "source_row <> 0").unionByName(clean.filter("source_row = 0").withColumn("source_row", F.lit(500).cast("long")))
+    ledger = T.lineage(table).unionByName(T.lineage(table).filter("source_row = 2").withColumn("source_row", F.lit(600).cast("long")))
+    sides = table.select("source_row", *T.COLUMNS), changed, ledger, CONFIG
+    wide, cells = D.published_row_diff(*sides), D.published_diff(*sides)
+    assert wide.count() * len(T.COLUMNS) == cells.count() and wide.filter("source_row >= 500").count() == 2
+    assert D.verify_diff(wide, ledger).first() == D.verify_diff(cells, ledger).first()
+    for code, column, side in (("TX-04", "store_id", "raw"), ("TX-01", "total_amount", "clean"), (None, "quantity", "raw")):
+        assert D.diff_browse(wide, code, column, side).collect() == D.diff_browse(cells, code, column, side).collect()
+
+
+def test_row_diff_moves_no_row(spark, table):
+    """Tables bucketed by row meet where they lie; of what was found only row, id and counts move to the ledger."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        flagged = bucketed(table, "source_row", "t-diff-flagged", 4)
+        raw_rows = bucketed(flagged.select("source_row", *T.COLUMNS), "source_row", "t-diff-raw", 4, placed=True)
+        clean = bucketed(T.clean_transactions(flagged, CONFIG, row_key=True), "source_row", "t-diff-published", 4, placed=True)
+        diff = D.published_row_diff(raw_rows, clean, T.lineage(flagged), CONFIG)
+        moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        report = D.verify_diff(diff, T.lineage(flagged))
+        assert moved(diff) == 0 and moved(D.diff_browse(diff, "TX-04", "store_id")) == 0 and moved(report) == 1
+        assert report.first().unmatched_rows == 0 and report.first().cells == 72
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -129,6 +129,15 @@ def test_bucketed_tables_meet_without_a_shuffle(spark, no_broadcast):
     assert both.count() == 1000 and "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
 
 
+def test_placed_rows_are_written_where_they_lie(spark, no_broadcast):
+    rows = scale.bucketed(spark.range(1000).select("id", (F.col("id") % 7).alias("v")), "id", "t-placed-from", 4)
+    kept = scale.bucketed(rows.filter("v <> 3"), "id", "t-placed", 4, placed=True)
+    assert len(kept.inputFiles()) == 4 and kept.count() == 857
+    both = rows.join(kept.withColumnRenamed("v", "w"), "id", "left")
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    assert both.filter("w is null").count() == 143 and both.filter("w <> v").count() == 0
+
+
 def test_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
     class Other:
         master = "yarn"

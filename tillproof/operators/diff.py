@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillproof.config import RunConfig
@@ -61,8 +63,8 @@ UNEXPLAINED = "unexplained"
 CLEAN_COLUMNS = ("transaction_date", "store_id", "product_id", "customer_id", "quantity", "unit_price", "total_amount")
 
 
-def published_diff(raw: DataFrame, published: DataFrame, lineage: DataFrame, config: RunConfig) -> DataFrame:
-    """One record per source row and column: raw text against the cell that was published.
+def published_row_diff(raw: DataFrame, published: DataFrame, lineage: DataFrame, config: RunConfig) -> DataFrame:
+    """One record per source row, its cells as an array: raw text against what was published.
 
     The three tables meet on ``source_row``; bucketed by it, they do so without a shuffle. Nothing of the
     working table is used: what a rule should have made of the raw text is read anew from the text, and a
@@ -71,7 +73,13 @@ def published_diff(raw: DataFrame, published: DataFrame, lineage: DataFrame, con
     """
     out = published.select("source_row", F.lit(True).alias("_there"), *[F.col(c).alias(f"_p_{c}") for c in ("transaction_id", *CLEAN_COLUMNS, "has_discount", "is_return")])
     ledger = lineage.select("source_row", F.col("disposition").alias("_said"), "reason_code", F.col("transaction_id").alias("_id"))
-    rows = raw.select("source_row", *COLUMNS).join(ledger, "source_row", "full").join(out, "source_row", "full")
+    source = raw.select("source_row", *COLUMNS)
+    # A full join forgets how its rows lie, so the rows of the source, those that only the ledger knows and
+    # those that only the publication knows come from a join each and stay in the buckets of their table.
+    without = lambda side, *others: reduce(lambda a, b: a.join(b.select("source_row"), "source_row", "left_anti"), others, side)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        source.join(ledger, "source_row", "left").join(out, "source_row", "left"),
+        without(ledger, source).join(out, "source_row", "left"), without(out, source, ledger)])
     rows = rows.withColumn("disposition", F.when(F.col("_there"), "kept").when(F.col("_said") == "kept", "missing").otherwise(F.col("_said")))
     rows = rows.withColumn("_id", F.coalesce("transaction_id", "_id", "_p_transaction_id"))
     text = lambda c: normalise_text(F.col(c))
@@ -91,8 +99,13 @@ def published_diff(raw: DataFrame, published: DataFrame, lineage: DataFrame, con
         shown = F.col(f"_p_{name}")
         off = [(~expected[name].eqNullSafe(shown), UNEXPLAINED, None)]
         cells.append(_cell(name, F.date_format(shown, "yyyy-MM-dd") if name == "transaction_date" else shown.cast("string"), off + rules.get(name, [])))
-    return rows.select("source_row", F.col("_id").alias("transaction_id"), "disposition", F.explode(F.array(*cells)).alias("_cell")).select(
-        "source_row", "transaction_id", "disposition", "_cell.*")
+    return rows.select("source_row", F.col("_id").alias("transaction_id"), "disposition", F.array(*cells).alias("cells"))
+
+
+def published_diff(raw: DataFrame, published: DataFrame, lineage: DataFrame, config: RunConfig) -> DataFrame:
+    """One record per source row and column: the cells of ``published_row_diff``."""
+    return published_row_diff(raw, published, lineage, config).select(
+        "source_row", "transaction_id", "disposition", F.inline("cells"))
 
 
 def explain(diff: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -133,10 +146,17 @@ def dimension_diff(
 
 
 def verify_diff(diff: DataFrame, lineage: DataFrame) -> DataFrame:
-    """Row-for-row agreement of a diff with the ledger, as one row of counts."""
-    rows = diff.groupBy("source_row").agg(
+    """Row-for-row agreement of a diff with the ledger, as one row of counts. The diff has a record per
+    cell, or one per row with ``cells``, of which only id and counts are gathered by row."""
+    if "cells" in diff.columns:
+        counted = diff.select("source_row", "disposition", "transaction_id", F.size("cells").alias("_n"),
+                              F.size(F.filter("cells", lambda c: c["status"] == UNEXPLAINED)).alias("_u"))
+    else:
+        counted = diff.select("source_row", "disposition", "transaction_id", F.lit(1).alias("_n"),
+                              F.when(F.col("status") == UNEXPLAINED, 1).otherwise(0).alias("_u"))
+    rows = counted.groupBy("source_row").agg(
         F.min("disposition").alias("_a"), F.max("disposition").alias("_b"),
-        F.min("transaction_id").alias("_id"), F.count(F.lit(1)).alias("_cells"), F.count_if(F.col("status") == UNEXPLAINED).alias("_off"))
+        F.min("transaction_id").alias("_id"), F.sum("_n").alias("_cells"), F.sum("_u").alias("_off"))
     both = rows.join(lineage, "source_row", "full")
     return both.agg(
         F.count(F.lit(1)).alias("rows_compared"),
@@ -152,12 +172,19 @@ def diff_browse(
 ) -> DataFrame:
     """Rows of the diff that carry ``code`` anywhere, in the order of one raw or clean column.
 
-    Cells of a row are folded by a grouped aggregate over the unique source_row.
+    The cells of a row are those of its array, where the diff has one record per row; otherwise they
+    are gathered over the unique source_row.
     """
-    value = F.col(f"{side}_value")
-    rows = diff.groupBy("source_row", "transaction_id", "disposition").agg(
-        F.sort_array(F.collect_set("defect_code")).alias("defects"),
-        F.max(F.when(F.col("column_name") == column, value)).alias("sort_value"))
+    value = f"{side}_value"
+    if "cells" in diff.columns:
+        rows = diff.select(
+            "source_row", "transaction_id", "disposition",
+            F.array_sort(F.array_compact(F.array_distinct(F.col("cells.defect_code")))).alias("defects"),
+            F.array_max(F.transform(F.filter("cells", lambda c: c["column_name"] == column), lambda c: c[value])).alias("sort_value"))
+    else:
+        rows = diff.groupBy("source_row", "transaction_id", "disposition").agg(
+            F.sort_array(F.collect_set("defect_code")).alias("defects"),
+            F.max(F.when(F.col("column_name") == column, F.col(value))).alias("sort_value"))
     if code is not None:
         rows = rows.filter(F.array_contains("defects", code))
     key = mixed_sort_key(F.col("sort_value"))

@@ -95,13 +95,17 @@ def _diff(w):
     return D.published_diff(w.raw_rows, w.published_rows, w.lineage_rows, w.config)
 
 
-def _changed_publication(w):
+def _row_diff(w):
+    return D.published_row_diff(w.raw_rows, w.published_rows, w.lineage_rows, w.config)
+
+
+def _changed_publication(w, diff=D.published_diff):
     """The diff against a published table in which some cells were changed, emptied or left out."""
     row = F.col("source_row")
     changed = w.published_rows.filter(row % 19 != 3).withColumns({
         "total_amount": F.when(row % 7 == 0, F.col("total_amount") + 1).otherwise(F.col("total_amount")),
         "store_id": F.when(row % 11 != 0, F.col("store_id"))})
-    return D.published_diff(w.raw_rows, changed, w.lineage_rows, w.config)
+    return diff(w.raw_rows, changed, w.lineage_rows, w.config)
 
 
 def _store_diff(w):
@@ -174,9 +178,9 @@ UNION ALL SELECT 'count.' || e.code, CAST(e.expected_count AS DOUBLE), CAST(coal
 SELECT defect_code, status, explanation, count(*) AS cells FROM diff LEFT JOIN words ON defect_code = code GROUP BY 1, 2, 3""", "flagged")),
     Query("store_diff", on_feed(_store_diff), over(_STORE_DIFF, "stores_clean")),
     Query("product_diff", on_feed(_product_diff), over(_PRODUCT_DIFF, "products_clean")),
-    Query("verify_diff", on_feed(lambda w: D.verify_diff(_diff(w), w.lineage)),
+    Query("verify_diff", on_feed(lambda w: D.verify_diff(_row_diff(w), w.lineage_rows)),
           over("SELECT count(*) AS rows_compared, CAST(0 AS BIGINT) AS unmatched_rows, CAST(0 AS BIGINT) AS disposition_mismatches, CAST(0 AS BIGINT) AS id_mismatches, count(*) * 8 AS cells, CAST(0 AS BIGINT) AS unexplained_cells FROM flagged", "flagged")),
-    Query("verify_diff_shifted", on_feed(lambda w: D.verify_diff(_diff(w), w.lineage.filter("source_row % 9 <> 4").withColumns({
+    Query("verify_diff_shifted", on_feed(lambda w: D.verify_diff(_row_diff(w), w.lineage_rows.filter("source_row % 9 <> 4").withColumns({
         "disposition": F.when(F.col("source_row") % 7 == 0, "moved").otherwise(F.col("disposition")),
         "transaction_id": F.when(F.col("source_row") % 5 == 0, F.concat("transaction_id", F.lit("x"))).otherwise(F.col("transaction_id"))}))),
           over("""SELECT count(*) AS rows_compared, count(*) FILTER (WHERE source_row % 9 = 4) AS unmatched_rows,
@@ -188,11 +192,11 @@ SELECT source_row, transaction_id, CASE WHEN gone THEN 'missing' ELSE dispositio
   CASE WHEN gone THEN '(missing)' WHEN column_name = 'store_id' THEN NULL ELSE CAST(CAST(clean_value AS DECIMAL(18,2)) + 1 AS VARCHAR) END AS clean_value,
   CASE WHEN gone THEN 'clean' ELSE 'unexplained' END AS status, CAST(NULL AS VARCHAR) AS defect_code FROM x
 WHERE gone OR (disposition = 'kept' AND (column_name = 'total_amount' AND source_row % 7 = 0 OR column_name = 'store_id' AND source_row % 11 = 0))""", "flagged")),
-    Query("verify_changed_publication", on_feed(lambda w: D.verify_diff(_changed_publication(w), w.lineage_rows)),
+    Query("verify_changed_publication", on_feed(lambda w: D.verify_diff(_changed_publication(w, D.published_row_diff), w.lineage_rows)),
           over("""SELECT count(*) AS rows_compared, CAST(0 AS BIGINT) AS unmatched_rows, count(*) FILTER (WHERE disposition = 'kept' AND source_row % 19 = 3) AS disposition_mismatches,
   CAST(0 AS BIGINT) AS id_mismatches, count(*) * 8 AS cells,
   count(*) FILTER (WHERE disposition = 'kept' AND source_row % 19 <> 3 AND source_row % 7 = 0) + count(*) FILTER (WHERE disposition = 'kept' AND source_row % 19 <> 3 AND source_row % 11 = 0) AS unexplained_cells FROM flagged""", "flagged")),
-    Query("diff_browse", on_feed(lambda w: D.diff_browse(_diff(w), "TX-02", "total_amount", "raw", False)),
+    Query("diff_browse", on_feed(lambda w: D.diff_browse(_row_diff(w), "TX-02", "total_amount", "raw", False)),
           over(f"""WITH {DIFF_SQL}, r AS (SELECT source_row, transaction_id, disposition, coalesce(string_agg(DISTINCT defect_code, ',' ORDER BY defect_code), '') AS defects,
   max(CASE WHEN column_name = 'total_amount' THEN raw_value END) AS sort_value FROM diff GROUP BY 1, 2, 3)
 SELECT *, TRY_CAST(replace(sort_value, '$', '') AS DOUBLE) AS sort_number, CASE WHEN sort_value = 'n/a' THEN 'n/a' END AS sort_text FROM r WHERE defects LIKE '%TX-02%'""", "flagged")),
