@@ -1,12 +1,14 @@
 import math
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from kit import CONFIG, by, flagged, raw, rows, sale
 from tillproof.catalog import DEFECT_CODES, catalog_frame
+from tillproof.registry import base, profiles, stars
 from tillproof.scale import bucketed
 from tillproof.operators import audit as A, claims as C, diff as D, figures as G, profile as P, transactions as T, whatif as W
 
@@ -366,3 +368,13 @@ def test_row_diff_moves_no_row(spark, table):
         assert report.first().unmatched_rows == 0 and report.first().cells == 72
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_queries_build_no_more_than_they_read(spark, table, monkeypatch):
+    """The calendar and the customers come from the sales, and raw rows are those stored; no star is built."""
+    sides = SimpleNamespace(raw_rows=table.select("source_row", *T.COLUMNS), sales=T.clean_transactions(table, CONFIG),
+                            stores=spark.createDataFrame([("S1",)], "store_id string"))
+    monkeypatch.setattr(base, "open_feed", lambda *a: sides)
+    run = {q.name: q.run for q in [*stars.QUERIES, *profiles.QUERIES]}
+    assert run["dim_date"](spark, "").count() >= 1
+    assert sorted(r.child_row_count for r in run["referential_integrity"](spark, "").collect()) == [9, 9]
