@@ -69,3 +69,13 @@ def test_cells_never_differ_more_than_sets():
             assert N.cells_apart(N.parity(a), N.parity(b)) <= apart
             assert (N.cells_apart(N.parity(a), N.parity(b)) - apart) % 2 == 0
     assert N.cells_apart(N.parity(a), N.parity(a)) == 0
+
+
+def test_fingerprints_of_sets_find_near_copies(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(900)}" for _ in range(2000)]
+    texts = [changed_text(words, {n}) for n in range(0, 2000, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # With prefixes that never meet, the balls alone find what is within two bits.
+    monkeypatch.setattr(N, "prefix_length", lambda size: 0)
+    assert 1 <= N.keep_one(df).count() < len(texts)

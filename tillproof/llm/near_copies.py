@@ -1,7 +1,8 @@
-"""Near copies by shingle sets: all pairs of similarity 0.8 or more, found by rare prefixes.
+"""Near copies by shingle sets: all pairs of similarity 0.8 or more, by fingerprints and rare prefixes.
 
 A text is the set of its runs of WIDTH words; the similarity of two is what they share over what
-they hold together. The members of all sets are put in one order, those that are common in a
+they hold together. Sets whose fingerprints meet in the balls of op1, and are similar enough, are linked
+first. For pairs too far apart for a ball, the members of all sets are put in one order, those that are common in a
 sample last. Two sets that are similar enough share a member among the first fifth of each, so
 only sets that meet there are compared, and then by their whole sets: nothing is estimated. The
 order decides the work, never the result. Before whole sets move, bits are compared that tell how
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tillproof.llm.common import map_batches, raw_texts
-from tillproof.llm.simhash import CHUNK, components, text_hash
+from tillproof.llm.simhash import BITS, CHUNK, ball_links, components, text_hash
 from tillproof.scale import written
 
 SEED = 42
@@ -51,6 +52,14 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(parts).astype(np.int64))
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """As in simhash.py, of the set: the bits set in over half the members."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(own), CHUNK):
+        ones += np.unpackbits(own[i:i + CHUNK].astype(">i8").view(np.uint8).reshape(-1, BITS // 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big", signed=True)
+
+
 def prefix_length(size: int) -> int:
     return size - -(-size * LEAST // OF) + 1
 
@@ -87,7 +96,7 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, mark (hash of the whole set), size, prefix and parity of every row."""
+    """doc_id, text_hash, mark (hash of the whole set), size, prefix, fp (fingerprint) and parity of every row."""
     known, often = common_shingles(docs, text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     source = source.withColumn("text_hash", text_hash("text"))
@@ -107,10 +116,11 @@ def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 "mark": pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in own], pa.int64()),
                 "size": pa.array([len(s) for s in own], pa.int64()),
                 "prefix": pa.array([first(s) for s in own], pa.list_(pa.int64())),
+                "fp": pa.array([fingerprint(s) for s in own], pa.int64()),
                 "parity": pa.array([parity(s) for s in own], pa.binary())})
         return work
 
-    return map_batches(source, make, "doc_id long, text_hash long, mark long, size long, prefix array<long>, parity binary")
+    return map_batches(source, make, "doc_id long, text_hash long, mark long, size long, prefix array<long>, fp long, parity binary")
 
 
 def able(shared: str | None = None):
@@ -127,6 +137,17 @@ def able(shared: str | None = None):
     return fits & ((F.col(shared) + after) * (LEAST + OF) >= (a + b) * LEAST)
 
 
+def by_fingerprint(cells: DataFrame) -> DataFrame:
+    """(a, b): every set with the smallest of its fingerprint, and those of fingerprints that meet in a ball."""
+    least = written(cells.groupBy("fp").agg(F.min("mark").alias("least")), "fingerprints")
+    same = cells.join(least, "fp").select(F.col("least").alias("a"), F.col("mark").alias("b"))
+    links = ball_links(least.select("fp"))
+    low = least.select(F.col("fp").alias("low"), F.col("least").alias("x"))
+    high = least.select(F.col("fp").alias("high"), F.col("least").alias("y"))
+    met = links.join(low, "low").join(high, "high").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(met).filter("a < b")
+
+
 def possible(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """(a, b) of the ``pairs`` (a, b, size_a, size_b) whose parities (mark, parity) don't rule them out."""
     def side(name: str) -> DataFrame:
@@ -169,7 +190,7 @@ def similar(pairs: DataFrame, cells: DataFrame, rows: DataFrame, docs: DataFrame
 def near_copies(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(node, root): the smallest mark of the group of every mark that is not the smallest itself."""
     distinct = rows.select("mark", "size", "prefix").dropDuplicates(["mark"])
-    cells = written(rows.select("mark", "parity").dropDuplicates(["mark"]), "cells")
+    cells = written(rows.select("mark", "size", "fp", "parity").dropDuplicates(["mark"]), "cells")
     entries = distinct.select("mark", "size", F.explode("prefix").alias("shingle"))
     here = W.partitionBy("shingle")
     meetings = written(entries.withColumns({
@@ -178,7 +199,11 @@ def near_copies(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     stars = meetings.select(
         F.col("least.mark").alias("a"), F.col("least.size").alias("size_a"), F.col("mark").alias("b"), F.col("size").alias("size_b"))
     stars = stars.filter((F.col("a") < F.col("b")) & able()).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
-    links = similar(stars.filter(able("shared")).drop("shared"), cells, rows, docs, text_col)
+    balls = by_fingerprint(cells)
+    for name in ("a", "b"):
+        balls = balls.join(cells.select(F.col("mark").alias(name), F.col("size").alias(f"size_{name}")), name)
+    met = balls.filter(able()).select("a", "b", "size_a", "size_b").unionByName(stars.filter(able("shared")).drop("shared")).distinct()
+    links = similar(met, cells, rows, docs, text_col)
     roots = components(links, "stars")
     rooted = written(meetings.join(roots, F.col("mark") == F.col("node"), "left").select(
         "shingle", "mark", "size", F.coalesce("root", "mark").alias("root")), "rooted")
