@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from dataclasses import replace
 from types import SimpleNamespace
 
 import pytest
@@ -10,7 +11,7 @@ from kit import CONFIG, by, flagged, raw, rows, sale
 from tillproof.catalog import DEFECT_CODES, catalog_frame
 from tillproof.registry import base, profiles, stars
 from tillproof.scale import bucketed
-from tillproof.operators import audit as A, claims as C, diff as D, figures as G, profile as P, transactions as T, whatif as W
+from tillproof.operators import adhoc, audit as A, claims as C, diff as D, figures as G, profile as P, transactions as T, whatif as W
 
 
 @pytest.fixture(scope="module")
@@ -114,6 +115,31 @@ def test_dates_report_what_one_format_would_lose(spark):
     assert rows(P.date_examples(df, "transaction_date", CONFIG), "example_kind", "token") == [("after_as_of", "2026-07-01"), ("unmatched", "never")]
 
 
+def test_date_report_shows_the_first_cells_of_every_kind(spark):
+    days = ["2026-07-09", "2026-05-15", "never", "never", "a", None, "2026-07-01", " b ", "c", "d", "05/16/2026"]
+    df = raw(spark, "transactions", [sale(i, day=d) for i, d in enumerate(days)])
+    counts = P.value_counts(df, ["transaction_date"])
+    got = P.date_format_report(counts, CONFIG, df).first()
+    assert (got.unmatched_count, got.unmatched_examples) == (6, ["never", "never", "a", "b", "c"])
+    assert (got.after_as_of_count, got.after_as_of_examples) == (2, ["2026-07-09", "2026-07-01"])
+    assert (got.ambiguous_count, got.ambiguous_examples) == (0, [])
+    assert P.date_format_report(counts, CONFIG).first().unmatched_examples == ["a", "b", "c", "d", "never"]
+    assert P.date_format_report(counts.filter("false"), CONFIG, df).count() == 0
+    both = replace(CONFIG, ladder=(*CONFIG.ladder, replace(CONFIG.ladder[1], label="%d/%m/%Y", iso="$3-$2-$1")))
+    two = raw(spark, "transactions", [sale(1, day="05/16/2026"), sale(2, day="05/06/2026")])
+    assert P.date_format_report(P.value_counts(two, ["transaction_date"]), both, two).first().ambiguous_examples == ["05/06/2026"]
+
+
+def test_root_causes_list_all_their_ids(spark, monkeypatch):
+    monkeypatch.setattr(adhoc, "SPAN", 3)
+    held = spark.createDataFrame(
+        [("TX-04", "no store", "transactions", i, f"T{i}") for i in reversed(range(11))] + [("TX-04", "no store", "transactions", 1, None)]
+        + [("TX-04", "other", "transactions", 2, "T2"), ("ST-01", "zip", "stores", 4, None), ("ST-01", "zip", "stores", 9, None), ("ST-01", "zip", "stores", 5, None)],
+        "reason_code string, reason_detail string, dataset string, source_row long, row_key string")
+    got = [(r.reason_detail, r.held_rows, r.first_key, r.last_key, r.row_keys) for r in adhoc.quarantine_root_cause(held).collect()]
+    assert got == [("no store", 12, "T0", "T9", ",".join(f"T{i}" for i in range(11))), ("zip", 3, None, None, None), ("other", 1, "T2", "T2", "T2")]
+
+
 def test_key_report_splits_copies_from_conflicts(spark):
     df = raw(spark, "products", [("P1", "a", "x", "1", "v"), ("P1", "a", "x", "1", "v"), ("P2", "a", None, "1", "v"), ("P2", "a", "y", "2", "v"), (None, "a", "x", "1", "v")])
     got = P.pk_uniqueness(df, "product_id").first()
