@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from kit import CONFIG, by, flagged, raw, rows, sale
+from tillproof.functions import money
 from tillproof.catalog import DEFECT_CODES, catalog_frame
 from tillproof.registry import base, profiles, stars
-from tillproof.scale import bucketed
+from tillproof.scale import bucketed, setting
 from tillproof.operators import adhoc, audit as A, claims as C, diff as D, figures as G, profile as P, transactions as T, whatif as W
 
 
@@ -379,6 +380,18 @@ def test_row_diff_is_the_cell_diff(spark, table):
         assert D.diff_browse(wide, code, column, side).collect() == D.diff_browse(cells, code, column, side).collect()
 
 
+def test_diff_reads_a_cell_once(spark, table):
+    raw_rows = table.select("source_row", *T.COLUMNS)
+    clean = T.clean_transactions(table, CONFIG, row_key=True)
+    plan = lambda df: str(df._jdf.queryExecution().optimizedPlan())
+    with setting(spark, "spark.sql.debug.maxToStringFields", "10000"):
+        wide = plan(D.published_row_diff(raw_rows, clean, T.lineage(table), CONFIG))
+        cells = plan(D.published_diff(raw_rows, clean, T.lineage(table), CONFIG))
+        once = plan(raw_rows.select(money.parse_currency(F.col("unit_price")), money.parse_currency(F.col("total_amount")))).count("USD|usd")
+    # The rows come from one table or another of three, and each kind is read once.
+    assert 0 < wide.count("USD|usd") <= 3 * once and cells.count("USD|usd") == wide.count("USD|usd")
+
+
 def test_row_diff_moves_no_row(spark, table):
     """Tables bucketed by row meet where they lie; of what was found only row, id and counts move to the ledger."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -11,7 +11,7 @@ from tillproof.functions import dates, money
 from tillproof.functions.codes import mixed_sort_key, order_by_mixed
 from tillproof.functions.text import is_missing, normalise_text
 from tillproof.operators.transactions import COLUMNS
-from tillproof.scale import lookup
+from tillproof.scale import lookup, written
 
 # The column that explains an excluded row.
 BLAMED = {"TX-01": "transaction_date", "TX-02": "total_amount", "TX-04": "store_id",
@@ -82,30 +82,36 @@ def published_row_diff(raw: DataFrame, published: DataFrame, lineage: DataFrame,
         without(ledger, source).join(out, "source_row", "left"), without(out, source, ledger)])
     rows = rows.withColumn("disposition", F.when(F.col("_there"), "kept").when(F.col("_said") == "kept", "missing").otherwise(F.col("_said")))
     rows = rows.withColumn("_id", F.coalesce("transaction_id", "_id", "_p_transaction_id"))
-    text = lambda c: normalise_text(F.col(c))
-    guest = is_missing(F.col("customer_id"))
-    day = dates.parsed_date(F.col("transaction_date"), config.ladder)
-    other = F.coalesce(dates.date_format(F.col("transaction_date"), config.ladder) != config.ladder[0].label, F.lit(False))
-    expected = {
-        "transaction_id": text("transaction_id"), "transaction_date": day, "store_id": text("store_id"), "product_id": text("product_id"),
-        "customer_id": F.when(guest, F.lit(config.guest_id)).otherwise(text("customer_id")), "quantity": money.coerce_int(F.col("quantity")),
-        "unit_price": money.parse_currency(F.col("unit_price")), "total_amount": money.parse_currency(F.col("total_amount"))}
+    # What is read from a cell's text is a column first, read once and then picked. Spark fuses no projection
+    # that has a function of array elements into one method with its neighbours, which here would be too long
+    # for the JVM to compile; so the texts and the cells go through one.
+    names = [c for c in COLUMNS if c not in ("transaction_date", "quantity", "unit_price", "total_amount")]
+    read = dates.with_date_reading(rows, "transaction_date", config.ladder).withColumns({
+        "_texts": F.transform(F.array(*names), normalise_text), "_guest": is_missing(F.col("customer_id")),
+        "_quantity": money.coerce_int(F.col("quantity")), "_unit_price": money.parse_currency(F.col("unit_price")),
+        "_total_amount": money.parse_currency(F.col("total_amount")), "_marked": money.is_currency_formatted(F.col("total_amount"))})
+    expected = {name: F.get("_texts", F.lit(k)) for k, name in enumerate(names)} | {
+        "transaction_date": F.col("parsed_date"), **{c: F.col(f"_{c}") for c in ("quantity", "unit_price", "total_amount")}}
+    expected["customer_id"] = F.when(F.col("_guest"), F.lit(config.guest_id)).otherwise(expected["customer_id"])
+    read = read.withColumns({f"_off_{name}": ~expected[name].eqNullSafe(F.col(f"_p_{name}")) for name in COLUMNS})
     rules = {
-        "transaction_date": [(other, "fixed", "TX-01")], "customer_id": [(guest, "fixed", "TX-06")],
+        "transaction_date": [(F.col("needed_non_iso"), "fixed", "TX-01")], "customer_id": [(F.col("_guest"), "fixed", "TX-06")],
         "quantity": [(F.col("_p_is_return"), "preserved", "TX-10")],
-        "total_amount": [(F.col("_p_has_discount"), "preserved", "TX-03"), (money.is_currency_formatted(F.col("total_amount")), "fixed", "TX-02")]}
+        "total_amount": [(F.col("_p_has_discount"), "preserved", "TX-03"), (F.col("_marked"), "fixed", "TX-02")]}
     cells = []
     for name in COLUMNS:
         shown = F.col(f"_p_{name}")
-        off = [(~expected[name].eqNullSafe(shown), UNEXPLAINED, None)]
+        off = [(F.col(f"_off_{name}"), UNEXPLAINED, None)]
         cells.append(_cell(name, F.date_format(shown, "yyyy-MM-dd") if name == "transaction_date" else shown.cast("string"), off + rules.get(name, [])))
-    return rows.select("source_row", F.col("_id").alias("transaction_id"), "disposition", F.array(*cells).alias("cells"))
+    return read.select("source_row", F.col("_id").alias("transaction_id"), "disposition", F.array(*cells).alias("cells"))
 
 
 def published_diff(raw: DataFrame, published: DataFrame, lineage: DataFrame, config: RunConfig) -> DataFrame:
-    """One record per source row and column: the cells of ``published_row_diff``."""
+    """One record per source row and column: the cells of ``published_row_diff``.
+
+    A row always has cells. Said to the optimizer by the outer form, which does not build them twice to test that."""
     return published_row_diff(raw, published, lineage, config).select(
-        "source_row", "transaction_id", "disposition", F.inline("cells"))
+        "source_row", "transaction_id", "disposition", F.inline_outer("cells"))
 
 
 def explain(diff: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -177,16 +183,20 @@ def diff_browse(
     """
     value = f"{side}_value"
     if "cells" in diff.columns:
-        rows = diff.select(
-            "source_row", "transaction_id", "disposition",
+        found = F.struct(
             F.array_sort(F.array_compact(F.array_distinct(F.col("cells.defect_code")))).alias("defects"),
             F.array_max(F.transform(F.filter("cells", lambda c: c["column_name"] == column), lambda c: c[value])).alias("sort_value"))
+        # A filter stays above a generator, so the cells are not built once for it and once more for the row.
+        rows = diff.select("source_row", "transaction_id", "disposition", F.explode_outer(F.array(found)).alias("_row")).select(
+            "source_row", "transaction_id", "disposition", "_row.*")
     else:
         rows = diff.groupBy("source_row", "transaction_id", "disposition").agg(
             F.sort_array(F.collect_set("defect_code")).alias("defects"),
             F.max(F.when(F.col("column_name") == column, F.col(value))).alias("sort_value"))
     if code is not None:
         rows = rows.filter(F.array_contains("defects", code))
+        # A sort reads its input twice, to sample it and to move it; the rows found are few and written first.
+        rows = written(rows, "browsed") if "cells" in diff.columns else rows
     key = mixed_sort_key(F.col("sort_value"))
     return rows.withColumn("_key", key).select(
         "source_row", "transaction_id", "disposition", F.concat_ws(",", "defects").alias("defects"),
