@@ -2,6 +2,7 @@
 
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from kit import CONFIG, TRANSACTIONS, dims, flagged, raw
 from tillproof import scale
 from tillproof.operators import star as X, transactions as T
 from tillproof.operators.medians import group_median
+from tillproof.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -183,3 +185,31 @@ def test_a_stage_too_long_for_the_compiler_is_not_fused(spark):
     with scale.compiled(spark):
         assert int(spark.conf.get(name)) == 8_000
     assert spark.conf.get(name) == before
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    def settled(before):
+        for _ in range(50):  # executors remove them in their own time
+            if not held() - before:
+                return True
+            time.sleep(0.1)
+        return False
+
+    rows = spark.range(3000).select((F.col("id") % 700).alias("k"), F.col("id").alias("source_row"))
+    grouped, before = rows.groupBy("k").count(), held()
+    table = scale.written(grouped, "t-tidy")
+    assert settled(before)
+    buckets = scale.bucketed(rows, "source_row", "t-tidy-buckets", 4)
+    assert settled(before)
+    seen = sinks.write_tables({"a": grouped, "b": rows.groupBy("source_row").count()}, str(tmp_path))[1]
+    assert settled(before) and seen == {"a": 700, "b": 3000} and spark.conf.get(scale.TIDY) == "false"
+    assert table.count() == 700 and buckets.count() == 3000
+    # A frame made meanwhile still gives its rows, as often as it is asked.
+    with scale.tidied(spark), scale.tidied(spark):
+        shared = rows.groupBy("k").count()
+        assert len(shared.collect()) == len(shared.collect()) == 700
+    assert len(shared.collect()) == 700 and spark.conf.get(scale.TIDY) == "false"
